@@ -115,7 +115,7 @@ def window_slices(
     """
     first = F.floor(F.col("start_idx") / chunk_len)
     last = F.floor((F.col("start_idx") + length - 1) / chunk_len)
-    wanted = windows.withColumn("chunk_id", F.explode(F.sequence(first, last)).cast("long"))
+    wanted = windows.withColumn("chunk_id", F.explode(F.sequence(first, last)))
     parts = wanted.join(chunks.withColumn("chunk_id", F.col("chunk_id").cast("long")), ["file_id", "chunk_id"], "left")
     begin = F.greatest(F.col("start_idx") - F.col("first_idx"), F.lit(0))
     end = F.least(F.col("start_idx") + length - F.col("first_idx"), F.size("samples"))

@@ -1 +1,127 @@
+"""Filter, check and veto queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from wavequery.functions import arrays as ar
+from wavequery.operators import checks as ck
+from wavequery.operators import gaps
+from wavequery.plans import stand_ins as si
+from wavequery.plans.frame_plans import slice_windows
+from wavequery.plans.registry import query
+from wavequery.plans.split_sql import HASH_SPLIT_CASE, hash_subset
+from wavequery.sources import files as fl
+
+
+@query("semi_filter", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_type = 'SMALL')")
+def semi_filter(spark, sf_dir):
+    index = si.table(spark, sf_dir, "part").where("p_type = 'SMALL'").select(F.col("p_partkey").alias("l_partkey"))
+    line = si.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return line.join(index, "l_partkey", "left_semi").select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query(
+    "dataset_checks",
+    f"""WITH {si.EVENT_SCORES_SQL}, d AS (SELECT label, {HASH_SPLIT_CASE} AS subset FROM event_scores),
+t AS (SELECT count(*) FILTER (label IS NULL) AS nl, count(*) FILTER (label NOT IN (0, 1)) AS ol, count(*) FILTER (subset = 'train') AS tr,
+             count(*) FILTER (subset = 'val') AS va, count(*) FILTER (subset = 'test') AS te FROM d)
+SELECT 'required_columns' AS "check", 0 AS ok, 'window_sec' AS detail FROM t
+UNION ALL SELECT 'labels_not_null', CAST(nl = 0 AS INTEGER), CAST(nl AS VARCHAR) FROM t
+UNION ALL SELECT 'labels_binary', CAST(ol = 0 AS INTEGER), CAST(ol AS VARCHAR) FROM t
+UNION ALL SELECT 'has_val_or_test', CAST(va + te > 0 AS INTEGER), CAST(va + te AS VARCHAR) FROM t
+UNION ALL SELECT 'has_train_or_val', CAST(tr + va > 0 AS INTEGER), CAST(tr + va AS VARCHAR) FROM t
+UNION ALL SELECT 'min_rows_val', CAST(va >= 20 AS INTEGER), CAST(va AS VARCHAR) FROM t
+UNION ALL SELECT 'min_rows_test', CAST(te >= 100000000 AS INTEGER), CAST(te AS VARCHAR) FROM t""",
+)
+def dataset_checks(spark, sf_dir):
+    data = hash_subset(si.event_scores(spark, sf_dir))
+    required = {"file_id", "start_us", "label", "subset", "window_sec"}
+    return ck.dataset_checks(data, required, {"val": 20, "test": 100_000_000})
+
+
+@query("candidates", f"WITH {si.EVENT_SCORES_SQL} SELECT event_id, file_id, start_us, score FROM event_scores WHERE score >= 150 ORDER BY score DESC, event_id")
+def candidates(spark, sf_dir):
+    rows = si.event_scores(spark, sf_dir).where("score >= 150")
+    return rows.select("event_id", "file_id", "start_us", "score").orderBy(F.desc("score"), "event_id")
+
+
+Z_STATS_SQL = f"""{si.WAVES_SQL},
+long_w AS (SELECT window_id, unnest(wave) AS v FROM wave_windows),
+mv AS (SELECT window_id, avg(v) AS m, stddev_pop(v) AS s FROM long_w GROUP BY window_id),
+z AS (SELECT window_id, (v - m) / (s + 1e-12) AS z FROM long_w JOIN mv USING (window_id)),
+stats AS (SELECT window_id, max(abs(z)) AS peak, avg(z * z * z * z) AS kurt FROM z GROUP BY window_id)"""
+
+# Veto limits that suit 64-sample vectors; the library defaults are 20 and 80.
+PEAK, KURT = 3.0, 3.6
+
+
+@query(
+    "glitch_veto",
+    f"""WITH {Z_STATS_SQL} SELECT window_id, round(peak, 6) AS peak, round(kurt, 6) AS kurt,
+       CASE WHEN peak > {PEAK} THEN 'glitch_veto_peak' WHEN kurt > {KURT} THEN 'glitch_veto_kurt' END AS reason FROM stats""",
+)
+def glitch_veto(spark, sf_dir):
+    stats = si.wave_windows(spark, sf_dir).select("window_id", ar.glitch_stats("wave").alias("g"))
+    return ck.glitch_veto(stats.select("window_id", "g.peak", "g.kurt"), PEAK, KURT).select(
+        "window_id", F.round("peak", 6).alias("peak"), F.round("kurt", 6).alias("kurt"), "reason"
+    )
+
+
+REASON_SQL = f"""{si.STRAIN_SQL},
+w AS (SELECT file_id, unnest(range(9, max(idx) + 1, 10)) AS start_idx FROM strain GROUP BY file_id),
+j AS (SELECT w.file_id, w.start_idx, count(*) AS n, count(s.x) AS good, max(abs(s.x)) AS peak
+      FROM w JOIN strain s ON s.file_id = w.file_id AND s.idx BETWEEN w.start_idx AND w.start_idx + 1 GROUP BY w.file_id, w.start_idx),
+r AS (SELECT file_id, start_idx, CASE WHEN n < 2 THEN 'out_of_bounds' WHEN good = 0 THEN 'non_finite' WHEN peak > 100 THEN 'glitch_veto_peak' END AS reason FROM j)"""
+
+
+def reject_rows(spark, sf_dir):
+    chunks = gaps.chunked(si.strain(spark, sf_dir))
+    cut = gaps.window_slices(slice_windows(spark, sf_dir, 9, 10), chunks, si.CHUNK_SAMPLES, 2)
+    good = F.filter("samples", lambda v: v.isNotNull() & ~F.isnan(v))
+    peak = F.array_max(F.transform(good, lambda v: F.abs(v)))
+    reason = (
+        F.when(F.col("samples").isNull(), "out_of_bounds")
+        .when(F.size(good) == 0, "non_finite")
+        .when(peak > 100, "glitch_veto_peak")
+    )
+    return cut.select("file_id", "start_idx", reason.alias("reason"))
+
+
+@query("reject_reasons", f"WITH {REASON_SQL} SELECT reason, CAST(count(*) AS BIGINT) AS n FROM r WHERE reason IS NOT NULL GROUP BY reason")
+def reject_reasons(spark, sf_dir):
+    return ck.reason_counts(reject_rows(spark, sf_dir))
+
+
+@query(
+    "reject_samples",
+    f"""WITH {REASON_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY file_id, start_idx) AS rn FROM r WHERE reason IS NOT NULL)
+SELECT file_id, start_idx, reason, CAST(rn AS INTEGER) AS rn FROM k WHERE rn <= 3""",
+)
+def reject_samples(spark, sf_dir):
+    return ck.reason_samples(reject_rows(spark, sf_dir), ["file_id", "start_idx"])
+
+
+@query("row_cap", f"""WITH {si.EVENT_SCORES_SQL}, d AS (SELECT event_id, {HASH_SPLIT_CASE} AS subset FROM event_scores),
+r AS (SELECT *, row_number() OVER (PARTITION BY subset ORDER BY event_id) AS rn FROM d)
+SELECT event_id, subset FROM r WHERE rn <= 500""")
+def row_cap(spark, sf_dir):
+    data = hash_subset(si.event_scores(spark, sf_dir)).select("event_id", "subset")
+    return ck.first_rows(data, "subset", ["event_id"], 500)
+
+
+@query(
+    "sweep_pending",
+    """WITH grid AS (SELECT s_suppkey, d, t FROM supplier, range(0, 11) AS a(d), range(0, 9) AS b(t))
+SELECT s_suppkey, d, t FROM grid WHERE NOT EXISTS (
+  SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND CAST(round(l_discount * 100) AS BIGINT) = d AND CAST(round(l_tax * 100) AS BIGINT) = t)""",
+)
+def sweep_pending(spark, sf_dir):
+    suppliers = si.table(spark, sf_dir, "supplier").select("s_suppkey")
+    grid = ck.parameter_grid(suppliers, d=list(range(11)), t=list(range(9)))
+    logged = si.table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("s_suppkey"),
+        F.round(F.col("l_discount") * 100).cast("long").alias("d"),
+        F.round(F.col("l_tax") * 100).cast("long").alias("t"),
+    )
+    return fl.pending(grid, logged, ["s_suppkey", "d", "t"])

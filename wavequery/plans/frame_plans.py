@@ -110,7 +110,7 @@ def sample_times(spark, sf_dir):
 @query(
     "window_slice",
     f"""WITH clean AS (SELECT event_id // {si.FILE_SAMPLES} AS file_id, event_id % {si.FILE_SAMPLES} AS idx, value AS x FROM events),
-w AS (SELECT file_id, idx AS start_idx FROM clean WHERE idx % 90 = 0),
+w AS (SELECT file_id, unnest(range(0, max(idx) + 1, 90)) AS start_idx FROM clean GROUP BY file_id),
 s AS (SELECT w.file_id, w.start_idx, count(c.idx) AS n, sum(c.x) AS total, min_by(c.x, c.idx) AS head, max_by(c.x, c.idx) AS tail
       FROM w JOIN clean c ON c.file_id = w.file_id AND c.idx BETWEEN w.start_idx AND w.start_idx + 127 GROUP BY w.file_id, w.start_idx)
 SELECT file_id, start_idx, CASE WHEN n = 128 THEN 1 ELSE 0 END AS usable, CASE WHEN n = 128 THEN round(total, 4) END AS total,
@@ -129,6 +129,7 @@ def window_slice(spark, sf_dir):
     )
 
 
-def slice_windows(spark, sf_dir):
-    """Window keys every 90 samples of each file."""
-    return si.clean_strain(spark, sf_dir).where("idx % 90 = 0").select("file_id", F.col("idx").alias("start_idx"))
+def slice_windows(spark, sf_dir, first=0, stride=90):
+    """Window keys of each file: one window every ``stride`` samples."""
+    lengths = si.clean_strain(spark, sf_dir).groupBy("file_id").agg(F.max("idx").alias("last_idx"))
+    return lengths.select("file_id", F.explode(F.expr(f"sequence({first}L, last_idx, {stride}L)")).alias("start_idx"))

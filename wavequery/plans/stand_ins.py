@@ -225,9 +225,9 @@ def strain_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 WAVES_SQL = """
 templates AS (
-  SELECT vec_id AS template_id, list_transform(embedding, v -> CAST(v AS DOUBLE)) AS wave FROM embeddings WHERE label = 0),
+  SELECT vec_id AS template_id, CAST(embedding AS DOUBLE[]) AS wave FROM embeddings WHERE label = 0),
 wave_windows AS (
-  SELECT vec_id AS window_id, label, list_transform(embedding, v -> CAST(v AS DOUBLE)) AS wave FROM embeddings WHERE label <> 0)"""
+  SELECT vec_id AS window_id, label, CAST(embedding AS DOUBLE[]) AS wave FROM embeddings WHERE label <> 0)"""
 
 
 def templates(spark: SparkSession, sf_dir: str) -> DataFrame:

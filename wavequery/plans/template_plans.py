@@ -1 +1,305 @@
+"""Waveform, similarity and correlation queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from wavequery.functions import arrays as ar
+from wavequery.operators import ranking as rk
+from wavequery.operators import summaries as sm
+from wavequery.operators import templates as tp
+from wavequery.operators.running import range_edges, running, with_range_bucket
+from wavequery.plans import stand_ins as si
+from wavequery.plans.registry import query
+from wavequery.plans.split_plans import unit_sql
+
+MAX_SHIFT, LAG_STEP = 13, 4
+LENGTH = 64
+
+NORM = "sqrt(list_dot_product({0}, {0}))"
+COS_SQL = f"""{si.WAVES_SQL},
+cos AS (SELECT w.window_id, w.label, t.template_id, list_dot_product(w.wave, t.wave) / ({NORM.format('w.wave')} * {NORM.format('t.wave')} + 1e-8) AS score
+  FROM wave_windows w CROSS JOIN templates t)"""
+
+
+@query("cosine_scores", f"WITH {COS_SQL} SELECT window_id, template_id, round(score, 6) AS score FROM cos")
+def cosine_scores(spark, sf_dir):
+    out = tp.cosine_scores(si.wave_windows(spark, sf_dir), si.templates(spark, sf_dir))
+    return out.select("window_id", "template_id", F.round("score", 6).alias("score"))
+
+
+@query(
+    "template_scores",
+    f"""WITH {COS_SQL} SELECT window_id, CAST(count(*) AS BIGINT) AS n, round(max(score), 6) AS best, round(avg(abs(score)), 6) AS mean_abs,
+       CAST(count(*) FILTER (score > 0.2) AS BIGINT) AS above FROM cos GROUP BY window_id""",
+)
+def template_scores(spark, sf_dir):
+    s = tp.cosine_scores(si.wave_windows(spark, sf_dir), si.templates(spark, sf_dir))
+    return s.groupBy("window_id").agg(
+        F.count("*").alias("n"),
+        F.round(F.max("score"), 6).alias("best"),
+        F.round(F.avg(F.abs("score")), 6).alias("mean_abs"),
+        F.count_if(F.col("score") > 0.2).alias("above"),
+    )
+
+
+@query(
+    "topk_pool",
+    f"""WITH {COS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY score DESC) AS rn FROM cos)
+SELECT window_id, round(avg(score), 6) AS score, CAST(count(*) AS INTEGER) AS pooled FROM r WHERE rn <= 3 GROUP BY window_id""",
+)
+def topk_pool(spark, sf_dir):
+    out = tp.pooled_scores(si.wave_windows(spark, sf_dir), si.templates(spark, sf_dir), 3)
+    return out.select("window_id", F.round("score", 6).alias("score"), "pooled")
+
+
+@query(
+    "preselect",
+    f"""WITH {si.WAVES_SQL},
+s AS (SELECT t.template_id, avg(abs(list_dot_product(w.wave, t.wave) / (({NORM.format('w.wave')} + 1e-8) * ({NORM.format('t.wave')} + 1e-8)))) AS score
+      FROM wave_windows w CROSS JOIN templates t GROUP BY t.template_id)
+SELECT template_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, template_id LIMIT 8""",
+)
+def preselect(spark, sf_dir):
+    out = tp.preselect(si.wave_windows(spark, sf_dir), si.templates(spark, sf_dir), 8)
+    return out.select("template_id", F.round("score", 6).alias("score"))
+
+
+def lagged_sql(x: str, h: str) -> str:
+    return (
+        f"list_dot_product({x}[greatest(k, 0) + 1:{LENGTH} + least(k, 0)], "
+        f"{h}[greatest(-k, 0) + 1:{LENGTH} - greatest(k, 0)])"
+    )
+
+
+NCC_SQL = f"""{si.WAVES_SQL}, lags AS (SELECT CAST(range AS BIGINT) AS k FROM range(-{MAX_SHIFT}, {MAX_SHIFT} + 1, {LAG_STEP})),
+c AS (SELECT window_id, template_id, k, {lagged_sql('w.wave', 't.wave')} / ({NORM.format('w.wave')} * {NORM.format('t.wave')} + 1e-12) AS v
+  FROM wave_windows w CROSS JOIN templates t CROSS JOIN lags)"""
+
+
+@query(
+    "ncc_max",
+    f"WITH {NCC_SQL} SELECT window_id, template_id, round(max(v), 6) AS score, arg_max(k, v) AS lag FROM c GROUP BY window_id, template_id",
+)
+def ncc_max(spark, sf_dir):
+    out = tp.ncc_scores(si.wave_windows(spark, sf_dir), si.templates(spark, sf_dir), MAX_SHIFT, LAG_STEP)
+    return out.withColumn("score", F.round("score", 6))
+
+
+def zlist_sql(w: str) -> str:
+    return f"list_transform({w}, lambda v: (v - list_avg({w})) / (list_stddev_pop({w}) + 1e-12))"
+
+
+@query(
+    "ncc_overlap",
+    f"""WITH {si.WAVES_SQL}, lags AS (SELECT CAST(range AS BIGINT) AS k FROM range(-5, 6)),
+zw AS (SELECT window_id, {zlist_sql('wave')} AS wave FROM wave_windows), zt AS (SELECT template_id, {zlist_sql('wave')} AS wave FROM templates),
+c AS (SELECT window_id, template_id, k, {lagged_sql('t.wave', 'w.wave')} / ({LENGTH} - abs(k)) AS v FROM zw w CROSS JOIN zt t CROSS JOIN lags)
+SELECT window_id, template_id, round(max(v), 6) AS score, arg_max(k, v) AS lag FROM c GROUP BY window_id, template_id""",
+)
+def ncc_overlap(spark, sf_dir):
+    out = tp.ncc_overlap(si.wave_windows(spark, sf_dir), si.templates(spark, sf_dir), 5)
+    return out.withColumn("score", F.round("score", 6))
+
+
+@query(
+    "best_match",
+    f"""WITH {si.WAVES_SQL}, lags AS (SELECT CAST(range AS BIGINT) AS k FROM range(-{MAX_SHIFT}, {MAX_SHIFT} + 1, {LAG_STEP})),
+zw AS (SELECT window_id, {zlist_sql('wave')} AS wave FROM wave_windows),
+c AS (SELECT window_id, template_id, k, {lagged_sql('w.wave', 't.wave')} AS dot, {NORM.format('w.wave')} * {NORM.format('t.wave')} + 1e-12 AS norm,
+             t.wave[greatest(-k, 0) + 1:{LENGTH} - greatest(k, 0)] AS part FROM zw w CROSS JOIN templates t CROSS JOIN lags),
+b AS (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY dot / norm DESC, template_id) AS rn FROM c)
+SELECT window_id, template_id, round(dot / norm, 6) AS score, k AS lag, round(dot / (list_dot_product(part, part) + 1e-12), 6) AS scale FROM b WHERE rn = 1""",
+)
+def best_match(spark, sf_dir):
+    out = tp.best_match(si.wave_windows(spark, sf_dir), si.templates(spark, sf_dir), MAX_SHIFT, LAG_STEP)
+    return out.select("window_id", "template_id", F.round("score", 6).alias("score"), "lag", F.round("scale", 6).alias("scale"))
+
+
+@query(
+    "ncc_pool",
+    f"""WITH {NCC_SQL}, m AS (SELECT window_id, template_id, max(v) AS s FROM c GROUP BY window_id, template_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY s DESC) AS rn FROM m)
+SELECT window_id, round(avg(s), 6) AS score FROM r WHERE rn <= 3 GROUP BY window_id""",
+)
+def ncc_pool(spark, sf_dir):
+    out = tp.pooled_scores(si.wave_windows(spark, sf_dir), si.templates(spark, sf_dir), 3, MAX_SHIFT, LAG_STEP)
+    return out.select("window_id", F.round("score", 6).alias("score"))
+
+
+ARRAY_STATS_SQL = "round(list_sum(z), 6) + 0.0 AS total, round(z[1], 6) AS head, round(z[-1], 6) AS tail, CAST(len(z) AS INTEGER) AS n"
+
+
+def _array_stats(df, column="z"):
+    total = F.aggregate(column, F.lit(0.0), lambda a, v: a + v)
+    return df.select(
+        "window_id",
+        (F.round(total, 6) + 0.0).alias("total"),
+        F.round(F.element_at(column, 1), 6).alias("head"),
+        F.round(F.element_at(column, -1), 6).alias("tail"),
+        F.size(column).alias("n"),
+    )
+
+
+@query(
+    "array_zscore",
+    f"""WITH {si.WAVES_SQL}, s AS (SELECT window_id, {zlist_sql('wave')} AS z FROM wave_windows)
+SELECT window_id, round(list_sum(list_transform(z, lambda v: v * v)), 6) AS total, round(z[1], 6) AS head, round(z[-1], 6) AS tail, CAST(len(z) AS INTEGER) AS n FROM s""",
+)
+def array_zscore(spark, sf_dir):
+    z = si.wave_windows(spark, sf_dir).select("window_id", ar.zscore("wave").alias("z"))
+    energy = F.aggregate("z", F.lit(0.0), lambda a, v: a + v * v)
+    return z.select(
+        "window_id",
+        F.round(energy, 6).alias("total"),
+        F.round(F.element_at("z", 1), 6).alias("head"),
+        F.round(F.element_at("z", -1), 6).alias("tail"),
+        F.size("z").alias("n"),
+    )
+
+
+@query(
+    "array_fit",
+    f"""WITH {si.WAVES_SQL}
+SELECT window_id, round(list_sum(wave[15:64]), 6) AS cropped, round(list_sum(wave[1:50]), 6) AS cropped_left, round(wave[5], 6) AS padded_21,
+       round(wave[1], 6) AS shifted_4, round(wave[64], 6) AS rolled_1, round(wave[7] / (list_max(list_transform(wave, lambda v: abs(v))) + 1e-9), 6) AS peak_norm
+FROM wave_windows""",
+)
+def array_fit(spark, sf_dir):
+    w = F.col("wave")
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, v: a + v), 6)
+    return si.wave_windows(spark, sf_dir).select(
+        "window_id",
+        total(ar.fit_length(w, 50)).alias("cropped"),
+        total(ar.fit_length(w, 50, "left")).alias("cropped_left"),
+        F.round(F.element_at(ar.fit_length(w, 80), 21), 6).alias("padded_21"),
+        F.round(F.element_at(ar.shifted(w, F.lit(3)), 4), 6).alias("shifted_4"),
+        F.round(F.element_at(ar.rolled(w, F.lit(1)), 1), 6).alias("rolled_1"),
+        F.round(F.element_at(ar.peak_normalized(w), 7), 6).alias("peak_norm"),
+    )
+
+
+TAPER_WEIGHTS = ", ".join(repr(v) + "::DOUBLE" for v in ar.tukey(LENGTH, 0.1))
+
+
+@query(
+    "taper",
+    f"""WITH {si.WAVES_SQL}, wt AS (SELECT [{TAPER_WEIGHTS}] AS w),
+p AS (SELECT template_id, list_transform(range(1, {LENGTH + 1}), lambda i: wave[i] * w[i]) AS v FROM templates CROSS JOIN wt),
+z AS (SELECT template_id, {zlist_sql('v')} AS z FROM p)
+SELECT template_id, round(z[1], 6) AS head, round(z[3], 6) AS early, round(z[32], 6) AS middle, round(z[-1], 6) AS tail FROM z""",
+)
+def taper(spark, sf_dir):
+    z = si.templates(spark, sf_dir).select("template_id", ar.tapered(0.1)("wave").alias("z"))
+    at = lambda i: F.round(F.element_at("z", i), 6)
+    return z.select("template_id", at(1).alias("head"), at(3).alias("early"), at(32).alias("middle"), at(-1).alias("tail"))
+
+
+@query(
+    "window_probe",
+    f"""WITH {si.WAVES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY window_id) AS pos, count(*) OVER (PARTITION BY label) AS n FROM wave_windows),
+k AS (SELECT * FROM r WHERE pos IN (1, n // 2 + 1, n))
+SELECT label, window_id, CAST(pos AS BIGINT) AS pos, round(list_min(wave), 6) AS lo, round(list_max(wave), 6) AS hi, round(list_avg(wave), 6) AS mean,
+       round(list_stddev_pop(wave), 6) AS std, CAST(len(list_filter(wave, lambda v: v <> 0)) AS BIGINT) AS nonzero FROM k""",
+)
+def window_probe(spark, sf_dir):
+    windows = si.wave_windows(spark, sf_dir)
+    binned = with_range_bucket(windows, "window_id", range_edges(windows, "window_id"))
+    # Only keys and labels are ranked; the few probed waves are joined back.
+    ranked = running(
+        binned.select("window_id", "label", "_bucket"), "window_id", {"pos": ("sum", F.lit(1).cast("long"))}, by=["label"], totals=True
+    )
+    n = F.col("pos_total")
+    probed = ranked.where((F.col("pos") == 1) | (F.col("pos") == F.floor(n / 2) + 1) | (F.col("pos") == n))
+    stats = windows.select("window_id", "wave").join(probed.select("window_id", "label", "pos"), "window_id")
+    stats = stats.select("label", "window_id", "pos", ar.wave_stats("wave").alias("s")).select("label", "window_id", "pos", "s.*")
+    return stats.select(
+        "label", "window_id", "pos", *[F.round(c, 6).alias(c) for c in ("lo", "hi", "mean", "std")], "nonzero"
+    )
+
+
+AMP, PROBE = 0.6, 0.15
+
+
+@query(
+    "injection_recall",
+    f"""WITH {si.WAVES_SQL}, lags AS (SELECT CAST(range AS BIGINT) AS k FROM range(-{MAX_SHIFT}, {MAX_SHIFT} + 1, {LAG_STEP})),
+nt AS (SELECT count(*) AS n FROM templates),
+wr AS (SELECT window_id, wave, (row_number() OVER (ORDER BY {unit_sql('window_id')}, window_id) - 1) % n AS pos FROM wave_windows CROSS JOIN nt),
+tr AS (SELECT wave, row_number() OVER (ORDER BY {unit_sql('template_id')}, template_id) - 1 AS pos FROM templates),
+x AS (SELECT wr.window_id, tr.wave AS h, list_transform(range(1, {LENGTH + 1}), lambda i: (wr.wave[i] + {AMP}::DOUBLE * tr.wave[i] - list_avg(wr.wave)) / (list_stddev_pop(wr.wave) + 1e-12)) AS w
+      FROM wr JOIN tr ON tr.pos = wr.pos),
+s AS (SELECT window_id, max({lagged_sql('w', 'h')} / ({NORM.format('w')} * {NORM.format('h')} + 1e-12)) AS s FROM x CROSS JOIN lags GROUP BY window_id)
+SELECT CAST(count(*) AS BIGINT) AS trials, round(median(s), 6) AS median_score, round(max(s), 6) AS best, round(avg(CASE WHEN s > {PROBE} THEN 1.0 ELSE 0.0 END), 6) AS recall FROM s""",
+)
+def injection_recall(spark, sf_dir):
+    windows, bank = si.wave_windows(spark, sf_dir), si.templates(spark, sf_dir)
+
+    def positions(df, key):
+        keyed = df.select(key).withColumn("_u", rk.seeded_unit(key, 42))
+        return rk.hash_ranked(keyed, "_u", [key], out="_rank").select(key, (F.col("_rank") - 1).alias("pos"), "_rank_total")
+
+    of_bank = positions(bank, "template_id")
+    size = of_bank.agg(F.max("_rank_total")).scalar()
+    of_windows = positions(windows, "window_id").select("window_id", F.pmod("pos", size).alias("pos"))
+    trials = windows.join(of_windows, "window_id").join(
+        bank.join(of_bank, "template_id").select("pos", F.col("wave").alias("h")), "pos"
+    )
+    scored = trials.select(tp.injected_score(AMP, MAX_SHIFT, LAG_STEP)("wave", "h").alias("score"))
+    return injection_summary(scored)
+
+
+def injection_summary(scored):
+    out = sm.recall_over_trials(scored, PROBE)
+    return out.select("trials", *[F.round(c, 6).alias(c) for c in ("median_score", "best", "recall")])
+
+
+@query("augment")
+def augment(spark, sf_dir):
+    windows = si.wave_windows(spark, sf_dir)
+    changed = tp.augmented(max_shift=5, noise=0.05, dropout=0.02, snr=10.0)("window_id", "wave")
+    return _array_stats(windows.select("window_id", changed.alias("z")))
+
+
+CONFIGS = [
+    {"config_id": i, "templates_n": n, "subsample": s, "topk": k}
+    for i, (n, s, k) in enumerate((n, s, k) for n in (16, 32, 64) for s in (1, 2, 4) for k in (1, 3))
+]
+CONFIG_VALUES = ", ".join("({config_id}, {templates_n}, {subsample}, {topk})".format(**c) for c in CONFIGS)
+SWEEP_SQL = f"""{COS_SQL}, configs(config_id, templates_n, subsample, topk) AS (VALUES {CONFIG_VALUES}),
+tpos AS (SELECT template_id, row_number() OVER (ORDER BY template_id) - 1 AS pos FROM templates),
+picked AS (SELECT c.config_id, c.topk, s.window_id, s.label, s.score, row_number() OVER (PARTITION BY c.config_id, s.window_id ORDER BY s.score DESC) AS rn
+  FROM cos s JOIN tpos USING (template_id) JOIN configs c ON tpos.pos < c.templates_n AND tpos.pos % c.subsample = 0),
+pooled AS (SELECT config_id, window_id, any_value(CASE WHEN label <= 3 THEN 1 ELSE 0 END) AS label, round(avg(score), 9) AS score
+  FROM picked WHERE rn <= topk GROUP BY config_id, window_id),
+g AS (SELECT config_id, score, sum(label) AS pos, count(*) - sum(label) AS neg FROM pooled GROUP BY config_id, score),
+p AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY config_id) AS np, sum(neg) OVER (PARTITION BY config_id) AS nn FROM g
+  WINDOW w AS (PARTITION BY config_id ORDER BY score DESC)),
+auc AS (SELECT config_id, round(CAST(sum(pos * (nn - fp + neg / 2.0::DOUBLE)) AS DOUBLE) / any_value(np) / any_value(nn), 6) AS auc,
+               round(arg_min(CAST(tp AS DOUBLE) / np, struct_pack(a := abs(CAST(fp AS DOUBLE) / nn - 0.05::DOUBLE), b := -score)), 6) AS recall_at_far FROM p GROUP BY config_id)"""
+
+
+def sweep_metrics(spark, sf_dir):
+    """AUC and recall at the false-alarm target of every configuration."""
+    from wavequery.operators import thresholds as th
+
+    windows = si.wave_windows(spark, sf_dir)
+    scores = tp.sweep_scores(windows, si.templates(spark, sf_dir), CONFIGS)
+    labels = windows.select("window_id", (F.col("label") <= 3).cast("int").alias("label"))
+    rows = scores.withColumn("score", F.round("score", 9)).join(labels, "window_id")
+    points = rk.operating_points(rows, by=["config_id"])
+    auc = rk.roc_auc(points, ["config_id"])
+    recall = th.closest_fpr(points, 0.05, by=["config_id"]).select("config_id", F.col("tpr").alias("recall_at_far"))
+    return auc.join(recall, "config_id").select(
+        "config_id", F.round("auc", 6).alias("auc"), F.round("recall_at_far", 6).alias("recall_at_far")
+    )
+
+
+@query("param_sweep", f"WITH {SWEEP_SQL} SELECT config_id::BIGINT AS config_id, auc, recall_at_far FROM auc")
+def param_sweep(spark, sf_dir):
+    return sweep_metrics(spark, sf_dir)
+
+
+@query("param_sweep_best", f"WITH {SWEEP_SQL} SELECT config_id::BIGINT AS config_id, auc, recall_at_far FROM auc ORDER BY recall_at_far DESC, auc DESC, config_id DESC LIMIT 1")
+def param_sweep_best(spark, sf_dir):
+    return sm.best_row(sweep_metrics(spark, sf_dir), "recall_at_far", "auc", ["auc", "config_id"])
