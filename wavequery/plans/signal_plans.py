@@ -1 +1,117 @@
+"""Spectral queries over the chunked series."""
 
+from __future__ import annotations
+
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import functions as F
+
+from wavequery.operators import gaps, signal
+from wavequery.plans import stand_ins as si
+from wavequery.plans.registry import query
+
+RATE = float(si.SERIES_FS)
+SEG, HOP = 100, 50
+HALO = 250
+SPEC = 100
+
+SEGMENTS_SQL = f"""clean AS (SELECT event_id // {si.FILE_SAMPLES} AS file_id, event_id % {si.FILE_SAMPLES} AS idx, value AS x FROM events),
+size AS (SELECT file_id, max(idx) + 1 AS n FROM clean GROUP BY file_id),
+segs AS (SELECT file_id, unnest(range(0, n - {SEG} + 1, {HOP})) AS start FROM size WHERE n >= {SEG}),
+pts AS (SELECT s.file_id, s.start // {HOP} AS seg, c.idx - s.start AS i, c.x FROM segs s JOIN clean c ON c.file_id = s.file_id AND c.idx BETWEEN s.start AND s.start + {SEG} - 1),
+bins AS (SELECT CAST(range AS INTEGER) AS bin FROM range(0, {SEG // 2} + 1))"""
+
+
+def dft_sql(value: str, window: str) -> str:
+    """Periodogram of every segment by the definition of the transform."""
+    return f"""w AS (SELECT file_id, seg, i, {value} AS v, {window} AS h FROM pts),
+dft AS (SELECT file_id, seg, bin, pow(sum(v * h * cos(2 * pi() * bin * i / {SEG})), 2) + pow(sum(v * h * sin(2 * pi() * bin * i / {SEG})), 2) AS p, sum(h * h) AS e
+  FROM w CROSS JOIN bins GROUP BY file_id, seg, bin),
+power AS (SELECT file_id, seg, bin, p / ({RATE} * e) * CASE WHEN bin IN (0, {SEG // 2}) THEN 1 ELSE 2 END AS psd FROM dft)"""
+
+
+WELCH_SQL = f"""{SEGMENTS_SQL},
+{dft_sql('x - avg(x) OVER (PARTITION BY file_id, seg)', f'0.5 - 0.5 * cos(2 * pi() * i / {SEG})')}"""
+
+
+def clean_chunks(spark, sf_dir):
+    return gaps.chunked(si.clean_strain(spark, sf_dir))
+
+
+@query(
+    "welch_psd",
+    f"WITH {WELCH_SQL} SELECT file_id, bin, round(bin * {RATE / SEG}::DOUBLE, 6) AS freq, round(avg(psd), 6) AS psd FROM power GROUP BY file_id, bin",
+)
+def welch_psd(spark, sf_dir):
+    out = signal.welch_psd(clean_chunks(spark, sf_dir), si.CHUNK_SAMPLES, RATE, SEG, HOP)
+    return out.select("file_id", "bin", F.round("freq", 6).alias("freq"), F.round("psd", 6).alias("psd"))
+
+
+@query(
+    "spectrogram",
+    f"""WITH {SEGMENTS_SQL},
+{dft_sql('x', f'0.5 - 0.5 * cos(2 * pi() * i / {SEG - 1})')}
+SELECT file_id, seg AS t_bin, bin AS f_bin, round(psd, 6) AS psd, round(10 * log10(psd + 1e-10), 4) AS db FROM power""",
+)
+def spectrogram(spark, sf_dir):
+    out = signal.spectrogram(clean_chunks(spark, sf_dir), si.CHUNK_SAMPLES, RATE, SPEC)
+    return out.select("file_id", "t_bin", "f_bin", F.round("psd", 6).alias("psd"), F.round("db", 4).alias("db"))
+
+
+def _chunk_stats(chunks):
+    """Length and rounded statistics of each chunk."""
+    total = F.aggregate("samples", F.lit(0.0), lambda a, v: a + v)
+    energy = F.aggregate("samples", F.lit(0.0), lambda a, v: a + v * v)
+    return chunks.select(
+        "file_id", "chunk_id", "first_idx", F.size("samples").alias("n"),
+        F.round(total, 4).alias("total"), F.round(energy, 4).alias("energy"), F.round(F.array_max("samples"), 4).alias("top"),
+    )
+
+
+@query("bandpass")
+def bandpass(spark, sf_dir):
+    blocks = signal.with_halo(signal.standardized(clean_chunks(spark, sf_dir), centre_only=True), HALO)
+    return _chunk_stats(signal.core(signal.filtered(blocks, RATE, 4.0, 20.0, notch_base=6.0, notch_count=3)))
+
+
+@query("whiten")
+def whiten(spark, sf_dir):
+    return _chunk_stats(signal.whiten(clean_chunks(spark, sf_dir), si.CHUNK_SAMPLES, RATE, SEG, HOP, HALO))
+
+
+@query("whiten_plain")
+def whiten_plain(spark, sf_dir):
+    return _chunk_stats(signal.whiten(clean_chunks(spark, sf_dir), si.CHUNK_SAMPLES, RATE, SEG, HOP, HALO, "plain"))
+
+
+@query("resample")
+def resample(spark, sf_dir):
+    up, down = signal.rational_ratio(48, RATE)
+    return _chunk_stats(signal.resampled(clean_chunks(spark, sf_dir), up, down, HALO))
+
+
+@query("preprocess")
+def preprocess(spark, sf_dir):
+    white, stats = signal.preprocess(
+        si.strain(spark, sf_dir), si.CHUNK_SAMPLES, RATE, 4.0, 20.0, SEG, HOP, HALO, notch_base=6.0, notch_count=3, target_rate=48
+    )
+    out = _chunk_stats(white).groupBy("file_id").agg(
+        F.sum("n").alias("n_out"), F.round(F.sum("energy"), 3).alias("energy"), F.round(F.max("top"), 4).alias("top")
+    )
+    return out.join(stats.withColumn("nan_frac", F.round("nan_frac", 6)), "file_id")
+
+
+@query("reweighted_snr")
+def reweighted_snr(spark, sf_dir):
+    out = signal.reweighted_snr(si.wave_windows(spark, sf_dir), si.templates(spark, sf_dir), 64.0, 2.0, 32, 4, 0.1)
+    return out.groupBy("window_id").agg(
+        F.round(F.max("new_snr"), 6).alias("new_snr"), F.round(F.max("snr"), 6).alias("snr"), F.count("*").alias("n")
+    )
+
+
+@query("pca_2d")
+def pca_2d(spark, sf_dir):
+    rows = si.table(spark, sf_dir, "embeddings").select("vec_id", "label", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    projected = PCA(k=2, inputCol="v", outputCol="p").fit(rows).transform(rows)
+    xy = projected.select("vec_id", "label", vector_to_array("p").alias("p"))
+    return xy.select("vec_id", "label", F.round(F.col("p")[0], 6).alias("pc1"), F.round(F.col("p")[1], 6).alias("pc2"))

@@ -185,8 +185,8 @@ TAPER_WEIGHTS = ", ".join(repr(v) + "::DOUBLE" for v in ar.tukey(LENGTH, 0.1))
 @query(
     "taper",
     f"""WITH {si.WAVES_SQL}, wt AS (SELECT [{TAPER_WEIGHTS}] AS w),
-p AS (SELECT template_id, list_transform(range(1, {LENGTH + 1}), lambda i: wave[i] * w[i]) AS v FROM templates CROSS JOIN wt),
-z AS (SELECT template_id, {zlist_sql('v')} AS z FROM p)
+p AS (SELECT template_id, list_transform(range(1, {LENGTH + 1}), lambda i: wave[i] * w[i]) AS tw FROM templates CROSS JOIN wt),
+z AS (SELECT template_id, {zlist_sql('tw')} AS z FROM p)
 SELECT template_id, round(z[1], 6) AS head, round(z[3], 6) AS early, round(z[32], 6) AS middle, round(z[-1], 6) AS tail FROM z""",
 )
 def taper(spark, sf_dir):
