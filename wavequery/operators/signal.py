@@ -425,16 +425,15 @@ def reweighted_snr(
     from wavequery.operators.templates import BLOCK_BYTES, _long, _per_block
 
     def score(ids, bank, batch, waves):
-        pairs = [[snr_peaks(x, h, rate, f_low, segment, bands, max_shift_s) for h in bank] for x in waves]
-        peaks = np.array(pairs).reshape(len(waves), len(bank), 2)
-        return _long(ids, batch, (peaks[:, :, 0], peaks[:, :, 1]), ("new_snr", "snr"))
+        peaks = np.array([snr_peaks(x, bank, rate, f_low, segment, bands, max_shift_s) for x in waves])
+        return _long(ids, batch, (peaks[:, 0, :], peaks[:, 1, :]), ("new_snr", "snr"))
 
     schema = "window_id long, template_id long, new_snr double, snr double"
     return _per_block(windows, templates, schema, score, BLOCK_BYTES)
 
 
-def snr_peaks(x, h, rate, f_low, segment, bands, max_shift_s) -> tuple[float, float]:
-    """``(re-weighted peak, plain peak)`` of one window against one template."""
+def snr_peaks(x, bank, rate, f_low, segment, bands, max_shift_s) -> np.ndarray:
+    """Re-weighted and plain peaks of one window against every template, shape (2, templates)."""
     n = len(x)
     hop = segment // 2
     cuts = np.array([x[s : s + segment] for s in range(0, n - segment + 1, hop)])
@@ -443,24 +442,25 @@ def snr_peaks(x, h, rate, f_low, segment, bands, max_shift_s) -> tuple[float, fl
     level = np.interp(freqs, np.linspace(0.0, rate / 2.0, len(psd)), psd)
     df, dt = rate / n, 1.0 / rate
     used = freqs >= f_low
-    hf, xf = np.fft.rfft(h) * dt * used, np.fft.rfft(x) * dt * used
+    hf, xf = np.fft.rfft(bank, axis=1) * dt * used, np.fft.rfft(x) * dt * used
     power = 4.0 * df * np.abs(hf) ** 2 / level
-    sigma2 = power.sum()
-    if sigma2 <= 0:
-        return 0.0, 0.0
+    sigma2 = power.sum(axis=1)
+    safe = np.where(sigma2 > 0, sigma2, 1.0)[:, None]
+    weighted_product = xf * np.conj(hf) / level
 
     def series(mask):
         """Complex output of the part of the spectrum inside the mask."""
-        full = np.zeros(n, dtype=complex)
-        full[: len(freqs)] = xf * np.conj(hf) / level * mask
-        return 4.0 * df * n * np.fft.ifft(full)
+        full = np.zeros((len(bank), n), dtype=complex)
+        full[:, : len(freqs)] = weighted_product * mask
+        return 4.0 * df * n * np.fft.ifft(full, axis=1)
 
-    z = series(np.ones(len(freqs)))
-    share = np.minimum((np.cumsum(power) / sigma2 * bands - 1e-9).astype(int), bands - 1)
-    chi2 = sum(np.abs(series(share == b) - z / bands) ** 2 for b in range(bands)) * bands / sigma2
+    z = series(1.0)
+    share = np.minimum((np.cumsum(power, axis=1) / safe * bands - 1e-9).astype(int), bands - 1)
+    chi2 = sum(np.abs(series(share == b) - z / bands) ** 2 for b in range(bands)) * bands / safe
     reduced = chi2 / max(2 * bands - 2, 1)
-    snr = np.abs(z) / np.sqrt(sigma2)
+    snr = np.abs(z) / np.sqrt(safe)
     weighted = snr / np.where(reduced > 1.0, ((1.0 + reduced**3) / 2.0) ** (1.0 / 6.0), 1.0)
     half, mid = int(max_shift_s * rate), n // 2
     near = slice(max(0, mid - half), min(n, mid + half + 1))
-    return float(weighted[near].max()), float(snr[near].max())
+    peaks = np.array([weighted[:, near].max(axis=1), snr[:, near].max(axis=1)])
+    return np.where(sigma2 > 0, peaks, 0.0)

@@ -88,11 +88,12 @@ def nan_policy_zero(spark, sf_dir):
 
 @query(
     "detrend",
-    f"""WITH {GOOD_SQL} SELECT file_id, idx, round(filled - avg(filled) OVER (PARTITION BY file_id), 6) AS detrended FROM filled""",
+    f"""WITH clean AS (SELECT event_id // {si.FILE_SAMPLES} AS file_id, event_id % {si.FILE_SAMPLES} AS idx, value AS x FROM events)
+SELECT file_id, idx, round(x - avg(x) OVER (PARTITION BY file_id), 6) + 0.0 AS detrended FROM clean""",
 )
 def detrend(spark, sf_dir):
-    out = gaps.detrend(gaps.gap_fill(si.strain(spark, sf_dir)))
-    return out.select("file_id", "idx", F.round("detrended", 6).alias("detrended"))
+    out = gaps.detrend(si.clean_strain(spark, sf_dir), value="x")
+    return out.select("file_id", "idx", (F.round("detrended", 6) + 0.0).alias("detrended"))
 
 
 @query(

@@ -22,10 +22,10 @@ cos AS (SELECT w.window_id, w.label, t.template_id, list_dot_product(w.wave, t.w
   FROM wave_windows w CROSS JOIN templates t)"""
 
 
-@query("cosine_scores", f"WITH {COS_SQL} SELECT window_id, template_id, round(score, 6) AS score FROM cos")
+@query("cosine_scores", f"WITH {COS_SQL} SELECT window_id, template_id, round(score, 6) + 0.0 AS score FROM cos")
 def cosine_scores(spark, sf_dir):
     out = tp.cosine_scores(si.wave_windows(spark, sf_dir), si.templates(spark, sf_dir))
-    return out.select("window_id", "template_id", F.round("score", 6).alias("score"))
+    return out.select("window_id", "template_id", (F.round("score", 6) + 0.0).alias("score"))
 
 
 @query(
