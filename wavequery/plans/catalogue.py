@@ -18,6 +18,7 @@ _MODULES = (
     "signal_plans",
     "model_plans",
     "streaming_plans",
+    "flow_plans",
 )
 
 
