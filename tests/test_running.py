@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from wavequery.operators import running as rn
 from wavequery.operators import selection
@@ -86,3 +87,36 @@ def test_seeded_unit_matches_hashlib(spark):
     for i, row in enumerate(got):
         head = hashlib.sha1(f"{i}|42".encode()).digest()[:8]
         assert row["u"] == int.from_bytes(head, "big") / 2**64
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_fanout_gives_the_same_carry(spark, descending):
+    pdf = frame(5, 300)
+    pdf["c"] = pdf["t"] // 7
+    df = spark.createDataFrame(pdf)
+    spec = {"s": ("sum", "v"), "hi": ("max", "v")}
+    plain = rn.running(df, "t", spec, by=["k"], bucket="c", descending=descending, totals=True)
+    deep = rn.running(df, "t", spec, by=["k"], bucket="c", descending=descending, totals=True, fanout=4)
+    assert plain.orderBy("t").collect() == deep.select(*plain.columns).orderBy("t").collect()
+
+
+def test_null_order_and_null_key_keep_their_rows(spark):
+    df = spark.createDataFrame([(None, 1, "a"), (2.0, 1, None), (1.0, 1, "a")], "x double, v long, k string")
+    binned = rn.with_range_bucket(df, "x", [1.5])
+    assert rn.running(binned, "x", {"s": ("sum", "v")}, by=["k"]).count() == 3
+    assert {r["x"]: r["s"] for r in rn.running(binned, "x", {"s": ("sum", "v")}).collect()} == {None: 1, 1.0: 2, 2.0: 3}
+
+
+@pytest.mark.parametrize("limit", [100, 2])
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_join_checked_both_ways(spark, limit, how):
+    from wavequery.operators.joins import join_checked
+
+    rows = spark.range(20).withColumn("k", F.col("id") % 5)
+    small = spark.createDataFrame([(0, "a"), (1, "b"), (9, "c")], "k long, s string")
+    got = join_checked(rows, small, ["k"], how, limit)
+    assert sorted((r["id"], r["s"] or "") for r in got.collect()) == sorted(
+        (r["id"], r["s"] or "") for r in rows.join(small, "k", how).collect()
+    )
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert ("BroadcastHashJoin" in plan) or limit == 2

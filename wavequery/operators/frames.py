@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wavequery.operators.joins import join_checked
+
 
 def crest(peak: Column, rms: Column) -> Column:
     """Peak over RMS, guarded against a vanishing RMS and never negative."""
@@ -39,7 +41,7 @@ def frame_features(
     per_frame = frame_us // stride_us
     pane = F.expr(f"({time} - origin_us) div {stride_us}L")
     panes = (
-        points.join(extent, key)
+        join_checked(points, extent, [key])
         .withColumn("pane", pane)
         .groupBy(key, "pane")
         .agg(

@@ -9,8 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wavequery.operators.joins import join_checked
 from wavequery.operators.running import running
 
+# A file may have very many chunks: state is carried over groups of this many chunks first.
+CHUNK_FANOUT = 1024
+
 POLICIES = ("interp", "zero", "skip", "strict")
 
 
@@ -24,8 +28,10 @@ def gap_fill(
 ) -> DataFrame:
     """Linear interpolation of bad samples; edges hold the nearest good value, all-bad files give 0."""
     good = F.when(~is_bad(F.col(value)), F.struct(F.col(idx).alias("i"), F.col(value).cast("double").alias("v")))
-    before = running(series, idx, {"_prev": ("max", good)}, by=[file], bucket=chunk)
-    both = running(before, idx, {"_next": ("min", good)}, by=[file], bucket=chunk, descending=True)
+    before = running(series, idx, {"_prev": ("max", good)}, by=[file], bucket=chunk, fanout=CHUNK_FANOUT)
+    both = running(
+        before, idx, {"_next": ("min", good)}, by=[file], bucket=chunk, descending=True, fanout=CHUNK_FANOUT
+    )
     prev, after = F.col("_prev"), F.col("_next")
     slope = (after["v"] - prev["v"]) / (after["i"] - prev["i"])
     inner = prev["v"] + slope * (F.col(idx) - prev["i"])
@@ -51,7 +57,7 @@ def gap_runs(
     """
     bad = is_bad(F.col(value))
     marked = running(
-        series, idx, {"_good": ("max", F.when(~bad, F.col(idx)))}, by=[file], bucket=chunk
+        series, idx, {"_good": ("max", F.when(~bad, F.col(idx)))}, by=[file], bucket=chunk, fanout=CHUNK_FANOUT
     ).where(bad)
     runs = marked.groupBy(file, "_good").agg(F.min(idx).alias("run_start"), F.count("*").alias("run_length"))
     return runs.select(file, "run_start", "run_length", (F.col("run_length") > max_gap).cast("int").alias("big"))
@@ -74,7 +80,7 @@ def nan_policy(
     bad = is_bad(F.col(value))
     share = series.groupBy(file).agg(F.avg(bad.cast("double")).alias("bad_frac"))
     share = share.where(F.col("bad_frac") == 0 if policy in ("skip", "strict") else F.col("bad_frac") <= max_frac)
-    kept = series.join(share, file)
+    kept = join_checked(series, share, [file])
     if policy == "zero":
         return kept.withColumn("filled", F.when(bad, F.lit(0.0)).otherwise(F.col(value).cast("double")))
     if policy in ("skip", "strict"):
@@ -85,7 +91,7 @@ def nan_policy(
 def detrend(series: DataFrame, file: str = "file_id", value: str = "filled", out: str = "detrended") -> DataFrame:
     """Remove the mean of each file."""
     means = series.groupBy(file).agg(F.avg(value).alias("_mean"))
-    return series.join(means, file).withColumn(out, F.col(value) - F.col("_mean")).drop("_mean")
+    return join_checked(series, means, [file]).withColumn(out, F.col(value) - F.col("_mean")).drop("_mean")
 
 
 def chunked(

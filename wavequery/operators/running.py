@@ -50,7 +50,8 @@ def with_range_bucket(df: DataFrame, column: str, edges: Sequence[float], out: s
         outputCol="_range",
         handleInvalid="keep",
     ).transform(df.withColumn("_as_double", F.col(column).cast("double")))
-    return binned.withColumn(out, F.col("_range").cast("int")).drop("_range", "_as_double")
+    # Rows without a value sort first, so they go before the first range.
+    return binned.withColumn(out, F.coalesce(F.col("_range").cast("int"), F.lit(-1))).drop("_range", "_as_double")
 
 
 def with_hash_bucket(df: DataFrame, unit: str, buckets: int | None = None, out: str = BUCKET) -> DataFrame:
@@ -68,12 +69,15 @@ def running(
     descending: bool = False,
     exclusive: bool = False,
     totals: bool = False,
+    fanout: int | None = None,
 ) -> DataFrame:
     """Running ``sum``/``max``/``min``/``count`` along ``order``.
 
     ``bucket`` must grow with the first order column inside each ``by`` key.
     ``exclusive`` leaves the current row out. ``totals`` also adds ``<name>_total``,
-    the aggregate over the whole ``by`` key.
+    the aggregate over the whole ``by`` key. ``fanout`` is for keys with very many
+    buckets, such as the chunks of one long file: the carry is then itself computed
+    over groups of that many buckets.
     """
     order = [order] if isinstance(order, str) else list(order)
     by = list(by)
@@ -85,12 +89,20 @@ def running(
     per_bucket = df.groupBy(*by, bucket).agg(*[reduce_fn[n](inputs[n]).alias(f"_in_{n}") for n in names])
 
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    before = Window.partitionBy(*by).orderBy(direction(bucket)).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by)
-    carry_columns = [_REDUCE[combine[n]](f"_in_{n}").over(before).alias(f"_carry_{n}") for n in names]
-    if totals:
-        carry_columns += [_REDUCE[combine[n]](f"_in_{n}").over(whole).alias(f"{n}_total") for n in names]
-    carry = per_bucket.select(*by, bucket, *carry_columns)
+    if fanout:
+        grouped = per_bucket.withColumn("_group", F.floor(F.col(bucket) / fanout))
+        carry = running(
+            grouped, bucket, {f"_carry_{n}": (combine[n], f"_in_{n}") for n in names}, by, "_group", descending, True, totals
+        )
+        renamed = [F.col(f"_carry_{n}_total").alias(f"{n}_total") for n in names] if totals else []
+        carry = carry.select(*by, bucket, *[f"_carry_{n}" for n in names], *renamed)
+    else:
+        before = Window.partitionBy(*by).orderBy(direction(bucket)).rowsBetween(Window.unboundedPreceding, -1)
+        whole = Window.partitionBy(*by)
+        carry_columns = [_REDUCE[combine[n]](f"_in_{n}").over(before).alias(f"_carry_{n}") for n in names]
+        if totals:
+            carry_columns += [_REDUCE[combine[n]](f"_in_{n}").over(whole).alias(f"{n}_total") for n in names]
+        carry = per_bucket.select(*by, bucket, *carry_columns)
     if not by:
         # One row per bucket and the bucket count is a literal: safe to broadcast.
         carry = F.broadcast(carry)
@@ -102,7 +114,9 @@ def running(
         .rowsBetween(Window.unboundedPreceding, last)
     )
     local = df.select("*", *[reduce_fn[n](inputs[n]).over(inside).alias(f"_local_{n}") for n in names])
-    joined = local.join(carry, [*by, bucket])
+    # A left join: it neither drops null keys nor adds a filter that would keep the
+    # shuffle of the rows from being shared with that of the bucket totals.
+    joined = local.join(carry, [*by, bucket], "left")
 
     def merged(n: str) -> Column:
         mine, earlier = F.col(f"_local_{n}"), F.col(f"_carry_{n}")

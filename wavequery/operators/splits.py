@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wavequery.operators.joins import join_checked
 from wavequery.operators.ranking import hash_ranked, hash_unit, seeded_unit
 from wavequery.operators.selection import first_n
 
@@ -50,7 +51,7 @@ def group_split(
     n_test = F.ceil(F.lit(test) * n_groups)
     n_val = F.ceil(F.lit(share) * (n_groups - n_test))
     subsets = ranked.select(group, _cut(F.col("_rank"), n_test, n_val).alias(out))
-    return rows.join(subsets, group)
+    return join_checked(rows, subsets, [group])
 
 
 def random_split(rows: DataFrame, key: str, test: float, val: float, seed: int = 42, out: str = "subset") -> DataFrame:

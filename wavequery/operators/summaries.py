@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavequery.operators.joins import join_checked
 from wavequery.operators.running import exact_quantiles
 
 
@@ -43,7 +44,7 @@ def histogram(rows: DataFrame, value: str, bins: int, by: Sequence[str] = ()) ->
     spec = F.struct("lo", "hi", "total")
     if by:
         # One row per key of the histogram, such as a label or a detector.
-        placed = rows.join(ends.select(*by, spec.alias("_e")), by)
+        placed = join_checked(rows, ends.select(*by, spec.alias("_e")), by)
     else:
         placed = rows.withColumn("_e", ends.select(spec).scalar())
     width = (F.col("_e.hi") - F.col("_e.lo")) / bins

@@ -70,9 +70,15 @@ def _window_batches(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFr
             yield batch, np.array([np.asarray(w, dtype=np.float64) for w in batch["wave"]])
 
 
-def _per_block(windows: DataFrame, templates: DataFrame, schema: str, score_batch, block_bytes: int) -> DataFrame:
-    """Union over template blocks of ``score_batch(ids, bank, batch, waves)`` on every window batch."""
-    out = None
+def _per_block(
+    windows: DataFrame, templates: DataFrame, schema: str, score_batch, block_bytes: int, merge=lambda found: found
+) -> DataFrame:
+    """Union over template blocks of ``score_batch(ids, bank, batch, waves)`` on every window batch.
+
+    ``merge`` combines the rows of a window from several blocks. It is skipped for a
+    single block, where each window has one row and need not be moved.
+    """
+    out, blocks = None, 0
     for ids, bank in template_blocks(templates, block_bytes):
         shared = windows.sparkSession.sparkContext.broadcast((ids, bank))
 
@@ -83,9 +89,10 @@ def _per_block(windows: DataFrame, templates: DataFrame, schema: str, score_batc
 
         scored = windows.select("window_id", "wave").mapInPandas(run, schema)
         out = scored if out is None else out.unionByName(scored)
+        blocks += 1
     if out is None:
         return windows.sparkSession.createDataFrame([], schema)
-    return out
+    return merge(out) if blocks > 1 else out
 
 
 def cosine_matrix(waves: np.ndarray, bank: np.ndarray) -> np.ndarray:
@@ -239,10 +246,12 @@ def best_match(
             }
         )
 
+    def merge(found):
+        best = F.max_by(F.struct("template_id", "score", "lag", "scale"), F.struct("score", -F.col("template_id")))
+        return found.groupBy("window_id").agg(best.alias("b")).select("window_id", "b.*")
+
     schema = "window_id long, template_id long, score double, lag long, scale double"
-    found = _per_block(windows, templates, schema, score, block_bytes)
-    best = F.max_by(F.struct("template_id", "score", "lag", "scale"), F.struct("score", -F.col("template_id")))
-    return found.groupBy("window_id").agg(best.alias("b")).select("window_id", "b.*")
+    return _per_block(windows, templates, schema, score, block_bytes, merge)
 
 
 def pooled_scores(
@@ -268,8 +277,10 @@ def pooled_scores(
         best = np.sort(np.partition(s, s.shape[1] - top, axis=1)[:, -top:], axis=1)[:, ::-1]
         return pd.DataFrame({"window_id": batch["window_id"], "best": list(best)})
 
-    found = _per_block(windows, templates, "window_id long, best array<double>", score, block_bytes)
-    merged = found.groupBy("window_id").agg(F.flatten(F.collect_list("best")).alias("best"))
+    def merge(found):
+        return found.groupBy("window_id").agg(F.flatten(F.collect_list("best")).alias("best"))
+
+    merged = _per_block(windows, templates, "window_id long, best array<double>", score, block_bytes, merge)
     top = F.slice(F.sort_array("best", asc=False), 1, k)
     total = F.aggregate(top, F.lit(0.0), lambda a, v: a + v)
     return merged.select("window_id", (total / F.size(top)).alias("score"), F.size(top).alias("pooled"))
@@ -311,10 +322,11 @@ def sweep_scores(
     A configuration has ``config_id``, ``templates_n`` (bank prefix by id),
     ``subsample`` (every n-th template) and ``topk``.
     """
-    out, offset = None, 0
+    out, offset, blocks = None, 0, 0
     for ids, bank in template_blocks(templates, block_bytes):
         shared = windows.sparkSession.sparkContext.broadcast((bank, offset))
         offset += len(ids)
+        blocks += 1
 
         def run(batches, shared=shared):
             bank, start = shared.value
@@ -333,7 +345,9 @@ def sweep_scores(
         part = windows.select("window_id", "wave").mapInPandas(run, "config_id long, window_id long, best array<double>")
         out = part if out is None else out.unionByName(part)
     topk = F.create_map(*[F.lit(v) for c in configs for v in (c["config_id"], c["topk"])])
-    merged = out.groupBy("config_id", "window_id").agg(F.flatten(F.collect_list("best")).alias("best"))
+    merged = out
+    if blocks > 1:
+        merged = out.groupBy("config_id", "window_id").agg(F.flatten(F.collect_list("best")).alias("best"))
     top = F.slice(F.sort_array("best", asc=False), F.lit(1), topk[F.col("config_id").cast("int")])
     return merged.select("config_id", "window_id", (F.aggregate(top, F.lit(0.0), lambda a, v: a + v) / F.size(top)).alias("score"))
 

@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavequery.operators.running import BUCKET, default_buckets, range_edges, running, with_range_bucket
+from wavequery.operators.joins import join_checked
+from wavequery.operators.running import default_buckets, range_edges, running, with_range_bucket
 from wavequery.session import cut_lineage
 
 # A time bucket is hot when it holds more than this share of its table, so at
@@ -22,6 +23,12 @@ HOT_SHARE = 1.0 / 512
 HOT_MIN_ROWS = 10_000
 SALTS = 16
 
+# Slides are literals of the plan.
+MAX_SLIDES = 10_000
+
+# Target rows of one task of the one-to-one matching.
+MATCH_ROWS = 200_000
+
 
 # --- interval overlap ---------------------------------------------------------
 
@@ -76,66 +83,62 @@ def interval_label(
     hit = F.coalesce(F.col("_latest_here") >= lower, F.lit(False)) | F.coalesce(
         F.col("_earliest_later") <= upper, F.lit(False)
     )
-    return (
-        windows.withColumn("_cell", F.floor(lower / shortest).cast("long"))
-        .join(cells, [*by, "_cell"], "left")
-        .withColumn(label, hit.cast("int"))
-        .drop("_cell", "_latest_here", "_earliest_later")
-    )
+    placed = windows.withColumn("_cell", F.floor(lower / shortest).cast("long"))
+    looked_up = join_checked(placed, cells, [*by, "_cell"], "left")
+    return looked_up.withColumn(label, hit.cast("int")).drop("_cell", "_latest_here", "_earliest_later")
 
 
 def range_probe(ranges: DataFrame, catalog: DataFrame, cell_us: int, lo: str, hi: str, tc: str = "tc_us") -> DataFrame:
     """Every (range, catalogue time) with ``lo <= tc <= hi``, both ends included.
 
     A range is copied once per time cell it touches, a catalogue time is in one cell.
+    Cells with an outsize share of the rows are split on both sides.
     """
     spread = ranges.withColumn(
         "_cell",
         F.explode(F.sequence(F.floor(F.col(lo) / cell_us).cast("long"), F.floor(F.col(hi) / cell_us).cast("long"))),
     )
     keyed = catalog.withColumn("_cell", F.floor(F.col(tc) / cell_us).cast("long"))
-    return spread.join(keyed, "_cell").where(F.col(tc).between(F.col(lo), F.col(hi))).drop("_cell")
-
-
-# --- band join ----------------------------------------------------------------
+    return _salted_cell_join(spread, keyed).where(F.col(tc).between(F.col(lo), F.col(hi)))
 
 
-def band_join(left: DataFrame, right: DataFrame, dt_us: int, left_time: str, right_time: str) -> DataFrame:
-    """All pairs with ``|left_time - right_time| <= dt``.
-
-    The left row looks into three cells of width ``dt``. Cells with an outsize share
-    of the rows are split on both sides: a left row gets one of ``SALTS`` left salts
-    and is copied to every right salt, and the other way round, so each pair still
-    meets exactly once while no task holds the whole cell.
-    """
-    width = max(int(dt_us), 1)
-    right = right.withColumn("_cell", F.floor(F.col(right_time) / width).cast("long"))
-    probe = left.withColumn("_home", F.floor(F.col(left_time) / width).cast("long"))
-
-    per_cell = (
-        right.select("_cell").unionByName(probe.select(F.col("_home").alias("_cell"))).groupBy("_cell").count()
-    )
+def _salted_cell_join(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Join on ``_cell``. Hot cells are split on both sides: a row gets one of ``SALTS`` own
+    salts and is copied to every salt of the other side, so each pair meets exactly once
+    while no task holds the whole cell."""
+    per_cell = left.select("_cell").unionByName(right.select("_cell")).groupBy("_cell").count()
     total = per_cell.agg(F.sum("count")).scalar()
-    # At most 1 / HOT_SHARE cells pass this test whatever the table size; their
-    # neighbours are looked into as often, so they are split as well.
+    # At most 1 / HOT_SHARE cells pass this test whatever the table size.
     hot = per_cell.where((F.col("count") > total * HOT_SHARE) & (F.col("count") > HOT_MIN_ROWS))
-    hot = hot.select(F.explode(F.sequence(F.col("_cell") - 1, F.col("_cell") + 1)).alias("_cell")).distinct()
-    hot = F.broadcast(hot.withColumn("_salts", F.lit(SALTS)))
+    hot = F.broadcast(hot.select("_cell", F.lit(SALTS).alias("_salts")))
 
-    def salted(rows: DataFrame, columns: list[str], own: str, other: str) -> DataFrame:
+    def salted(rows: DataFrame, own: str, other: str) -> DataFrame:
         salts = F.coalesce(F.col("_salts"), F.lit(1))
         return (
             rows.join(hot, "_cell", "left")
-            .withColumn(own, F.pmod(F.xxhash64(*columns), salts).cast("int"))
+            .withColumn(own, F.pmod(F.xxhash64(*rows.columns), salts).cast("int"))
             .withColumn(other, F.explode(F.sequence(F.lit(0), salts - 1)))
             .drop("_salts")
         )
 
-    probe = probe.withColumn("_cell", F.explode(F.sequence(F.col("_home") - 1, F.col("_home") + 1))).drop("_home")
-    probe = salted(probe, left.columns, "_ls", "_rs")
-    right = salted(right, [c for c in right.columns if c != "_cell"], "_rs", "_ls")
+    keys = ["_cell", "_ls", "_rs"]
+    return salted(left, "_ls", "_rs").join(salted(right, "_rs", "_ls"), keys).drop(*keys)
+
+
+# --- band join ----------------------------------------------------------------
+
+
+def band_join(left: DataFrame, right: DataFrame, dt_us: int, left_time: str, right_time: str) -> DataFrame:
+    """All pairs with ``|left_time - right_time| <= dt``.
+
+    The left row looks into three cells of width ``dt``; hot cells are split.
+    """
+    width = max(int(dt_us), 1)
+    right = right.withColumn("_cell", F.floor(F.col(right_time) / width).cast("long"))
+    home = F.floor(F.col(left_time) / width).cast("long")
+    probe = left.withColumn("_cell", F.explode(F.sequence(home - 1, home + 1)))
     near = F.abs(F.col(left_time) - F.col(right_time)) <= dt_us
-    return probe.join(right, ["_cell", "_ls", "_rs"]).where(near).drop("_cell", "_ls", "_rs")
+    return _salted_cell_join(probe, right).where(near)
 
 
 def count_pairs_by_slide(
@@ -148,7 +151,8 @@ def count_pairs_by_slide(
     running count over the right times answers all slides. ``slides`` is the small
     table ``(slide_id, shift_us)`` and is broadcast after a check of its size.
     """
-    slides = _bounded(slides.select("slide_id", "shift_us"), 100_000)
+    slides = _bounded(slides.select("slide_id", "shift_us"), MAX_SLIDES)
+    ends = right.agg(F.min(time).alias("lo"), F.max(time).alias("hi"), F.count("*").alias("n")).first()
     starts = left.groupBy(F.col(time).alias("_t")).agg(F.count("*").alias("_w"))
     probes = (
         starts.withColumn("_slide", F.explode(slides))
@@ -162,16 +166,22 @@ def count_pairs_by_slide(
                 )
             ).alias("p"),
         )
-        .select("p.x", F.lit(1).alias("kind"), "slide_id", "p.w", F.lit(0).cast("long").alias("n"))
+        .select("slide_id", "p.x", "p.w")
     )
+    # Before the first right time the count is 0, from the last one on it is the total:
+    # large slides move most probes there, and those need no place on the line.
+    beyond = probes.where(F.col("x") >= F.lit(ends["hi"])).select("slide_id", (F.col("w") * F.lit(ends["n"])).alias("part"))
+    inside = probes.where((F.col("x") >= F.lit(ends["lo"])) & (F.col("x") < F.lit(ends["hi"])))
+    inside = inside.select("x", F.lit(1).alias("kind"), "slide_id", "w", F.lit(0).cast("long").alias("n"))
     stops = right.groupBy(F.col(time).alias("x")).agg(F.count("*").alias("n"))
     stops = stops.select(
         "x", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("slide_id"), F.lit(0).cast("long").alias("w"), "n"
     )
-    edges = range_edges(right, time, buckets)
-    line = with_range_bucket(stops.unionByName(probes), "x", edges)
-    counted = running(line, ["x", "kind"], {"c": ("sum", "n")})
-    return counted.where("kind = 1").groupBy("slide_id").agg(F.sum(F.col("w") * F.col("c")).cast("long").alias("pairs"))
+    both = left.select(F.col(time).alias("t")).unionByName(right.select(F.col(time).alias("t")))
+    line = with_range_bucket(stops.unionByName(inside), "x", range_edges(both, "t", buckets))
+    counted = running(line, ["x", "kind"], {"c": ("sum", "n")}).where("kind = 1")
+    parts = counted.select("slide_id", (F.col("w") * F.col("c")).alias("part")).unionByName(beyond)
+    return parts.groupBy("slide_id").agg(F.sum("part").cast("long").alias("pairs"))
 
 
 def _bounded(rows: DataFrame, limit: int):
@@ -237,9 +247,10 @@ def greedy_matches(
         .groupBy(*by, "t_us")
         .agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     )
-    buckets = buckets or default_buckets(counts)
-    # Bucketed once and stored: every later round reads the same rows.
-    line = cut_lineage(with_range_bucket(counts, "t_us", range_edges(counts, "t_us", buckets), "bucket"))
+    # Counted times are stored once: every later round reads the same rows.
+    counts = cut_lineage(counts)
+    buckets = buckets or max(default_buckets(counts), counts.count() // MATCH_ROWS)
+    line = with_range_bucket(counts, "t_us", range_edges(counts, "t_us", buckets), "bucket")
     keys = [*by, "bucket"]
     by_fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in counts.select(*by).schema.fields)
 
@@ -342,7 +353,7 @@ def match_in_order(times, left_n, right_n, dt, side=0, queue=()):
 
 def slid(right: DataFrame, slides: DataFrame, time: str = "t_us") -> DataFrame:
     """One shifted copy of the right table per slide."""
-    shifts = _bounded(slides.select("slide_id", "shift_us"), 100_000)
+    shifts = _bounded(slides.select("slide_id", "shift_us"), MAX_SLIDES)
     return (
         right.withColumn("_slide", F.explode(shifts))
         .withColumn(time, F.col(time) + F.col("_slide.shift_us"))

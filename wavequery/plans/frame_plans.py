@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wavequery.operators import frames, gaps
-from wavequery.operators.running import BUCKET  # noqa: F401
 from wavequery.plans import stand_ins as si
 from wavequery.plans.registry import query
 

@@ -14,6 +14,8 @@ _SQL_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Bursts of one hot key are merged before the shuffle.
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     # Rows of the array tables hold thousands of floats, so keep Arrow batches short.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
 }

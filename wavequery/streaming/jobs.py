@@ -42,8 +42,14 @@ def frame_features(
     ).select(key, F.col("window.start").alias("frame_start"), F.col("window.end").alias("frame_end"), "n", "snr_rms", "snr_peak")
 
 
-def coincidences(left: DataFrame, right: DataFrame, dt_us: int, left_time: str, right_time: str, delay: str) -> DataFrame:
-    """Pairs of two streams at most ``dt`` apart: an equality on time cells plus a time bound."""
+def coincidences(
+    left: DataFrame, right: DataFrame, dt_us: int, left_time: str, right_time: str, delay: str, salts: int = 4
+) -> DataFrame:
+    """Pairs of two streams at most ``dt`` apart: an equality on time cells plus a time bound.
+
+    A stream cannot be counted beforehand, so every cell is split: a row has one own salt
+    and is copied to each salt of the other side, and a pair meets in one state store.
+    """
     width = max(int(dt_us), 1)
 
     def cell(c: str):
@@ -52,11 +58,14 @@ def coincidences(left: DataFrame, right: DataFrame, dt_us: int, left_time: str,
     a = left.withWatermark(left_time, delay).withColumn("_home", cell(left_time))
     a = a.withColumn("_cell", F.explode(F.sequence(F.col("_home") - 1, F.col("_home") + 1))).drop("_home")
     b = right.withWatermark(right_time, delay).withColumn("_rcell", cell(right_time))
+    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    a = a.withColumn("_a1", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")).withColumn("_b1", every)
+    b = b.withColumn("_b2", F.pmod(F.xxhash64(*right.columns), F.lit(salts)).cast("int")).withColumn("_a2", every)
     near = F.expr(
-        f"_cell = _rcell AND {left_time} BETWEEN {right_time} - INTERVAL {dt_us} MICROSECONDS "
+        f"_cell = _rcell AND _a1 = _a2 AND _b1 = _b2 AND {left_time} BETWEEN {right_time} - INTERVAL {dt_us} MICROSECONDS "
         f"AND {right_time} + INTERVAL {dt_us} MICROSECONDS"
     )
-    return a.join(b, near).drop("_cell", "_rcell")
+    return a.join(b, near).drop("_cell", "_rcell", "_a1", "_a2", "_b1", "_b2")
 
 
 def labelled(windows: DataFrame, catalog: DataFrame, pre_us: int, pos_us: int, length_range_us: tuple[int, int]) -> DataFrame:
