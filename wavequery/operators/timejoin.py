@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavequery.operators.joins import join_checked
-from wavequery.operators.running import default_buckets, range_edges, running, with_range_bucket
+from wavequery.operators.running import range_edges, running, with_range_bucket
 from wavequery.session import cut_lineage
 
 # A time bucket is hot when it holds more than this share of its table, so at
@@ -27,7 +27,7 @@ SALTS = 16
 MAX_SLIDES = 10_000
 
 # Target rows of one task of the one-to-one matching.
-MATCH_ROWS = 200_000
+MATCH_ROWS = 100_000
 
 
 # --- interval overlap ---------------------------------------------------------
@@ -233,7 +233,7 @@ def greedy_matches(
 
     Returns ``(by..., left_us, right_us, n)``: ``n`` matches between a left and a right
     time. Equal times are counted before they are moved. The timeline is cut into
-    row-balanced buckets; each is matched on its own, starting from the unmatched
+    row-balanced buckets of bounded size; each is matched on its own, starting from the unmatched
     rows its predecessor left behind. Buckets whose assumed start turns out wrong
     are matched again until nothing changes, which is rare when buckets are long
     against ``dt``, and exact in every case.
@@ -249,7 +249,9 @@ def greedy_matches(
     )
     # Counted times are stored once: every later round reads the same rows.
     counts = cut_lineage(counts)
-    buckets = buckets or max(default_buckets(counts), counts.count() // MATCH_ROWS)
+    if not buckets:
+        largest = counts.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+        buckets = max(1, -(-largest // MATCH_ROWS))
     line = with_range_bucket(counts, "t_us", range_edges(counts, "t_us", buckets), "bucket")
     keys = [*by, "bucket"]
     by_fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in counts.select(*by).schema.fields)

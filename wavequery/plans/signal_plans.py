@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
@@ -58,33 +60,128 @@ def spectrogram(spark, sf_dir):
     return out.select("file_id", "t_bin", "f_bin", F.round("psd", 6).alias("psd"), F.round("db", 4).alias("db"))
 
 
+# --- filters by the definition of a convolution -------------------------------------
+#
+# A zero-phase filter is a convolution with an even kernel, the cosine transform of its
+# gain. A block sees its chunk and HALO samples on each side.
+
+GRID = 2_048
+BLOCKS_SQL = f"""clean AS (SELECT event_id // {si.FILE_SAMPLES} AS file_id, event_id % {si.FILE_SAMPLES} AS idx, value AS x FROM events),
+blocks AS (SELECT c.file_id, c.idx // {si.CHUNK_SAMPLES} AS chunk_id, min(c.idx) AS first_idx, CAST(count(*) AS INTEGER) AS n FROM clean c GROUP BY 1, 2)"""
+
+
+def kernel_sql(gains: str, keys: str = "") -> str:
+    """Kernel values at all distances inside a block, from gains per frequency bin."""
+    group = f"{keys}, d" if keys else "d"
+    return f"""kern AS (SELECT {group}, sum(gain * cos(2 * pi() * k * d / {GRID}) * CASE WHEN k IN (0, {GRID // 2}) THEN 1 ELSE 2 END) / {GRID} AS g
+  FROM {gains} CROSS JOIN (SELECT range AS d FROM range(0, {si.CHUNK_SAMPLES + HALO + 1})) GROUP BY {group})"""
+
+
+def convolve_sql(source: str, keyed: bool) -> str:
+    join = "k.file_id = b.file_id AND k.d = abs(o.idx - c.idx)" if keyed else "k.d = abs(o.idx - c.idx)"
+    return f"""conv AS (SELECT b.file_id, b.chunk_id, b.first_idx, b.n, o.idx, sum(c.x * k.g) AS y
+  FROM blocks b JOIN {source} o ON o.file_id = b.file_id AND o.idx // {si.CHUNK_SAMPLES} = b.chunk_id
+  JOIN {source} c ON c.file_id = b.file_id AND c.idx BETWEEN b.first_idx - {HALO} AND b.first_idx + b.n - 1 + {HALO}
+  JOIN kern k ON {join} GROUP BY ALL)"""
+
+
+def stats_sql(source: str) -> str:
+    return f"""SELECT file_id, chunk_id, first_idx, n, round(sum(y), 4) + 0.0 AS total, round(sum(y * y), 4) AS energy, round(max(y), 4) AS top
+FROM {source} GROUP BY file_id, chunk_id, first_idx, n"""
+
+
+def notch_sql(centre: float) -> str:
+    w0 = 2 * math.pi * centre / RATE
+    g = 1 / (1 + math.tan(w0 / 30.0 / 2))
+    w = f"(2 * pi() * k / {GRID})"
+
+    def square(c0, c1, c2):
+        return (
+            f"(pow({c0!r}::DOUBLE + {c1!r}::DOUBLE * cos({w}) + {c2!r}::DOUBLE * cos(2 * {w}), 2)"
+            f" + pow({c1!r}::DOUBLE * sin({w}) + {c2!r}::DOUBLE * sin(2 * {w}), 2))"
+        )
+
+    return f"{square(g, -2 * g * math.cos(w0), g)} / {square(1.0, -2 * g * math.cos(w0), 2 * g - 1)}"
+
+
+LOW, HIGH = 4.0, 20.0
+EDGE1, EDGE2 = math.tan(math.pi * LOW / RATE), math.tan(math.pi * HIGH / RATE)
+BANDPASS_SQL = f"""WITH {BLOCKS_SQL},
+flat AS (SELECT file_id, idx, x - avg(x) OVER (PARTITION BY file_id) AS x FROM clean),
+warped AS (SELECT range AS k, tan(pi() * least(CAST(range AS DOUBLE) / {GRID // 2}, 1 - 1e-12) / 2) AS w FROM range(0, {GRID // 2 + 1})),
+gains AS (SELECT k, CASE WHEN w = 0 THEN 0 ELSE 1 / (1 + pow((w * w - {EDGE1 * EDGE2!r}::DOUBLE) / (w * {EDGE2 - EDGE1!r}::DOUBLE), 12)) END
+  * {notch_sql(6.0)} * {notch_sql(12.0)} * {notch_sql(18.0)} AS gain FROM warped),
+{kernel_sql('gains')}, {convolve_sql('flat', False)}
+{stats_sql('conv')}"""
+
+
+def whiten_sql(amplitude: str, floor: str, final: str) -> str:
+    """Whitening by each file's own spectrum, interpolated on the grid of the block."""
+    return f"""WITH {WELCH_SQL},
+spec AS (SELECT file_id, bin, avg(psd) AS p FROM power GROUP BY file_id, bin),
+floored AS (SELECT file_id, bin, greatest(p, {floor}) AS p FROM spec),
+grid AS (SELECT range AS k, CAST(range AS DOUBLE) * {SEG} / {GRID} AS at FROM range(0, {GRID // 2 + 1})),
+level AS (SELECT a.file_id, g.k, a.p + coalesce((b.p - a.p) * (g.at - a.bin), 0) AS p
+  FROM grid g JOIN floored a ON a.bin = CAST(floor(g.at) AS INTEGER) LEFT JOIN floored b ON b.file_id = a.file_id AND b.bin = a.bin + 1),
+gains AS (SELECT file_id, k, 1 / ({amplitude}) AS gain FROM level),
+blocks AS (SELECT c.file_id, c.idx // {si.CHUNK_SAMPLES} AS chunk_id, min(c.idx) AS first_idx, CAST(count(*) AS INTEGER) AS n FROM clean c GROUP BY 1, 2),
+{kernel_sql('gains', 'file_id')}, {convolve_sql('clean', True)},
+z AS (SELECT file_id, chunk_id, first_idx, n, (y - avg(y) OVER w) / (stddev_pop(y) OVER w + 1e-12) AS y FROM conv WINDOW w AS (PARTITION BY file_id))
+{stats_sql(final)}"""
+
+
+WHITEN_SQL = whiten_sql(f"greatest(sqrt(p * {RATE} / 2), 1e-12)", "1e-24", "z")
+WHITEN_PLAIN_SQL = whiten_sql("sqrt(p) + 1e-12", "1e-6 * median(p) OVER (PARTITION BY file_id)", "conv")
+
+# Kaiser window with shape 5 through the power series of the Bessel function.
+UP, DOWN = 3, 4
+HALF = 10 * max(UP, DOWN)
+
+
+def bessel_sql(x: str) -> str:
+    return f"list_sum(list_transform(range(0, 30), lambda m: pow(pow({x} / 2, m) / factorial(CAST(m AS INTEGER)), 2)))"
+
+
+RESAMPLE_SQL = f"""WITH clean AS (SELECT event_id // {si.FILE_SAMPLES} AS file_id, event_id % {si.FILE_SAMPLES} AS idx, value AS x FROM events),
+taps AS (SELECT range AS t, CASE WHEN range = 0 THEN 1 ELSE sin(pi() * range / {max(UP, DOWN)}) / (pi() * range / {max(UP, DOWN)}) END
+  * {bessel_sql(f'(5.0::DOUBLE * sqrt(1 - pow(CAST(range AS DOUBLE) / {HALF}, 2)))')} AS h FROM range(-{HALF}, {HALF} + 1)),
+scaled AS (SELECT t, h / sum(h) OVER () * {UP} AS h FROM taps),
+size AS (SELECT file_id, max(idx) + 1 AS n FROM clean GROUP BY file_id),
+outs AS (SELECT file_id, unnest(range(0, (n * {UP} + {DOWN - 1}) // {DOWN})) AS m FROM size),
+y AS (SELECT o.file_id, o.m, sum(c.x * s.h) AS y FROM outs o JOIN clean c ON c.file_id = o.file_id AND abs(c.idx * {UP} - o.m * {DOWN}) <= {HALF}
+  JOIN scaled s ON s.t = c.idx * {UP} - o.m * {DOWN} GROUP BY o.file_id, o.m),
+placed AS (SELECT file_id, (m * {DOWN}) // {UP} // {si.CHUNK_SAMPLES} AS chunk_id, m, y FROM y)
+SELECT file_id, chunk_id, min(m) AS first_idx, CAST(count(*) AS INTEGER) AS n, round(sum(y), 4) + 0.0 AS total, round(sum(y * y), 4) AS energy, round(max(y), 4) AS top
+FROM placed GROUP BY file_id, chunk_id"""
+
+
 def _chunk_stats(chunks):
     """Length and rounded statistics of each chunk."""
     total = F.aggregate("samples", F.lit(0.0), lambda a, v: a + v)
     energy = F.aggregate("samples", F.lit(0.0), lambda a, v: a + v * v)
     return chunks.select(
         "file_id", "chunk_id", "first_idx", F.size("samples").alias("n"),
-        F.round(total, 4).alias("total"), F.round(energy, 4).alias("energy"), F.round(F.array_max("samples"), 4).alias("top"),
+        (F.round(total, 4) + 0.0).alias("total"), F.round(energy, 4).alias("energy"), F.round(F.array_max("samples"), 4).alias("top"),
     )
 
 
-@query("bandpass")
+@query("bandpass", BANDPASS_SQL)
 def bandpass(spark, sf_dir):
     blocks = signal.with_halo(signal.standardized(clean_chunks(spark, sf_dir), centre_only=True), HALO)
-    return _chunk_stats(signal.core(signal.filtered(blocks, RATE, 4.0, 20.0, notch_base=6.0, notch_count=3)))
+    return _chunk_stats(signal.core(signal.filtered(blocks, RATE, LOW, HIGH, notch_base=6.0, notch_count=3)))
 
 
-@query("whiten")
+@query("whiten", WHITEN_SQL)
 def whiten(spark, sf_dir):
     return _chunk_stats(signal.whiten(clean_chunks(spark, sf_dir), si.CHUNK_SAMPLES, RATE, SEG, HOP, HALO))
 
 
-@query("whiten_plain")
+@query("whiten_plain", WHITEN_PLAIN_SQL)
 def whiten_plain(spark, sf_dir):
     return _chunk_stats(signal.whiten(clean_chunks(spark, sf_dir), si.CHUNK_SAMPLES, RATE, SEG, HOP, HALO, "plain"))
 
 
-@query("resample")
+@query("resample", RESAMPLE_SQL)
 def resample(spark, sf_dir):
     up, down = signal.rational_ratio(48, RATE)
     return _chunk_stats(signal.resampled(clean_chunks(spark, sf_dir), up, down, HALO))
