@@ -139,6 +139,31 @@ def test_minimums(spark, counts):
         assert all(got.get(s, 0) >= n for s, n in goal.items())
 
 
+def test_ensure_split(spark):
+    rows = spark.range(300).withColumn("g", F.col("id") % 30)
+    out = splits.ensure_split(rows.withColumn("subset", F.lit("train")), "g", "id", 0.2, 0.2)
+    assert out.groupBy("g").agg(F.count_distinct("subset").alias("n")).where("n > 1").count() == 0
+    assert {r[0] for r in out.select("subset").distinct().collect()} == {"train", "val", "test"}
+    assert splits.ensure_split(out, "g", "id", 0.5, 0.2).collect() == out.collect()
+    one_group = splits.ensure_split(rows.withColumn("g", F.lit(1)), "g", "id", 0.2, 0.25)
+    counts = {r["subset"]: r["count"] for r in one_group.groupBy("subset").count().collect()}
+    assert counts == {"test": 60, "val": 60, "train": 180}
+
+
+def test_first_rows_beyond_the_pushed_limit(spark):
+    rows = spark.range(5000).withColumn("k", (F.col("id") % 10 < 8).cast("int"))
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "10")
+    try:
+        many = checks.first_rows(rows, "k", ["id"], 700)
+        assert {r["k"]: r["count"] for r in many.groupBy("k").count().collect()} == {0: 700, 1: 700}
+        few = checks.first_rows(rows, "k", ["id"], 7)
+        assert sorted(r["id"] for r in few.where("k = 0").collect()) == [8, 9, 18, 19, 28, 29, 38]
+        # 700 rows with k = 1 are the first 8 of every ten: 87 full tens and 4 more.
+        assert many.where("k = 1").agg(F.max("id")).first()[0] == 873
+    finally:
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "1000")
+
+
 def test_samples_without_positives(spark):
     rows = spark.range(50).withColumn("label", F.lit(0))
     assert splits.downsample(rows, "id").count() == 50

@@ -170,3 +170,23 @@ def split_restore(base: DataFrame, sidecar: DataFrame, keys: Sequence[str], out:
     """Attach the saved split by key; rows without one go to ``default``."""
     saved = sidecar.groupBy(*keys).agg(F.min(out).alias(out))
     return base.drop("split", "subset").join(saved, list(keys), "left").withColumn(out, F.coalesce(out, F.lit(default)))
+
+
+def ensure_split(
+    rows: DataFrame, group: str, key: str, test: float, val: float, seed: int = 42, subset: str = "subset"
+) -> DataFrame:
+    """Keep a split whose three subsets all have rows; else split by group, else by row.
+
+    ``key`` identifies a row. Too few groups for three subsets lead to the split by row.
+    """
+
+    def complete(df: DataFrame) -> bool:
+        present = {r[subset] for r in df.select(subset).distinct().limit(len(SUBSETS) + 1).collect()}
+        return set(SUBSETS) <= present
+
+    if subset in rows.columns:
+        if complete(rows):
+            return rows
+        rows = rows.drop(subset)
+    grouped = group_split(rows, group, test, val, seed, out=subset)
+    return grouped if complete(grouped) else random_split(rows, key, test, val, seed, subset)

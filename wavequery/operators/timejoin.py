@@ -411,28 +411,20 @@ def background_thresholds(scores: DataFrame, targets: Sequence[float], score: st
 def range_summary(ranges: DataFrame, catalog: DataFrame, key: str, lo: str, hi: str, tc: str = "tc_us") -> DataFrame:
     """Count, first and last catalogue time inside each range, without listing the pairs.
 
-    Ends of ranges and catalogue times share one ordered line; the number of times
-    up to each end gives the count, the neighbours give the first and last time.
+    The distinct ends of the ranges and the catalogue times share one ordered line; the
+    number of times up to each end gives the count, the neighbours give the first and
+    last time. Results return to the ranges by their ends.
     """
-    ends = ranges.select(
-        F.explode(
-            F.array(
-                F.struct(F.col(lo).alias("x"), F.lit(0).alias("kind"), F.col(key).alias(key)),
-                F.struct(F.col(hi).alias("x"), F.lit(2).alias("kind"), F.col(key).alias(key)),
-            )
-        ).alias("e")
-    ).select("e.*", F.lit(0).cast("long").alias("n"))
-    times = catalog.groupBy(F.col(tc).alias("x")).agg(F.count("*").alias("n"))
-    key_type = ranges.schema[key].dataType
-    times = times.select("x", F.lit(1).alias("kind"), F.lit(None).cast(key_type).alias(key), "n")
-    line = with_range_bucket(ends.unionByName(times), "x", range_edges(catalog, tc))
+    times = catalog.groupBy(F.col(tc).alias("x")).agg(F.count("*").alias("n")).withColumn("kind", F.lit(1))
+    none = F.lit(0).cast("long").alias("n")
+    low = ranges.select(F.col(lo).alias("x"), none, F.lit(0).alias("kind")).distinct()
+    high = ranges.select(F.col(hi).alias("x"), none, F.lit(2).alias("kind")).distinct()
+    line = times.unionByName(low).unionByName(high)
+    line = with_range_bucket(line, "x", range_edges(line, "x"))
     mark = F.when(F.col("kind") == 1, F.col("x"))
     line = running(line, ["x", "kind"], {"upto": ("sum", "n"), "prev": ("max", mark)})
     line = running(line, ["x", "kind"], {"next": ("min", mark)}, descending=True)
-    low, high = F.col("kind") == 0, F.col("kind") == 2
-    summary = line.where("kind <> 1").groupBy(key).agg(
-        (F.max(F.when(high, F.col("upto"))) - F.max(F.when(low, F.col("upto")))).alias("n_tc"),
-        F.max(F.when(low, F.col("next"))).alias("first_tc"),
-        F.max(F.when(high, F.col("prev"))).alias("last_tc"),
-    )
-    return summary.where("n_tc > 0")
+    at_low = line.where("kind = 0").select(F.col("x").alias(lo), F.col("upto").alias("_before"), F.col("next").alias("first_tc"))
+    at_high = line.where("kind = 2").select(F.col("x").alias(hi), F.col("upto").alias("_upto"), F.col("prev").alias("last_tc"))
+    found = ranges.join(at_low, lo).join(at_high, hi).withColumn("n_tc", F.col("_upto") - F.col("_before"))
+    return found.where("n_tc > 0").select(key, "n_tc", "first_tc", "last_tc")
