@@ -256,6 +256,11 @@ def greedy_matches(
     keys = [*by, "bucket"]
     by_fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in counts.select(*by).schema.fields)
 
+    if buckets == 1:
+        # Every key fits one task: nothing is carried over.
+        done = _match_buckets(line, None, keys, by_fields, dt_us)
+        return done.where("kind = 'match'").select(*by, "left_us", "right_us", "n")
+
     empty = line.select(*keys).distinct().select(
         *keys,
         F.lit(0).alias("side"),
@@ -292,13 +297,13 @@ def greedy_matches(
     return done.where("kind = 'match'").select(*by, "left_us", "right_us", "n")
 
 
-def _match_buckets(line: DataFrame, carry: DataFrame, keys: list[str], by_fields: str, dt_us: int) -> DataFrame:
-    def match(rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+def _match_buckets(line: DataFrame, carry: DataFrame | None, keys: list[str], by_fields: str, dt_us: int) -> DataFrame:
+    def match(rows: pd.DataFrame, start: pd.DataFrame | None = None) -> pd.DataFrame:
         if rows.empty:
             return pd.DataFrame(columns=[*keys, *_MATCH_COLUMNS])
         rows = rows.sort_values("t_us")
         side, queue = 0, []
-        if len(start):
+        if start is not None and len(start):
             side = int(start["side"].iloc[0])
             queue = [[int(t), int(n)] for t, n in zip(start["queue_us"].iloc[0], start["queue_n"].iloc[0])]
         pairs, side, queue = match_in_order(
@@ -313,11 +318,10 @@ def _match_buckets(line: DataFrame, carry: DataFrame, keys: list[str], by_fields
             out[key] = rows[key].iloc[0]
         return out[[*keys, *_MATCH_COLUMNS]]
 
-    return (
-        line.groupBy(*keys)
-        .cogroup(carry.groupBy(*keys))
-        .applyInPandas(match, schema=by_fields + _MATCH_FIELDS)
-    )
+    schema = by_fields + _MATCH_FIELDS
+    if carry is None:
+        return line.groupBy(*keys).applyInPandas(lambda rows: match(rows), schema=schema)
+    return line.groupBy(*keys).cogroup(carry.groupBy(*keys)).applyInPandas(match, schema=schema)
 
 
 _MATCH_COLUMNS = ["kind", "left_us", "right_us", "n", "side", "queue_us", "queue_n", "first_us"]

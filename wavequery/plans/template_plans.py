@@ -8,6 +8,7 @@ from wavequery.functions import arrays as ar
 from wavequery.operators import ranking as rk
 from wavequery.operators import summaries as sm
 from wavequery.operators import templates as tp
+from wavequery.operators.joins import join_checked
 from wavequery.operators.running import range_edges, running, with_range_bucket
 from wavequery.plans import stand_ins as si
 from wavequery.plans.registry import query
@@ -242,9 +243,8 @@ def injection_recall(spark, sf_dir):
     of_bank = positions(bank, "template_id")
     size = of_bank.agg(F.max("_rank_total")).scalar()
     of_windows = positions(windows, "window_id").select("window_id", F.pmod("pos", size).alias("pos"))
-    trials = windows.join(of_windows, "window_id").join(
-        bank.join(of_bank, "template_id").select("pos", F.col("wave").alias("h")), "pos"
-    )
+    placed = bank.join(of_bank, "template_id").select("pos", F.col("wave").alias("h"))
+    trials = join_checked(windows.join(of_windows, "window_id"), placed, ["pos"], limit=512)
     scored = trials.select(tp.injected_score(AMP, MAX_SHIFT, LAG_STEP)("wave", "h").alias("score"))
     return injection_summary(scored)
 
