@@ -48,7 +48,7 @@ def test_interval_edges(spark):
     assert run_label(spark, windows, [100], 3, 7, (20, 20)) == [1, 0, 1, 0, 1, 0]
 
 
-@pytest.mark.parametrize("lengths", [(20, 20), (5, 90)])
+@pytest.mark.parametrize("lengths", [(20, 20), (5, 90), (1, 900)])
 @pytest.mark.parametrize("margins", [(0, 0), (3, 7), (50, 2)])
 def test_interval_random(spark, lengths, margins):
     rng = np.random.default_rng(5)
@@ -66,6 +66,14 @@ def test_interval_label_keeps_rows_and_empty_catalog(spark):
     assert tj.interval_label(w, empty, 1, 1).first()["label"] == 0
 
 
+@pytest.mark.parametrize("length", [(20, 20), (1, 2000)])
+def test_interval_label_by_hint(spark, length):
+    w = spark.createDataFrame([("a", 0, 20), ("b", 0, 20), ("c", 50, 70)], "h string, start_us long, end_us long")
+    c = spark.createDataFrame([("a", 10), ("b", 30), ("a", 60)], "h string, tc_us long")
+    out = tj.interval_label(w, c, 5, 5, length, by=["h"])
+    assert {r["h"]: r["label"] for r in out.collect()} == {"a": 1, "b": 0, "c": 0}
+
+
 def test_range_probe_and_summary(spark):
     rng = np.random.default_rng(6)
     ranges = [(i, int(a), int(a + n)) for i, (a, n) in enumerate(zip(rng.integers(0, 900, 40), rng.integers(0, 200, 40)))]

@@ -23,6 +23,9 @@ HOT_SHARE = 1.0 / 512
 HOT_MIN_ROWS = 10_000
 SALTS = 16
 
+# Most time cells a catalogue time may be copied to.
+MAX_REACH = 64
+
 # Slides are literals of the plan.
 MAX_SLIDES = 10_000
 
@@ -53,6 +56,9 @@ def interval_label(
     the earliest time of the later cells lies inside. That is one lookup on a
     unique cell: windows are not copied and the result needs no de-duplication.
 
+    Windows of very different lengths would need many cells per catalogue time; those are
+    labelled by the next catalogue time after their start instead.
+
     ``by`` adds equality keys, such as an event hint, for the restricted variant.
     """
     if length_range_us is None:
@@ -67,6 +73,8 @@ def interval_label(
         raise ValueError("windows with their margins must have a positive length")
     reach = -(-longest // shortest)
     by = list(by)
+    if reach > MAX_REACH:
+        return _label_by_next(windows, catalog, pre_us, pos_us, start, end, tc, label, by)
 
     cells = (
         catalog.select(*by, F.col(tc).alias("_tc"), F.floor(F.col(tc) / shortest).cast("long").alias("_home"))
@@ -88,6 +96,20 @@ def interval_label(
     return looked_up.withColumn(label, hit.cast("int")).drop("_cell", "_latest_here", "_earliest_later")
 
 
+def _label_by_next(windows, catalog, pre_us, pos_us, start, end, tc, label, by) -> DataFrame:
+    """Label from the first catalogue time at or after ``start - pos``, found on one ordered line."""
+    placed = windows.withColumn("_lower", F.col(start) - pos_us)
+    lowers = placed.select(*by, F.col("_lower").alias("x"), F.lit(0).alias("kind")).distinct()
+    times = catalog.select(*by, F.col(tc).alias("x"), F.lit(1).alias("kind")).distinct()
+    line = lowers.unionByName(times)
+    line = with_range_bucket(line, "x", range_edges(line, "x"))
+    mark = F.when(F.col("kind") == 1, F.col("x"))
+    line = running(line, ["x", "kind"], {"_next": ("min", mark)}, by=by, descending=True)
+    nearest = line.where("kind = 0").select(*by, F.col("x").alias("_lower"), "_next")
+    hit = F.coalesce(F.col("_next") <= F.col(end) + pre_us, F.lit(False))
+    return placed.join(nearest, [*by, "_lower"], "left").withColumn(label, hit.cast("int")).drop("_lower", "_next")
+
+
 def range_probe(ranges: DataFrame, catalog: DataFrame, cell_us: int, lo: str, hi: str, tc: str = "tc_us") -> DataFrame:
     """Every (range, catalogue time) with ``lo <= tc <= hi``, both ends included.
 

@@ -82,7 +82,7 @@ def download_plan(
     At most ``per_event`` files of an event are taken. A file of unknown size counts
     256 MiB. ``need`` is the counted size and ``total`` the running sum.
     """
-    missing = files.join(existing.select(fname), fname, "left_anti")
+    missing = files.join(existing.select(fname).distinct(), fname, "left_anti")
     sized = missing.where(F.col(size).isNull() | (F.col(size) <= max_file))
     sized = sized.withColumn("need", F.coalesce(F.when(F.col(size) > 0, F.col(size)), F.lit(UNKNOWN_BYTES)))
     # The rank filter is pushed below the shuffle, so an event keeps per_event rows per task.
@@ -94,8 +94,8 @@ def download_plan(
 
 
 def pending(inputs: DataFrame, outputs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inputs without an output yet."""
-    return inputs.join(outputs.select(*keys), list(keys), "left_anti")
+    """Inputs without an output yet. Outputs are reduced to their distinct keys before they move."""
+    return inputs.join(outputs.select(*keys).distinct(), list(keys), "left_anti")
 
 
 def latest_complete_run(artefacts: DataFrame, kinds: Sequence[str], run: str = "run_id", kind: str = "kind") -> DataFrame:
