@@ -15,7 +15,7 @@ from wavequery.sources import files, tables
 @pytest.mark.parametrize(
     "name, det, loose, event",
     [
-        ("/x/H-H1_GWOSC_4KHZ_R1-1126257414-4096.hdf5", "H1", "H1", ""),
+        ("/x/H-H1_SITE_4KHZ_R1-1126257414-4096.hdf5", "H1", "H1", ""),
         ("l-l1_gw150914_4khz.hdf5", "L1", "UNK", "GW150914"),
         ("GW170817_V1.txt", "UNK", "V1", "GW170817"),
         ("plain.hdf5", "UNK", "UNK", ""),
@@ -69,6 +69,18 @@ def test_preview_and_checksum(spark, tmp_path):
     assert (listed["fname"], listed["bytes"]) == ("a.bin", 3)
 
 
+def test_scores_csv_with_schema(spark):
+    path = scratch_path(spark, "scores")
+    rows = spark.createDataFrame([("f", 1.5, 1, 0.25)], tables.SCORE_SCHEMA)
+    tables.write_csv(rows, path)
+    assert tables.read_scores_csv(spark, path, tables.SCORE_SCHEMA).collect() == rows.collect()
+
+
+def test_unknown_reason():
+    with pytest.raises(ValueError):
+        checks.reason_of({"nonsense": None})
+
+
 def test_normalize_flags_and_rate(spark):
     raw = spark.createDataFrame([("a", 1.0, 0.5, False, True)], "fileid string, start double, proba double, is_val boolean, is_test boolean")
     out = tables.normalize_columns(raw)

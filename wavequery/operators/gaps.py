@@ -15,8 +15,6 @@ from wavequery.operators.running import running
 # A file may have very many chunks: state is carried over groups of this many chunks first.
 CHUNK_FANOUT = 1024
 
-POLICIES = ("interp", "zero", "skip", "strict")
-
 
 def is_bad(value: Column) -> Column:
     """True for null, NaN and infinite samples."""

@@ -7,9 +7,10 @@ from collections.abc import Callable, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import PCA, Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -158,3 +159,20 @@ def spread(trials: DataFrame, metric: str) -> DataFrame:
         F.count(metric).alias("trials"), F.avg(metric).alias("mean"), F.stddev_samp(metric).alias("std"),
         F.min(metric).alias("lo"), F.max(metric).alias("hi"),
     )
+
+
+def principal_components(rows: DataFrame, vector: str, keep: Sequence[str], k: int = 2) -> DataFrame:
+    """Projection of the centred vectors on the first ``k`` principal components, as ``pc1 ...``.
+
+    Only the component matrix and the mean (one value per dimension) reach the driver. A
+    component points to where its largest loading is positive.
+    """
+    model = PCA(k=k, inputCol=vector, outputCol="_p").fit(rows)
+    loadings = model.pc.toArray()
+    mean = rows.select(Summarizer.mean(F.col(vector)).alias("m")).first()["m"].toArray()
+    columns = []
+    for i in range(k):
+        axis = loadings[:, i]
+        sign = 1.0 if axis[abs(axis).argmax()] > 0 else -1.0
+        columns.append(((F.col("_a")[i] - F.lit(float(axis @ mean))) * F.lit(sign)).alias(f"pc{i + 1}"))
+    return model.transform(rows).withColumn("_a", vector_to_array("_p")).select(*keep, *columns)

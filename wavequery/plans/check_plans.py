@@ -80,10 +80,8 @@ def reject_rows(spark, sf_dir):
     cut = gaps.window_slices(slice_windows(spark, sf_dir, 9, 10), chunks, si.CHUNK_SAMPLES, 2)
     good = F.filter("samples", lambda v: v.isNotNull() & ~F.isnan(v))
     peak = F.array_max(F.transform(good, lambda v: F.abs(v)))
-    reason = (
-        F.when(F.col("samples").isNull(), "out_of_bounds")
-        .when(F.size(good) == 0, "non_finite")
-        .when(peak > 100, "glitch_veto_peak")
+    reason = ck.reason_of(
+        {"out_of_bounds": F.col("samples").isNull(), "non_finite": F.size(good) == 0, "glitch_veto_peak": peak > 100}
     )
     return cut.select("file_id", "start_idx", reason.alias("reason"))
 

@@ -35,17 +35,12 @@ def points_sql(source: str, cte: str, name: str = "points", score: str = "score"
 
 EVENT_POINTS = points_sql("event_scores", si.EVENT_SCORES_SQL)
 LINE_POINTS = points_sql("line_scores", si.LINE_SCORES_SQL)
-DOC_POINTS = points_sql("scores", si.SCORES_SQL)
 
 
 def event_points(spark, sf_dir):
     return rk.operating_points(si.event_scores(spark, sf_dir))
 
 
-def doc_points(spark, sf_dir):
-    return rk.operating_points(si.scores(spark, sf_dir))
-
-
 def rounded(df, digits=6, **columns):
     return df.select(*[F.round(c, digits).alias(c) if columns.get(c) else F.col(c) for c in df.columns])
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from wavequery.operators import gaps, signal
+from wavequery.operators.models import principal_components
 from wavequery.plans import stand_ins as si
 from wavequery.plans.frame_plans import GOOD_SQL
 from wavequery.plans.registry import query
@@ -279,9 +279,40 @@ def reweighted_snr(spark, sf_dir):
     )
 
 
-@query("pca_2d")
+# The leading direction of a covariance matrix is the limit of its normalized powers;
+# repeated squaring reaches a very high power in a few steps.
+SQUARINGS = 18
+
+
+def leading_sql(name: str, source: str) -> str:
+    return f"""{name}_pow(i, m) AS (
+  SELECT 0, m FROM {source} UNION ALL
+  SELECT i + 1, list_transform(s, lambda r: list_transform(r, lambda v: v / t)) FROM (
+    SELECT i, s, list_sum(list_transform(range(1, len(s) + 1), lambda j: s[j][j])) AS t FROM (
+      SELECT i, list_transform(m, lambda r: list_transform(m, lambda c: list_dot_product(r, c))) AS s FROM {name}_pow WHERE i < {SQUARINGS}))),
+{name}_last AS (SELECT m FROM {name}_pow WHERE i = {SQUARINGS}),
+{name}_col AS (SELECT m[list_position(d, list_max(d))] AS c FROM (SELECT m, list_transform(range(1, len(m) + 1), lambda j: m[j][j]) AS d FROM {name}_last)),
+{name}_unit AS (SELECT list_transform(c, lambda v: v / sqrt(list_dot_product(c, c))) AS u FROM {name}_col),
+{name}_axis AS (SELECT list_transform(u, lambda v: v * sign(u[list_position(list_transform(u, lambda w: abs(w)), list_max(list_transform(u, lambda w: abs(w))))])) AS u FROM {name}_unit)"""
+
+
+PCA_SQL = f"""WITH RECURSIVE vec AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+long_v AS (SELECT vec_id, unnest(range(1, len(e) + 1)) AS j, unnest(e) AS v FROM vec),
+centred AS (SELECT vec_id, j, v - avg(v) OVER (PARTITION BY j) AS v FROM long_v),
+wide AS (SELECT vec_id, list(v ORDER BY j) AS x FROM centred GROUP BY vec_id),
+dims AS (SELECT j, list(v ORDER BY vec_id) AS col FROM centred GROUP BY j),
+cov AS (SELECT list(r ORDER BY j) AS m FROM (SELECT a.j, list(list_dot_product(a.col, b.col) ORDER BY b.j) AS r FROM dims a CROSS JOIN dims b GROUP BY a.j)),
+{leading_sql('one', 'cov')},
+rest AS (SELECT list_transform(range(1, len(m) + 1), lambda i: list_transform(range(1, len(m) + 1), lambda j: m[i][j] - l * u[i] * u[j])) AS m
+  FROM (SELECT m, u, list_dot_product(u, list_transform(m, lambda r: list_dot_product(r, u))) AS l FROM cov CROSS JOIN one_axis)),
+{leading_sql('two', 'rest')}
+SELECT w.vec_id, v.label, round(list_dot_product(w.x, a.u), 6) + 0.0 AS pc1, round(list_dot_product(w.x, b.u), 6) + 0.0 AS pc2
+FROM wide w JOIN vec v ON v.vec_id = w.vec_id CROSS JOIN one_axis a CROSS JOIN two_axis b"""
+
+
+@query("pca_2d", PCA_SQL)
 def pca_2d(spark, sf_dir):
-    rows = si.table(spark, sf_dir, "embeddings").select("vec_id", "label", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    projected = PCA(k=2, inputCol="v", outputCol="p").fit(rows).transform(rows)
-    xy = projected.select("vec_id", "label", vector_to_array("p").alias("p"))
-    return xy.select("vec_id", "label", F.round(F.col("p")[0], 6).alias("pc1"), F.round(F.col("p")[1], 6).alias("pc2"))
+    vectors = array_to_vector(F.col("embedding").cast("array<double>")).alias("v")
+    rows = si.table(spark, sf_dir, "embeddings").select("vec_id", "label", vectors)
+    out = principal_components(rows, "v", ["vec_id", "label"])
+    return out.select("vec_id", "label", *[(F.round(c, 6) + 0.0).alias(c) for c in ("pc1", "pc2")])

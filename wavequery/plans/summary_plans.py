@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wavequery.functions import names, physics
+from wavequery.functions import physics
 from wavequery.operators import summaries as sm
 from wavequery.plans import stand_ins as si
 from wavequery.plans.registry import query
 from wavequery.plans.split_sql import HASH_SPLIT_CASE, hash_subset
 
-DAY_US = 86_400 * si.SECOND_US
-
 
 @query(
     "subset_summary",

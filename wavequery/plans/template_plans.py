@@ -128,9 +128,6 @@ def ncc_pool(spark, sf_dir):
     return out.select("window_id", F.round("score", 6).alias("score"))
 
 
-ARRAY_STATS_SQL = "round(list_sum(z), 6) + 0.0 AS total, round(z[1], 6) AS head, round(z[-1], 6) AS tail, CAST(len(z) AS INTEGER) AS n"
-
-
 def _array_stats(df, column="z"):
     total = F.aggregate(column, F.lit(0.0), lambda a, v: a + v)
     return df.select(
