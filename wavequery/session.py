@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -21,13 +22,33 @@ _SQL_SETTINGS = {
 }
 
 
+_shipped_to: set[str] = set()
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the runtime SQL settings to a session and return it."""
+    """Apply the runtime SQL settings to a session, ship the package to its workers and return it."""
     for key, value in _SQL_SETTINGS.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application.
+
+    Workers need it to load pandas functions, whatever folder the driver was started in.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped_to:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    # Only the driver reads this archive; Spark sends it to the executors.
+    target = os.path.join(tempfile.mkdtemp(prefix="spark-"), "wavequery")
+    archive = shutil.make_archive(target, "zip", os.path.dirname(package), os.path.basename(package))
+    context.addPyFile(archive)
+    _shipped_to.add(context.applicationId)
+
+
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A single-machine session for tests and the benchmark."""
     spark = (
