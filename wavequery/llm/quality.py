@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wavequery.llm import words
 
@@ -25,10 +26,7 @@ LONGEST_REPEAT = 100  # words
 BLOCK_WORDS = 500_000
 
 _SYMBOLS = b"#*$%&|<>"
-_SCHEMA = (
-    "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
-    "n_repeat_words bigint, n_covered_words bigint, longest_repeat bigint"
-)
+_MEASURES = "n_words word_chars n_symbols n_dup_lines n_repeat_words n_covered_words longest_repeat".split()
 
 
 def suffix_array(sequence: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -122,10 +120,10 @@ def _duplicate_lines(data: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-def _measure(shortest: int):
+def _measure(shortest: int, carried: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, held = batch.column("doc_id").to_pylist(), words.texts(batch)
+            held = words.texts(batch)
             at = 0
             while at < len(held):  # bounded blocks, at least one text each
                 until, size = at, 0
@@ -137,31 +135,33 @@ def _measure(shortest: int):
                 best = repeats(sequence, row)
                 longest = np.zeros(len(data), np.int64)
                 np.maximum.at(longest, row, best)
-                n_words = np.bincount(row, minlength=len(data)).tolist()
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": pa.array(ids[at:until], pa.int64()),
-                        "n_words": n_words,
-                        "word_chars": [len(d.translate(None, words.WHITE).decode()) for d in data],
-                        "n_symbols": [len(d) - len(d.translate(None, _SYMBOLS)) for d in data],
-                        "n_dup_lines": list(map(_duplicate_lines, data)),
-                        "n_repeat_words": _sums(_united(np.where(best >= 3, 3, 0)), row, len(data)),
-                        "n_covered_words": _sums(_united(np.where(best >= shortest, best, 0)), row, len(data)),
-                        "longest_repeat": longest.tolist(),
-                    }
-                )
+                found = {
+                    "n_words": np.bincount(row, minlength=len(data)).tolist(),
+                    "word_chars": [len(d.translate(None, words.WHITE).decode()) for d in data],
+                    "n_symbols": [len(d) - len(d.translate(None, _SYMBOLS)) for d in data],
+                    "n_dup_lines": list(map(_duplicate_lines, data)),
+                    "n_repeat_words": _sums(_united(np.where(best >= 3, 3, 0)), row, len(data)),
+                    "n_covered_words": _sums(_united(np.where(best >= shortest, best, 0)), row, len(data)),
+                    "longest_repeat": longest.tolist(),
+                }
+                columns = [batch.column(c).slice(at, until - at) for c in carried]
+                columns += [pa.array(found[c], pa.int64()) for c in _MEASURES]
+                yield pa.RecordBatch.from_arrays(columns, [*carried, *_MEASURES])
                 at = until
 
     return run
 
 
-def measure(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
-    """Counts of words, characters, symbols, equal lines and repeats of every text.
+def measure(docs: DataFrame, shortest: int = SHORTEST, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Counts of words, characters, symbols, equal lines and repeats of every text, with ``doc_id`` and ``keep``.
 
     Null text counts as empty: all counts are 0. A null ``doc_id`` stays null; repeated rows are measured each. Texts of
     any length are measured whole, in memory linear in the longest text. Other columns are ignored.
     """
-    return docs.select("doc_id", "text").mapInArrow(_measure(shortest), _SCHEMA)
+    needed = docs.select(*dict.fromkeys(["doc_id", "text", *keep]))
+    carried = [f for f in needed.schema if f.name == "doc_id" or f.name in keep]
+    schema = T.StructType([*carried, *[T.StructField(m, T.LongType()) for m in _MEASURES]])
+    return needed.mapInArrow(_measure(shortest, [f.name for f in carried]), schema)
 
 
 def judged(

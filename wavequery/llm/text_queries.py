@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from wavequery.llm import quality
+from pyspark.sql import functions as F
+
+from wavequery.llm import html_text, multiset_hash, quality, toxicity
 from wavequery.llm.registry import query
 from wavequery.session import table
 
@@ -59,3 +61,87 @@ _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 def op10_suffix_repetition(spark, sf_dir):
     """Repetition verdicts of all documents."""
     return quality.judged(quality.measure(table(spark, sf_dir, "documents"))).drop("longest_repeat")
+
+
+@query("op1_nnpu_toxicity")
+def op1_nnpu_toxicity(spark, sf_dir):
+    """Toxicity of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.scored(docs.select("doc_id", "text"), model)
+    predicted = F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", predicted.alias("predicted"))
+
+
+_HALF, _SIGNS = multiset_hash.HALF, multiset_hash.SIGNS
+
+
+@query(
+    "op2_multiset_hash",
+    f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+    o AS (
+      SELECT doc_id, text, n,
+             coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next_id,
+             coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text
+      FROM d WINDOW w AS (ORDER BY doc_id DESC)
+    ),
+    t AS (
+      SELECT doc_id, false AS edited, text FROM o
+      UNION ALL SELECT doc_id, true, substr(text, 1, n - n // 2) || substr(next_text, 1, n // 2) FROM o
+    ),
+    p AS (SELECT doc_id, edited, unnest(string_split(text, chr(10))) AS p FROM t),
+    q AS (SELECT doc_id, edited, sha256('0' || p) || sha256('1' || p) AS h FROM p WHERE p <> ''),
+    u AS (
+      SELECT doc_id, edited, lane, sum(('0x' || substr(h, 1 + 8 * lane, 8))::BIGINT) % 4294967296 AS v
+      FROM q, range(0, {multiset_hash.WIDE}) AS r(lane) GROUP BY ALL
+    ),
+    wide AS (
+      SELECT doc_id, edited, string_agg(printf('%08x', coalesce(v, 0)::BIGINT), '' ORDER BY lane) AS w
+      FROM t CROSS JOIN range(0, {multiset_hash.WIDE}) AS r(lane) LEFT JOIN u USING (doc_id, edited, lane) GROUP BY doc_id, edited
+    ),
+    s AS (
+      SELECT doc_id, edited, md5(trim(x)) AS h
+      FROM (SELECT doc_id, edited, unnest(string_split(replace(text, '.', chr(10)), chr(10))) AS x FROM t)
+      WHERE trim(x) <> ''
+    ),
+    b AS (
+      SELECT doc_id, edited, lane,
+             sum(2 * ((('0x' || substr(h, 1 + 15 * (lane // {2 * _HALF}), 15))::BIGINT >> (lane % {2 * _HALF})) & 1) - 1) AS v
+      FROM s, range(0, {_SIGNS}) AS r(lane) GROUP BY ALL
+    ),
+    signs AS (
+      SELECT doc_id, edited, list((coalesce(v, 0))::BIGINT ORDER BY lane) AS v,
+             string_agg(printf('%04x', ((coalesce(v, 0)::BIGINT + 65536) % 65536)::BIGINT), '' ORDER BY lane) AS x
+      FROM t CROSS JOIN range(0, {_SIGNS}) AS r(lane) LEFT JOIN b USING (doc_id, edited, lane) GROUP BY doc_id, edited
+    ),
+    f AS (SELECT doc_id, edited, v, w || x AS fingerprint FROM wide JOIN signs USING (doc_id, edited)),
+    j AS (
+      SELECT o.doc_id, n, sha256(e.text) AS edited_sha256, a.fingerprint, c.fingerprint AS edited_fingerprint,
+             a.v AS av, c.v AS cv, z.v AS zv
+      FROM o JOIN f a ON a.doc_id = o.doc_id AND NOT a.edited JOIN f c ON c.doc_id = o.doc_id AND c.edited
+      JOIN f z ON z.doc_id = o.next_id AND NOT z.edited JOIN t e ON e.doc_id = o.doc_id AND e.edited
+    ),
+    k AS (
+      SELECT *, list_sum([x * x FOR x IN av])::BIGINT AS aa, list_sum([x * x FOR x IN cv])::BIGINT AS cc,
+             list_sum([x * x FOR x IN zv])::BIGINT AS zz,
+             list_sum([(av[i] - cv[i]) * (av[i] - cv[i]) FOR i IN range(1, {_SIGNS} + 1)])::BIGINT AS ac,
+             list_sum([(av[i] - zv[i]) * (av[i] - zv[i]) FOR i IN range(1, {_SIGNS} + 1)])::BIGINT AS az
+      FROM j
+    )
+    SELECT doc_id, n AS n_chars, edited_sha256, fingerprint, edited_fingerprint,
+           CASE WHEN ac = 0 THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1 - ac / (aa + cc)) END AS near_edited,
+           CASE WHEN az = 0 THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1 - az / (aa + zz)) END AS near_next
+    FROM k
+    """,
+)
+def op2_multiset_hash(spark, sf_dir):
+    """Fingerprints of all documents and of their edited texts."""
+    return multiset_hash.compared(table(spark, sf_dir, "documents"))
+
+
+@query("op5_text_density")
+def op5_text_density(spark, sf_dir):
+    """Main texts of all pages."""
+    found = html_text.main_texts(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("bigint"))
