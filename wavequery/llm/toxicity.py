@@ -4,7 +4,7 @@ Confirmed toxic documents and unlabelled ones train linear classifiers. With the
 ``p * E_P[loss(g)] + max(0, E_U[loss(-g)] - p * E_P[loss(-g)])``: toxic documents among the unlabelled ones are taken out of
 the risk of clean ones, and where that would turn negative the step goes the other way.
 
-Features are the words of a text and their first letters. Each classifier keeps those that toxic documents
+Features are the words of a text and their first letters, at several counts of distinct words. Each classifier keeps those that toxic documents
 have significantly more often, and is fitted in a task of its own on a bounded sample: at most ``POSITIVES`` toxic
 documents, and a part of at most ``UNLABELLED`` others, by a hash of ``doc_id``. Its weights are a few numbers per
 feature kept; every document is scored with the mean of all classifiers, where it lies.
@@ -12,6 +12,8 @@ feature kept; every document is scored with the mean of all classifiers, where i
 
 from __future__ import annotations
 
+import itertools
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,9 +33,10 @@ CLASSIFIERS = 3
 THRESHOLD = 0.3
 
 LEADS = (4, 5, 6)  # letters of a word's beginning that are a feature
-FEATURE_BITS = 22
+LEVELS = (1, 2, 4)  # a text has a feature at each level that its count of distinct words reaches
+FEATURE_BITS = 20
 MOST_FEATURES = 4_096  # weights of one classifier
-DEVIATIONS = 4.5  # by which a feature must be more frequent in toxic documents
+DEVIATIONS = 7.0  # by which a feature must be more frequent in toxic documents
 LEAST_DOCUMENTS = 3
 STEPS, RATE, DECAY = 400, 0.05, 1e-3
 REMEMBERED = 200_000
@@ -52,45 +55,51 @@ def word_features(word: bytes) -> tuple[int, ...]:
 class _Features(dict):
     """Features by word, only those in ``wanted`` if it is given."""
 
-    def __init__(self, wanted: dict[int, int] | None = None):
+    def __init__(self, wanted: set[int] | None = None):
         super().__init__()
         self.wanted = wanted
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
         found = word_features(word)
         if self.wanted is not None:
-            found = tuple(self.wanted[f] for f in found if f in self.wanted)
+            found = tuple(f for f in found if f in self.wanted)
         if len(self) >= REMEMBERED:
             self.clear()
         self[word] = found
         return found
 
-    def of(self, data: bytes) -> set[int]:
-        return set().union(*map(self.__getitem__, set(data.lower().split())))
+    def of(self, data: bytes) -> list[int]:
+        """Numbers ``feature * len(LEVELS) + level`` of a text."""
+        counts = Counter(itertools.chain.from_iterable(map(self.__getitem__, set(data.lower().split()))))
+        return [f * len(LEVELS) + i for f, n in counts.items() for i, least in enumerate(LEVELS) if n >= least]
 
 
 @dataclass
 class Model:
-    """Feature numbers, and a row of weights and a bias for each classifier."""
+    """Feature numbers (sorted), and a row of weights and a bias for each classifier."""
 
     features: np.ndarray
     weights: np.ndarray
     biases: np.ndarray
 
-    def scores(self, found: list[set[int]]) -> np.ndarray:
-        """Mean probability of texts, given the places of their features."""
+    def scores(self, found: list[list[int]]) -> np.ndarray:
+        """Mean probability of texts, given the numbers of their features."""
         if not len(self.biases):
             return np.zeros(len(found))
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         row = np.repeat(np.arange(len(found)), sizes)
-        at = np.fromiter((f for s in found for f in sorted(s)), np.int64, int(sizes.sum()))
+        feature = np.fromiter(itertools.chain.from_iterable(found), np.int64, int(sizes.sum()))
+        at = np.searchsorted(self.features, feature)
+        known = at < len(self.features)
+        known[known] = self.features[at[known]] == feature[known]
+        row, at = row[known], at[known]
         total = [np.bincount(row, w[at], len(found)) + b for w, b in zip(self.weights, self.biases, strict=True)]
         return np.mean(1 / (1 + np.exp(-np.array(total))), axis=0)
 
 
 def fit(row: np.ndarray, feature: np.ndarray, toxic: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray, float]:
     """Features, weights and bias of one classifier; ``(row, feature)`` are the features that documents have."""
-    size = 1 << FEATURE_BITS
+    size = len(LEVELS) << FEATURE_BITS
     n_toxic, n_other = max(int(toxic.sum()), 1), max(int((~toxic).sum()), 1)
     seen = np.bincount(feature[toxic[row]], minlength=size)
     other = np.bincount(feature[~toxic[row]], minlength=size)
@@ -208,7 +217,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        cache = _Features({int(f): i for i, f in enumerate(model.features)})
+        cache = _Features({int(f) // len(LEVELS) for f in model.features})
         for batch in batches:
             score = model.scores([cache.of(data) for data in words.texts(batch)])
             yield batch.append_column("score", pa.array(score, pa.float64()))
