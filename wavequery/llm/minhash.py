@@ -35,7 +35,8 @@ REGISTERS = BANDS * ROWS
 MANTISSA_BITS = 10
 VALUE_BITS = 48
 DEVIATIONS = 5  # standard errors below the limit at which an estimate still counts
-GROUP_ROWS = 512  # texts verified together, and half the sketches compared together
+TASK_ROWS = 2_000  # sketches that one task compares, on average
+GROUP_ROWS = 512  # documents in each half of a block that is compared together
 
 
 def shingles(data: bytes, width: int = SHINGLE) -> np.ndarray:
@@ -65,11 +66,9 @@ def chance_agreements(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     fall into one cell; cells are ``2 ** -(zeros + MANTISSA_BITS + 1)`` wide.
     """
     x, y = np.maximum(n, 1) / REGISTERS, np.maximum(m, 1) / REGISTERS
-    total = np.zeros(np.broadcast(x, y).shape)
-    for zeros in range(VALUE_BITS):
-        low, high = 2.0 ** -(zeros + 1), 2.0**-zeros
-        total += low / (1 << MANTISSA_BITS) * (np.exp(-(x + y) * low) - np.exp(-(x + y) * high))
-    return REGISTERS * total * x * y / (x + y)
+    low = 2.0 ** -np.arange(1.0, VALUE_BITS + 1)
+    shares = np.exp(-np.multiply.outer(x + y, low)) - np.exp(-np.multiply.outer(x + y, 2 * low))
+    return REGISTERS * (shares @ low) / (1 << MANTISSA_BITS) * x * y / (x + y)
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,9 +80,14 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tupl
 
 def likely(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     """Whether the estimate lies less than ``DEVIATIONS`` standard errors below the limit."""
-    similar, filled = estimate(a, b, n, m)
     limit = percent / 100
-    return similar >= limit - DEVIATIONS * np.sqrt(limit * (1 - limit) / filled)
+    filled = np.maximum(((a > 0) | (b > 0)).sum(-1), 1)
+    least = limit - DEVIATIONS * np.sqrt(limit * (1 - limit) / filled)
+    fits = ((a == b) & (a > 0)).sum(-1) >= least * filled
+    at = np.flatnonzero(fits)  # the correction only lowers the estimate
+    a, b, n, m = (np.broadcast_to(x, (*fits.shape, *y))[at] for x, y in ((a, a.shape[-1:]), (b, b.shape[-1:]), (n, ()), (m, ())))
+    fits[at] = estimate(a, b, n, m)[0] >= least[at]
+    return fits
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,13 +118,39 @@ def _registers(column) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint16).reshape(-1, REGISTERS)
 
 
-def _band_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def densified(cells: np.ndarray) -> np.ndarray:
+    """Registers with each empty one copied from a filled one, tried in an order of its own.
+
+    Equal sets copy alike, so small sets agree on a band as rarely as large ones of that similarity.
+    """
+    cells, left = cells.copy(), np.flatnonzero((cells == 0).any(-1) & (cells > 0).any(-1))
+    source = cells[left]
+    for tried in _TRIED:
+        empty = cells[left] == 0
+        open_ = empty.any(-1)
+        left, source, empty = left[open_], source[open_], empty[open_]
+        if not len(left):
+            break
+        cells[left] = np.where(empty, source[:, tried], cells[left])
+    return cells
+
+
+# Row i has the i-th register that each empty register tries: a permutation per column.
+_TRIED = np.argsort(words.mixed(np.arange(REGISTERS**2, dtype=np.uint64) + np.uint64(1)).reshape(REGISTERS, -1), axis=0)
+
+
+def band_keys(cells: np.ndarray) -> np.ndarray:
+    """A key for each band of sketches."""
     rising = np.cumprod(np.full(ROWS, 0xD6E8FEB86659FD93, np.uint64))
+    cells = densified(cells).reshape(-1, BANDS, ROWS)
+    keys = words.mixed((cells * rising).sum(-1, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64))
+    return keys.view(np.int64)
+
+
+def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        cells = _registers(batch["sketch"]).reshape(-1, BANDS, ROWS)
-        keys = words.mixed((cells * rising).sum(-1, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64))
-        at, band = np.nonzero(cells.any(-1))
-        yield pd.DataFrame({"band": keys[at, band].view(np.int64), "doc": batch["doc_id"].to_numpy()[at]})
+        keys = band_keys(_registers(batch["sketch"]))
+        yield pd.DataFrame({"band": keys.ravel(), "doc": np.repeat(batch["doc_id"].to_numpy(), BANDS)})
 
 
 def _estimated(percent: int):
@@ -138,28 +168,74 @@ def _estimated(percent: int):
     return run
 
 
-def _across(percent: int):
-    """Likely pairs between two parts of a band whose components differ."""
+def _pairs_across(rows: pd.DataFrame, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of a band's part ``i``, each with the likely rows of part ``j`` in other components.
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
-        left, right = rows[rows["part"] == i], rows[rows["part"] == j]
-        cells, sizes = _registers(right["sketch"]), right["n_shingles"].to_numpy()
-        other, names = right["component"].to_numpy(), right["doc"].to_numpy()
-        found = []
-        for doc, component, n, one in zip(left["doc"], left["component"], left["n_shingles"], left["sketch"], strict=True):
-            open_ = (other != component) & ((i != j) | (names > doc))
+    ``rows`` may hold many blocks ``(band, i, j)``, sorted. A pair counts only in the first band that both
+    documents share, so it is looked at once.
+    """
+    band, i, j, doc, part, component, sizes = (
+        rows[c].to_numpy() for c in ("band", "i", "j", "doc", "part", "component", "n_shingles")
+    )
+    cells = _registers(rows["sketch"])
+    keys = band_keys(cells)
+    number = np.argmax(keys == band[:, None], axis=1)
+    new = (band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+    for low, high in itertools.pairwise([0, *(np.flatnonzero(new) + 1).tolist(), len(rows)]):
+        if (component[low:high] == component[low]).all():
+            continue
+        right = low + np.flatnonzero(part[low:high] == j[low])
+        other, names, many = component[right], doc[right], sizes[right]
+        for x in low + np.flatnonzero(part[low:high] == i[low]):
             # Sets of very different sizes cannot be linked.
-            open_ &= (100 * sizes >= percent * n) & (100 * n >= percent * sizes)
-            at = np.flatnonzero(open_)
+            open_ = (other != component[x]) & (100 * many >= percent * sizes[x]) & (100 * sizes[x] >= percent * many)
+            if i[low] == j[low]:
+                open_ &= names > doc[x]
+            at = right[open_]
             if len(at):
-                fits = at[likely(cells[at], np.frombuffer(one, np.uint16), sizes[at], np.int64(n), percent)]
-                found += [(min(doc, x), max(doc, x)) for x in names[fits].tolist()]
-        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+                at = at[likely(cells[at], cells[x], sizes[at], sizes[x], percent)]
+                at = at[~(keys[at, : number[x]] == keys[x, : number[x]]).any(-1)]
+                if len(at):
+                    yield x, at
+
+
+_BLOCK = ["band", "i", "j"]
+
+
+def _promising(percent: int):
+    """The documents of each band's block that have a likely partner in it."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(_BLOCK)
+        at = {i for x, others in _pairs_across(rows, percent) for i in (x, *others.tolist())}
+        return rows.iloc[sorted(at)][[*_BLOCK, "part", "component", "doc"]]
+
+    return run
+
+
+def _linked_across(percent: int):
+    """Links between components, of texts in blocks."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(_BLOCK)
+        expand, found = zstandard.ZstdDecompressor().decompress, []
+        sets = [shingles(expand(text)) for text in rows["text"]]
+        rows = rows.assign(n_shingles=[len(x) for x in sets], sketch=[sketch(x).tobytes() for x in sets])
+        doc = rows["doc"].to_numpy()
+        for x, others in _pairs_across(rows, percent):
+            found += [(doc[x], doc[y]) for y in others if _similar(sets[x], sets[y], percent)]
+        return pd.DataFrame([(min(p), max(p)) for p in found], columns=["a", "b"], dtype=np.int64)
 
     return run
 
 
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if not 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
+        return False
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
@@ -168,42 +244,45 @@ def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(percent: int):
-    """Members of a group whose full set is similar enough to that of its first document."""
-
-    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        pivot, expand = key[0].as_py(), zstandard.ZstdDecompressor().decompress
-        docs, held = rows.column("doc_id").to_pylist(), rows.column("text")
-        heads = [shingles(expand(held[i].as_py())) for i, d in enumerate(docs) if d == pivot]
-        linked = []
-        for i, doc in enumerate(docs):
-            if doc != pivot:
-                mine = shingles(expand(held[i].as_py()))
-                for head in heads:
-                    shared = len(np.intersect1d(head, mine, assume_unique=True))
-                    if 100 * shared >= percent * (len(head) + len(mine) - shared):
-                        linked.append(doc)
-                        break
-        return pa.Table.from_pydict({"a": pa.array([pivot] * len(linked), pa.int64()), "b": pa.array(linked, pa.int64())})
+    """The pairs of a block whose full sets are similar enough."""
+
+    def run(key: tuple[pa.Scalar, ...], texts: pa.Table, pairs: pa.Table) -> pa.Table:
+        expand = zstandard.ZstdDecompressor().decompress
+        sets: dict[int, list[np.ndarray]] = {}
+        for doc, text in zip(texts.column("doc_id").to_pylist(), texts.column("text"), strict=True):
+            sets.setdefault(doc, []).append(shingles(expand(text.as_py())))
+
+        both = zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True)
+        held = [(a, b) for a, b in both if any(_similar(x, y, percent) for x in sets.get(a, ()) for y in sets.get(b, ()))]
+        return pa.Table.from_pydict({n: pa.array([p[i] for p in held], pa.int64()) for i, n in enumerate("ab")})
 
     return run
 
 
+def _squeezed(docs: DataFrame) -> DataFrame:
+    named = docs.select("doc_id", "text").where("doc_id is not null")
+    return named.mapInArrow(_squeeze, "doc_id bigint, text binary")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs ``(a, b)`` whose full shingle sets are linked.
 
-    Texts are sent to groups of at most about ``GROUP_ROWS`` partners of one document ``a``, so each text
-    travels once per pair and a document with very many partners is spread over tasks.
+    Pairs that hang together are checked together, in blocks of about ``2 * GROUP_ROWS`` documents, so a text
+    travels once per block and not once per pair.
     """
-    per_head = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("parts"))
-    members = pairs.join(per_head, "a").select(
-        F.col("a").alias("head"), F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), F.col("b").alias("doc_id")
+    families = stages.components(pairs)
+    parts = families.groupBy("component").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("parts"))
+    placed = pairs.join(families.withColumnRenamed("node", "a"), "a").join(parts, "component")
+    of = {c: F.pmod(F.xxhash64(c), F.col("parts")).cast("int") for c in ("a", "b")}
+    block = ["component", "i", "j"]
+    placed = placed.select(
+        "component", F.least(of["a"], of["b"]).alias("i"), F.greatest(of["a"], of["b"]).alias("j"), "a", "b"
     )
-    heads = per_head.select(
-        F.col("a").alias("head"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("doc_id")
-    )
-    texts = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(_squeeze, "doc_id bigint, text binary")
-    placed = members.union(heads).join(texts, "doc_id")
-    return placed.groupBy("head", "part").applyInArrow(_verified(percent), "a bigint, b bigint").distinct()
+    placed = stages.written(placed, "pairs")
+    needed = placed.select(*block, F.col("a").alias("doc_id")).union(placed.select(*block, "b")).distinct()
+    needed = needed.toDF("family", "left", "right", "doc_id")
+    held = _squeezed(docs).join(needed, "doc_id").groupBy("family", "left", "right")
+    return held.cogroup(placed.groupBy(*block)).applyInArrow(_verified(percent), "a bigint, b bigint").distinct()
 
 
 def _likely_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -232,7 +311,7 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")
     )
     classes = stages.written(classes, "classes")
-    bands = classes.select("doc_id", "sketch").mapInPandas(_band_keys, "band bigint, doc bigint")
+    bands = classes.select("doc_id", "sketch").mapInPandas(_bands, "band bigint, doc bigint")
     shared = bands.groupBy("band").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1")
     members = stages.written(bands.join(shared, "band").where("doc != first"), "bands")
 
@@ -248,16 +327,23 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     mixed = placed.join(mixed.where("_low != _high").select("band"), "band")
     parts = F.ceil(F.col("n") / GROUP_ROWS).cast("int")
     mixed = mixed.withColumn("part", F.pmod(F.xxhash64("doc"), parts).cast("int"))
-    others = F.sequence(F.lit(0), parts - 1)
-    mixed = mixed.withColumn("other", F.explode(others))
+    mixed = mixed.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     mixed = mixed.select(
-        "band", "doc", "component", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")
+        "band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "component", "doc"
+    )
+    mixed = stages.written(mixed.join(classes.select(F.col("doc_id").alias("doc"), "n_shingles", "sketch"), "doc"), "bands")
+    blocks = F.pmod(F.xxhash64(*_BLOCK), F.lit(max(1, mixed.count() // TASK_ROWS)))
+    promising = mixed.groupBy(blocks).applyInPandas(
+        _promising(percent), "band bigint, i int, j int, part int, component bigint, doc bigint"
     )
-    mixed = mixed.join(classes.select(F.col("doc_id").alias("doc"), "n_shingles", "sketch"), "doc")
-    more = mixed.groupBy("band", "i", "j").applyInPandas(_across(percent), "a bigint, b bigint").distinct()
-    more = stages.written(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        labels = stages.components(links.union(verified(more, docs, percent)))
+    promising = stages.written(promising, "bands")
+    rows = promising.count()
+    if rows:
+        held = promising.join(_squeezed(docs).withColumnRenamed("doc_id", "doc"), "doc")
+        more = held.groupBy(F.pmod(F.xxhash64(*_BLOCK), F.lit(max(1, rows // GROUP_ROWS)))).applyInPandas(
+            _linked_across(percent), "a bigint, b bigint"
+        )
+        labels = stages.components(links.union(more))
 
     head = named.groupBy("print").agg(F.min("doc_id").alias("node")).join(labels, "node", "left")
     head = head.select("print", F.coalesce("component", "node").alias("component_id"))
