@@ -281,7 +281,7 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataF
     placed = stages.written(placed, "pairs")
     needed = placed.select(*block, F.col("a").alias("doc_id")).union(placed.select(*block, "b")).distinct()
     needed = needed.toDF("family", "left", "right", "doc_id")
-    held = _squeezed(docs).join(needed, "doc_id").groupBy("family", "left", "right")
+    held = _squeezed(docs).join(needed.hint("merge"), "doc_id").groupBy("family", "left", "right")
     return held.cogroup(placed.groupBy(*block)).applyInArrow(_verified(percent), "a bigint, b bigint").distinct()
 
 
@@ -339,7 +339,8 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     promising = stages.written(promising, "bands")
     rows = promising.count()
     if rows:
-        held = promising.join(_squeezed(docs).withColumnRenamed("doc_id", "doc"), "doc")
+        texts = _squeezed(docs).withColumnRenamed("doc_id", "doc")
+        held = texts.join(promising.hint("merge"), "doc")
         more = held.groupBy(F.pmod(F.xxhash64(*_BLOCK), F.lit(max(1, rows // GROUP_ROWS)))).applyInPandas(
             _linked_across(percent), "a bigint, b bigint"
         )

@@ -131,7 +131,13 @@ def fit(row: np.ndarray, feature: np.ndarray, toxic: np.ndarray, prior: float) -
         slope[:-1] += DECAY * theta[:-1]
         mean, spread = 0.9 * mean + 0.1 * slope, 0.999 * spread + 0.001 * slope**2
         theta -= RATE * (mean / (1 - 0.9**step)) / (np.sqrt(spread / (1 - 0.999**step)) + 1e-8)
-    return kept, theta[:-1], float(theta[-1])
+    # The unlabelled documents hold the prior's share of toxic ones, so their mean probability is the prior.
+    score = np.bincount(row, theta[column], len(toxic))[~toxic]
+    low, high = -30.0, 30.0
+    while high - low > 1e-6:
+        bias = (low + high) / 2
+        low, high = (low, bias) if np.mean(1 / (1 + np.exp(-score - bias))) > prior else (bias, high)
+    return kept, theta[:-1], bias
 
 
 def _train(prior: float):
