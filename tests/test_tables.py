@@ -95,7 +95,8 @@ def test_normalize_flags_and_rate(spark):
 
 def test_report_metric_fallbacks(spark):
     reports = [
-        ({"val": {"ap": 0.5}, "test": {"auc": 0.7}}, (0.5, 0.7)),
+        ({"val": {"ap": 0.5}, "test": {"auc": 0.7}}, (0.5, None)),
+        ({"val": {}, "test": {"auc": 0.7, "ap": 0.4}}, (0.4, 0.7)),
         ({"eval": {"average_precision": 0.1, "AUC": 0.2}}, (0.1, 0.2)),
         ({"best_val_ap": 0.3}, (0.3, None)),
     ]
@@ -178,8 +179,8 @@ def test_first_rows_beyond_the_pushed_limit(spark):
 
 def test_samples_without_positives(spark):
     rows = spark.range(50).withColumn("label", F.lit(0))
-    assert splits.downsample(rows, "id").count() == 50
-    assert splits.stratified_sample(rows, "id", cap=20).count() == 20
+    assert splits.downsample(rows, "id", max_pos=200, neg_per_pos=50).count() == 50
+    assert splits.stratified_sample(rows, "id", neg_per_pos=800, cap=20).count() == 20
 
 
 def test_stratified_keeps_every_positive(spark):
@@ -194,7 +195,7 @@ def test_stratified_keeps_every_positive(spark):
 def test_histogram_edges(spark):
     rows = spark.createDataFrame([(float(v),) for v in (0, 0, 5, 10)], "v double")
     got = {r["bin"]: r["n"] for r in summaries.histogram(rows, "v", 10).collect()}
-    assert got == {0: 2, 5: 1, 9: 1}
+    assert got == {b: {0: 2, 5: 1, 9: 1}.get(b, 0) for b in range(10)}
     flat = summaries.histogram(spark.createDataFrame([(2.0,), (2.0,)], "v double"), "v", 4).collect()
     assert [(r["bin"], r["n"]) for r in flat] == [(0, 2)]
 

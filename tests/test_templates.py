@@ -149,7 +149,7 @@ def test_tukey_shape():
     assert ar.tukey(5, 0.0) == [1.0] * 5
 
 
-def test_bank_is_row_major_and_truncated(spark):
+def test_bank_is_row_major_and_exact(spark):
     bank = tp.template_bank(spark, 5, (3.0, 5.0), (10.0, 20.0)).orderBy("pos").collect()
-    # Two by two cells: the square root of five rounds to two.
-    assert [(r["m1"], r["m2"]) for r in bank] == [(3.0, 10.0), (3.0, 20.0), (5.0, 10.0), (5.0, 20.0)]
+    # The first five of three by three cells.
+    assert [(r["m1"], r["m2"]) for r in bank] == [(3.0, 10.0), (3.0, 15.0), (3.0, 20.0), (4.0, 10.0), (4.0, 15.0)]

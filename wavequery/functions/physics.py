@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import calendar
+import functools
 import math
+import operator
+import time
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,8 +16,12 @@ G = 6.674e-11
 C = 2.998e8
 MSUN = 1.989e30
 DFDT_REFERENCE = 1e-4
-LEAP_SECONDS = 18
 GPS_EPOCH_S = 315_964_800
+# Days on which the offset of GPS time from UTC grew by one second.
+LEAP_DAYS = (
+    "1981-07-01 1982-07-01 1983-07-01 1985-07-01 1988-01-01 1990-01-01 1991-01-01 1992-07-01 1993-07-01 "
+    "1994-07-01 1996-01-01 1997-07-01 1999-01-01 2006-01-01 2009-01-01 2012-07-01 2015-07-01 2017-01-01"
+).split()
 
 
 def clamp(value: Column, lo: float, hi: float) -> Column:
@@ -44,6 +52,14 @@ def sigmoid(value: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-value))
 
 
-def gps_to_timestamp(gps_us: Column, leap_seconds: int = LEAP_SECONDS) -> Column:
-    """UTC timestamp of GPS microseconds for a constant leap-second offset."""
-    return F.timestamp_micros(gps_us + (GPS_EPOCH_S - leap_seconds) * 1_000_000)
+def leap_seconds_at(gps_us: Column) -> Column:
+    """Offset of GPS time from UTC in seconds at GPS microseconds."""
+    days = [calendar.timegm(time.strptime(day, "%Y-%m-%d")) for day in LEAP_DAYS]
+    starts = [(day - GPS_EPOCH_S + n) * 1_000_000 for n, day in enumerate(days, 1)]
+    return functools.reduce(operator.add, [(gps_us >= F.lit(s)).cast("long") for s in starts])
+
+
+def gps_to_timestamp(gps_us: Column, leap_seconds: int | None = None) -> Column:
+    """UTC timestamp of GPS microseconds; a stated offset replaces the table of leap seconds."""
+    offset = leap_seconds_at(gps_us) if leap_seconds is None else F.lit(leap_seconds)
+    return F.timestamp_micros(gps_us + (F.lit(GPS_EPOCH_S).cast("long") - offset) * 1_000_000)

@@ -71,9 +71,9 @@ def _combine_panes(panes, key, per_frame, frame_us, stride_us, snr_threshold):
         "start_us",
         (F.col("start_us") + frame_us).alias("end_us"),
         "n",
-        F.round("snr_rms", 6).alias("snr_rms"),
-        F.round("snr_peak", 6).alias("snr_peak"),
-        F.round(crest(F.col("snr_peak"), F.col("snr_rms")), 6).alias("crest_factor"),
+        "snr_rms",
+        "snr_peak",
+        crest(F.col("snr_peak"), F.col("snr_rms")).alias("crest_factor"),
     )
 
 
@@ -117,8 +117,8 @@ def chunk_frame_features(
         .select(
             "file_id",
             "start_idx",
-            F.round("snr_rms", 6).alias("snr_rms"),
-            F.round("snr_peak", 6).alias("snr_peak"),
-            F.round(crest(F.col("snr_peak"), F.col("snr_rms")), 6).alias("crest_factor"),
+            "snr_rms",
+            "snr_peak",
+            crest(F.col("snr_peak"), F.col("snr_rms")).alias("crest_factor"),
         )
     )

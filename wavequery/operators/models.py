@@ -139,13 +139,23 @@ def sigmoid_calibrated(
 
 
 def multi_seed(
-    train: DataFrame, val: DataFrame, key: str, features: Sequence[str], seeds: Sequence[int], make: Callable[[int], object]
+    train: DataFrame,
+    val: DataFrame,
+    key: str,
+    features: Sequence[str],
+    seeds: Sequence[int],
+    make: Callable[[int], object],
+    max_pos: int | None = None,
+    neg_per_pos: int | None = None,
 ) -> DataFrame:
-    """Train on a differently sampled training set per seed: ``(seed, ap, auc, n_train, wall_s)``."""
+    """Train once per seed: ``(seed, ap, auc, n_train, wall_s)``.
+
+    ``max_pos`` and ``neg_per_pos`` bound the training sample, drawn anew per seed; by default it is all rows.
+    """
     rows = []
     for seed in seeds:
         start = time.time()
-        sample = downsample(train, key, max_pos=5_000, neg_per_pos=3, seed=seed)
+        sample = downsample(train, key, max_pos=max_pos, neg_per_pos=neg_per_pos, seed=seed)
         model = fit(with_class_weight(sample), feature_stages(features), make(seed))
         points = operating_points(score(model, val, ["label"]))
         auc, ap = roc_auc(points).first()["auc"], average_precision(points).first()["ap"]

@@ -73,8 +73,8 @@ def average_precision(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def rank_normalized(rows: DataFrame, value: str, buckets: int | None = None, out: str = "rank_norm") -> DataFrame:
-    """``(rank - 1) / (n - 1)`` ascending; equal values share the lowest rank."""
-    counts = rows.groupBy(value).agg(F.count("*").alias("_n"))
+    """``(rank - 1) / (n - 1)`` ascending; equal values share the lowest rank, a null has none."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
     ranked = running(
         with_range_bucket(counts, value, range_edges(rows, value, buckets)), value, {"_upto": ("sum", "_n")}, totals=True
     )
@@ -84,7 +84,7 @@ def rank_normalized(rows: DataFrame, value: str, buckets: int | None = None, out
         .otherwise(F.lit(0.0))
         .alias(out),
     )
-    return rows.join(ranks, value)
+    return rows.join(ranks, value, "left")
 
 
 def seeded_unit(key: Column | str, seed: int) -> Column:

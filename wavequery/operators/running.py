@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET = "_bucket"
+KEY = "_by"
 
 _REDUCE = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
 
@@ -81,42 +82,45 @@ def running(
     """
     order = [order] if isinstance(order, str) else list(order)
     by = list(by)
+    # Keys travel as one struct: structs with null fields are equal, so a null key meets its carry.
+    keyed = df.withColumn(KEY, F.struct(*by)) if by else df
+    key = [KEY] if by else []
     names = list(values)
     inputs = {n: F.col(c) if isinstance(c, str) else c for n, (_, c) in values.items()}
     reduce_fn = {n: _REDUCE[fn] for n, (fn, _) in values.items()}
     combine = {n: "sum" if fn in ("sum", "count") else fn for n, (fn, _) in values.items()}
 
-    per_bucket = df.groupBy(*by, bucket).agg(*[reduce_fn[n](inputs[n]).alias(f"_in_{n}") for n in names])
+    per_bucket = keyed.groupBy(*key, bucket).agg(*[reduce_fn[n](inputs[n]).alias(f"_in_{n}") for n in names])
 
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     if fanout:
         grouped = per_bucket.withColumn("_group", F.floor(F.col(bucket) / fanout))
         carry = running(
-            grouped, bucket, {f"_carry_{n}": (combine[n], f"_in_{n}") for n in names}, by, "_group", descending, True, totals
+            grouped, bucket, {f"_carry_{n}": (combine[n], f"_in_{n}") for n in names}, key, "_group", descending, True, totals
         )
         renamed = [F.col(f"_carry_{n}_total").alias(f"{n}_total") for n in names] if totals else []
-        carry = carry.select(*by, bucket, *[f"_carry_{n}" for n in names], *renamed)
+        carry = carry.select(*key, bucket, *[f"_carry_{n}" for n in names], *renamed)
     else:
-        before = Window.partitionBy(*by).orderBy(direction(bucket)).rowsBetween(Window.unboundedPreceding, -1)
-        whole = Window.partitionBy(*by)
+        before = Window.partitionBy(*key).orderBy(direction(bucket)).rowsBetween(Window.unboundedPreceding, -1)
+        whole = Window.partitionBy(*key)
         carry_columns = [_REDUCE[combine[n]](f"_in_{n}").over(before).alias(f"_carry_{n}") for n in names]
         if totals:
             carry_columns += [_REDUCE[combine[n]](f"_in_{n}").over(whole).alias(f"{n}_total") for n in names]
-        carry = per_bucket.select(*by, bucket, *carry_columns)
+        carry = per_bucket.select(*key, bucket, *carry_columns)
     if not by:
         # One row per bucket and the bucket count is a literal: safe to broadcast.
         carry = F.broadcast(carry)
 
     last = -1 if exclusive else Window.currentRow
     inside = (
-        Window.partitionBy(*by, bucket)
+        Window.partitionBy(*key, bucket)
         .orderBy(*[direction(c) for c in order])
         .rowsBetween(Window.unboundedPreceding, last)
     )
-    local = df.select("*", *[reduce_fn[n](inputs[n]).over(inside).alias(f"_local_{n}") for n in names])
+    local = keyed.select("*", *[reduce_fn[n](inputs[n]).over(inside).alias(f"_local_{n}") for n in names])
     # A left join: it neither drops null keys nor adds a filter that would keep the
     # shuffle of the rows from being shared with that of the bucket totals.
-    joined = local.join(carry, [*by, bucket], "left")
+    joined = local.join(carry, [*key, bucket], "left")
 
     def merged(n: str) -> Column:
         mine, earlier = F.col(f"_local_{n}"), F.col(f"_carry_{n}")
@@ -126,7 +130,7 @@ def running(
             return F.when(earlier.isNull() | (mine > earlier), F.coalesce(mine, earlier)).otherwise(earlier)
         return F.when(earlier.isNull() | (mine < earlier), F.coalesce(mine, earlier)).otherwise(earlier)
 
-    keep = [F.col(c) for c in df.columns]
+    keep = [F.col(KEY)[c].alias(c) if c in by else F.col(c) for c in df.columns]
     keep += [merged(n).alias(n) for n in names]
     if totals:
         keep += [F.col(f"{n}_total") for n in names]

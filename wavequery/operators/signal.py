@@ -137,7 +137,7 @@ def spectrogram(chunks: DataFrame, chunk_len: int, rate: float, length: int = 25
 def with_halo(chunks: DataFrame, halo: int) -> DataFrame:
     """Chunks with up to ``halo`` samples of each neighbour: adds ``pad_left`` and ``core_len``.
 
-    A chunk must not be shorter than the halo. Each chunk is shuffled once with its own
+    Only the first and the last chunk of a file may be shorter than the halo; others raise an error. Each chunk is shuffled once with its own
     key, its edges go to the neighbouring keys.
     """
     n = F.size("samples")
@@ -150,12 +150,14 @@ def with_halo(chunks: DataFrame, halo: int) -> DataFrame:
         pieces.alias("p"), F.max(F.when(F.col("p.part") == 1, F.col("first_idx"))).alias("first_idx")
     )
     of_part = lambda k: F.flatten(F.transform(F.filter("p", lambda e: e["part"] == k), lambda e: e["s"]))
+    inner = F.exists("p", lambda e: e["part"] == 0) & F.exists("p", lambda e: e["part"] == 2)
+    short = F.raise_error(F.lit(f"a chunk between two others is shorter than the halo of {halo} samples"))
     return met.where("first_idx is not null").select(
         *CHUNK,
         "first_idx",
         F.size(of_part(0)).alias("pad_left"),
         F.size(of_part(1)).alias("core_len"),
-        F.flatten("p.s").alias("samples"),
+        F.when(inner & (F.size(of_part(1)) < halo), short).otherwise(F.flatten("p.s")).alias("samples"),
     )
 
 
@@ -188,13 +190,16 @@ def _block_map(blocks: DataFrame, fn, extra: tuple[str, ...] = ()) -> DataFrame:
 # --- filters ----------------------------------------------------------------------
 
 
+# Limits of a band's edges and its least width, as shares of the Nyquist rate.
+BAND_LIMITS = (1e-3, 0.999)
+LEAST_BAND = 0.05
+
+
 def bandpass_gain(freqs: np.ndarray, rate: float, low: float, high: float, order: int = 6) -> np.ndarray:
     """Zero-phase gain of a Butterworth band-pass run forward and backward."""
     nyquist = rate / 2.0
-    lo = max(1e-3, low / nyquist)
-    hi = min(0.999, high / nyquist)
-    if hi <= lo:
-        hi = min(0.999, lo + 0.05)
+    lo, hi = np.clip(np.array([low, high]) / nyquist, *BAND_LIMITS)
+    hi = hi if hi > lo else np.minimum(lo + LEAST_BAND, BAND_LIMITS[1])
     w1, w2 = np.tan(np.pi * lo / 2.0), np.tan(np.pi * hi / 2.0)
     w = np.tan(np.pi * np.minimum(freqs / nyquist, 1.0 - 1e-12) / 2.0)
     gain = np.zeros(len(freqs))
@@ -207,18 +212,12 @@ def bandpass_gain(freqs: np.ndarray, rate: float, low: float, high: float, order
 
 def notch_gain(freqs: np.ndarray, rate: float, base: float, count: int, q: float = 30.0) -> np.ndarray:
     """Zero-phase gain of second-order notches at the harmonics of ``base`` below Nyquist."""
-    gain = np.ones(len(freqs))
+    harmonics = np.arange(1, count + 1) * max(base or 0.0, 0.0)
+    w0 = 2.0 * np.pi * harmonics[(harmonics > 0) & (harmonics < rate / 2.0), None] / rate
+    g = 1.0 / (1.0 + np.tan(w0 / q / 2.0))
     z = np.exp(-2j * np.pi * freqs / rate)
-    for k in range(1, count + 1) if base and base > 0 else ():
-        centre = base * k
-        if centre >= rate / 2.0:
-            break
-        w0 = 2.0 * np.pi * centre / rate
-        g = 1.0 / (1.0 + np.tan(w0 / q / 2.0))
-        top = g * (1.0 - 2.0 * np.cos(w0) * z + z**2)
-        bottom = 1.0 - 2.0 * g * np.cos(w0) * z + (2.0 * g - 1.0) * z**2
-        gain *= np.abs(top / bottom) ** 2
-    return gain
+    notches = g * (1.0 - 2.0 * np.cos(w0) * z + z**2) / (1.0 - 2.0 * g * np.cos(w0) * z + (2.0 * g - 1.0) * z**2)
+    return np.prod(np.abs(notches) ** 2, axis=0)
 
 
 def filtered(
@@ -460,7 +459,6 @@ def snr_peaks(x, bank, rate, f_low, segment, bands, max_shift_s) -> np.ndarray:
     reduced = chi2 / max(2 * bands - 2, 1)
     snr = np.abs(z) / np.sqrt(safe)
     weighted = snr / np.where(reduced > 1.0, ((1.0 + reduced**3) / 2.0) ** (1.0 / 6.0), 1.0)
-    half, mid = int(max_shift_s * rate), n // 2
-    near = slice(max(0, mid - half), min(n, mid + half + 1))
+    near = np.abs(np.arange(n) - n // 2) <= int(max_shift_s * rate)
     peaks = np.array([weighted[:, near].max(axis=1), snr[:, near].max(axis=1)])
     return np.where(sigma2 > 0, peaks, 0.0)

@@ -31,7 +31,7 @@ def _cut(rank, n_test, n_val):
 
 def group_split(
     rows: DataFrame,
-    group: str,
+    group: str | Sequence[str],
     test: float,
     val: float,
     seed: int = 42,
@@ -40,18 +40,21 @@ def group_split(
 ) -> DataFrame:
     """Whole groups go to one subset; test takes ``ceil(test * groups)`` groups.
 
-    ``val_of`` says whether ``val`` is a share of all groups or of the rest after test.
+    ``group`` may list columns, of which the first that is not null counts, such as an event hint, else the
+    file, else the row's key. Rows without any form one group. ``val_of`` says whether ``val`` is a share of all groups or of the rest after test.
     """
     if val_of not in ("total", "rest"):
         raise ValueError("val_of must be 'total' or 'rest'")
-    groups = rows.select(group).distinct().withColumn("_u", seeded_unit(group, seed))
-    ranked = hash_ranked(groups, "_u", [group], out="_rank")
+    names = [group] if isinstance(group, str) else list(group)
+    placed = rows.withColumn("_group_key", F.coalesce(*[F.col(c).cast("string") for c in names], F.lit("")))
+    groups = placed.select("_group_key").distinct().withColumn("_u", seeded_unit("_group_key", seed))
+    ranked = hash_ranked(groups, "_u", ["_group_key"], out="_rank")
     share = val / max(1e-12, 1.0 - test) if val_of == "total" else val
     n_groups = F.col("_rank_total")
     n_test = F.ceil(F.lit(test) * n_groups)
     n_val = F.ceil(F.lit(share) * (n_groups - n_test))
-    subsets = ranked.select(group, _cut(F.col("_rank"), n_test, n_val).alias(out))
-    return join_checked(rows, subsets, [group])
+    subsets = ranked.select("_group_key", _cut(F.col("_rank"), n_test, n_val).alias(out))
+    return join_checked(placed, subsets, ["_group_key"]).drop("_group_key")
 
 
 def random_split(rows: DataFrame, key: str, test: float, val: float, seed: int = 42, out: str = "subset") -> DataFrame:
@@ -69,29 +72,30 @@ def random_split(rows: DataFrame, key: str, test: float, val: float, seed: int =
 
 
 def minimum_moves(counts: dict[str, int], minimum: dict[str, int]) -> list[tuple[str, str, int]]:
-    """Moves ``(source, target, rows)`` that bring every subset to its minimum.
+    """Moves ``(source, target, rows)`` that bring every subset to its minimum, as far as rows allow.
 
-    At most ten moves, each from the subset with the largest surplus to the neediest.
+    What subsets have beyond their minimum is handed out once, the largest surplus to the largest need. If
+    that leaves a needy subset empty, it gets one row of the largest subset.
     """
-    counts = {s: counts.get(s, 0) for s in SUBSETS}
+    held = {s: counts.get(s, 0) for s in SUBSETS}
+    spare = sorted((held[s] - minimum[s], s) for s in SUBSETS if held[s] > minimum[s])
+    needs = sorted((minimum[s] - held[s], s) for s in SUBSETS if held[s] < minimum[s])
     moves = []
-    for _ in range(10):
-        need = {s: max(0, minimum[s] - counts[s]) for s in SUBSETS}
-        target = max(SUBSETS, key=need.get)
-        if not need[target]:
-            break
-        surplus = {s: counts[s] - minimum[s] for s in SUBSETS}
-        source = max(SUBSETS, key=surplus.get)
-        if surplus[source] <= 0:
-            source = max(SUBSETS, key=counts.get)
-            if source == target:
-                break
-        k = min(need[target], max(1, surplus[source]), counts[source])
-        if k <= 0:
-            break
-        moves.append((source, target, k))
-        counts[source] -= k
-        counts[target] += k
+
+    def move(source: str, target: str, rows: int) -> None:
+        moves.append((source, target, rows))
+        held[source] -= rows
+        held[target] += rows
+
+    while spare and needs:
+        (over, source), (short, target) = spare.pop(), needs.pop()
+        move(source, target, min(over, short))
+        spare += [(over - short, source)] if over > short else []
+        needs += [(short - over, target)] if short > over else []
+    for _, target in needs:
+        largest = max(held, key=held.get)
+        if not held[target] and held[largest] > 1:
+            move(largest, target, 1)
     return moves
 
 
@@ -114,7 +118,7 @@ def enforce_minimums(
 
 
 def _class_counts(rows: DataFrame, label: str) -> tuple[int, int]:
-    counts = {int(r[label]): r["count"] for r in rows.groupBy(label).count().collect()}
+    counts = {int(r[label]): r["count"] for r in rows.where(F.col(label).isNotNull()).groupBy(label).count().collect()}
     return counts.get(1, 0), counts.get(0, 0)
 
 
@@ -122,13 +126,14 @@ def downsample(
     rows: DataFrame,
     key: str,
     label: str = "label",
-    max_pos: int | None = 200,
-    neg_per_pos: int = 50,
+    *,
+    max_pos: int | None,
+    neg_per_pos: int | None,
     seed: int = 42,
 ) -> DataFrame:
     """At most ``max_pos`` positives and ``neg_per_pos`` negatives per kept positive.
 
-    Without positives the rows are returned as they are.
+    None sets no limit. Without positives the rows are returned as they are.
     """
     n_pos, n_neg = _class_counts(rows, label)
     if not n_pos:
@@ -136,7 +141,7 @@ def downsample(
     keyed = rows.withColumn("_u", seeded_unit(key, seed))
     positive, negative = F.col(label) == 1, F.col(label) == 0
     kept = n_pos if max_pos is None else min(n_pos, max_pos)
-    wanted = min(n_neg, kept * neg_per_pos)
+    wanted = n_neg if neg_per_pos is None else min(n_neg, kept * neg_per_pos)
     keep_pos = positive if kept == n_pos else positive & first_n(keyed.where(positive), "_u", key, kept)
     keep_neg = negative if wanted == n_neg else negative & first_n(keyed.where(negative), "_u", key, wanted)
     return keyed.where(keep_pos | keep_neg).drop("_u")
@@ -146,8 +151,9 @@ def stratified_sample(
     rows: DataFrame,
     key: str,
     label: str = "label",
-    neg_per_pos: int = 800,
-    cap: int = 30_000,
+    *,
+    neg_per_pos: int,
+    cap: int,
     seed: int = 42,
 ) -> DataFrame:
     """All positives, ``neg_per_pos`` negatives per positive up to ``cap``, topped up from the rest.

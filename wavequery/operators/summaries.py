@@ -38,22 +38,32 @@ def score_summary(rows: DataFrame, score: str = "score") -> DataFrame:
 
 
 def histogram(rows: DataFrame, value: str, bins: int, by: Sequence[str] = ()) -> DataFrame:
-    """Equal-width density histogram per key; the largest value falls into the last bin."""
+    """Equal-width density histogram per key; the largest value falls into the last bin.
+
+    Every bin of a key has a row; null and NaN values are left out.
+    """
     by = list(by)
-    ends = rows.groupBy(*by).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(value).alias("total"))
+    rows = rows.where(F.col(value).isNotNull() & ~F.isnan(value))
+    # A struct, so that a null key meets itself.
+    key = ["_k"] if by else []
+    rows = rows.withColumn("_k", F.struct(*by)) if by else rows
+    ends = rows.groupBy(*key).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(value).alias("total"))
     spec = F.struct("lo", "hi", "total")
     if by:
         # One row per key of the histogram, such as a label or a detector.
-        placed = join_checked(rows, ends.select(*by, spec.alias("_e")), by)
+        placed = join_checked(rows, ends.select(*key, spec.alias("_e")), key)
     else:
         placed = rows.withColumn("_e", ends.select(spec).scalar())
     width = (F.col("_e.hi") - F.col("_e.lo")) / bins
     index = F.floor((F.col(value) - F.col("_e.lo")) / width)
     bin_no = F.when(width > 0, F.least(F.greatest(index, F.lit(0)), F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
-    counted = placed.groupBy(*by, bin_no.alias("bin"), "_e").agg(F.count("*").alias("n"))
+    counted = placed.groupBy(*key, bin_no.alias("bin"), "_e").agg(F.count("*").alias("n"))
+    every_bin = F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
+    empty = ends.where("total > 0").select(*key, every_bin, spec.alias("_e"), F.lit(0).cast("long").alias("n"))
+    counted = counted.unionByName(empty).groupBy(*key, "bin", "_e").agg(F.sum("n").alias("n"))
     low = F.col("_e.lo") + F.col("bin") * width
     density = F.when(width > 0, F.col("n") / (F.col("_e.total") * width))
-    return counted.select(*by, "bin", low.alias("bin_lo"), "n", density.alias("density"))
+    return counted.select(*[F.col("_k")[c].alias(c) for c in by], "bin", low.alias("bin_lo"), "n", density.alias("density"))
 
 
 def time_heatmap(
@@ -65,7 +75,8 @@ def time_heatmap(
     unit = (F.col(time) - F.col("_s.lo")) / (F.col("_s.hi") - F.col("_s.lo") + F.lit(1e-9))
     index = F.least(F.greatest(F.floor(unit * bins), F.lit(0)), F.lit(bins - 1)).cast("int")
     pivot = placed.groupBy(index.alias("bin")).pivot(detector, list(detectors)).agg(F.max(score))
-    return pivot.fillna(0.0)
+    every = rows.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    return every.join(pivot, "bin", "left").fillna(0.0)
 
 
 def class_weight(rows: DataFrame, label: str = "label") -> DataFrame:
@@ -81,14 +92,16 @@ def class_weight(rows: DataFrame, label: str = "label") -> DataFrame:
 def param_effects(trials: DataFrame, params: Sequence[str], metric: str) -> DataFrame:
     """Mean distance of the group means from the global mean, per parameter.
 
-    Parameters with a single value are left out.
+    Parameters with a single value and trials without a metric (null or NaN) are left out.
     """
+    m = F.col(metric).cast("double")
+    trials = trials.withColumn("_m", m).where(m.isNotNull() & ~F.isnan(m))
     long = trials.select(
-        F.col(metric).cast("double").alias("_m"),
+        "_m",
         F.explode(F.array(*[F.struct(F.lit(p).alias("param"), F.col(p).cast("string").alias("value")) for p in params])).alias("p"),
     )
-    means = long.where("p.value is not null and _m is not null").groupBy("p.param", "p.value").agg(F.avg("_m").alias("mean"))
-    overall = trials.agg(F.avg(F.col(metric).cast("double"))).scalar()
+    means = long.where("p.value is not null").groupBy("p.param", "p.value").agg(F.avg("_m").alias("mean"))
+    overall = trials.agg(F.avg("_m")).scalar()
     return (
         means.groupBy("param")
         .agg(F.avg(F.abs(F.col("mean") - overall)).alias("mean_abs_delta"), F.count("*").alias("values"))

@@ -29,13 +29,13 @@ def template_bank(
     spin2: float = 0.0,
     subsample: int = 1,
 ) -> DataFrame:
-    """Parameter bank on a square grid, row by row, cut to ``n``; ``used`` marks every ``subsample``-th."""
-    side = max(1, round(math.sqrt(n)))
+    """Parameter bank on a square grid, row by row, exactly ``n`` cells; ``used`` marks every ``subsample``-th."""
+    side = max(1, math.ceil(math.sqrt(n)))
 
     def linspace(bounds: tuple[float, float], i: Column) -> Column:
         return F.lit(float(bounds[0])) + i * ((bounds[1] - bounds[0]) / max(side - 1, 1))
 
-    cells = spark.range(min(n, side * side)).withColumnRenamed("id", "pos")
+    cells = spark.range(n).withColumnRenamed("id", "pos")
     return cells.select(
         "pos",
         linspace(m1, F.floor(F.col("pos") / side)).alias("m1"),
@@ -59,15 +59,27 @@ def template_blocks(templates: DataFrame, block_bytes: int = BLOCK_BYTES) -> Ite
         if block.empty:
             return
         last = block["template_id"].iloc[-1].item()
-        yield block["template_id"].to_numpy(), np.array([np.asarray(w, dtype=np.float64) for w in block["wave"]])
+        yield block["template_id"].to_numpy(), fitted(block["wave"], longest)
         if len(block) < per_block:
             return
 
 
-def _window_batches(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+def fitted(waves: pd.Series, length: int) -> np.ndarray:
+    """Series as rows of ``length``: cut or padded with 0 at the end.
+
+    A missing series and samples that are null, NaN or infinite count as 0, so their score is 0.
+    """
+    out = np.zeros((len(waves), length))
+    for row, wave in zip(out, waves):
+        known = np.asarray([] if wave is None else wave, dtype=np.float64)[:length]
+        row[: len(known)] = known
+    return np.nan_to_num(out, copy=False, nan=0.0, posinf=0.0, neginf=0.0)
+
+
+def _window_batches(batches: Iterator[pd.DataFrame], length: int) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
     for batch in batches:
         if len(batch):
-            yield batch, np.array([np.asarray(w, dtype=np.float64) for w in batch["wave"]])
+            yield batch, fitted(batch["wave"], length)
 
 
 def _per_block(
@@ -84,7 +96,7 @@ def _per_block(
 
         def run(batches, shared=shared):
             ids, bank = shared.value
-            for batch, waves in _window_batches(batches):
+            for batch, waves in _window_batches(batches, bank.shape[1]):
                 yield score_batch(ids, bank, batch, waves)
 
         scored = windows.select("window_id", "wave").mapInPandas(run, schema)
@@ -331,7 +343,7 @@ def sweep_scores(
         def run(batches, shared=shared):
             bank, start = shared.value
             position = np.arange(start, start + len(bank))
-            for batch, waves in _window_batches(batches):
+            for batch, waves in _window_batches(batches, bank.shape[1]):
                 s = cosine_matrix(waves, bank)
                 for c in configs:
                     chosen = s[:, (position < c["templates_n"]) & (position % c["subsample"] == 0)]

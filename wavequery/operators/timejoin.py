@@ -61,8 +61,9 @@ def interval_label(
 
     ``by`` adds equality keys, such as an event hint, for the restricted variant.
     """
-    if length_range_us is None:
-        length = F.col(end) - F.col(start)
+    length = F.col(end) - F.col(start)
+    stated = length_range_us
+    if stated is None:
         row = windows.agg(F.min(length).alias("lo"), F.max(length).alias("hi")).first()
         if row["lo"] is None:
             return windows.withColumn(label, F.lit(0))
@@ -93,6 +94,10 @@ def interval_label(
     )
     placed = windows.withColumn("_cell", F.floor(lower / shortest).cast("long"))
     looked_up = join_checked(placed, cells, [*by, "_cell"], "left")
+    if stated is not None:
+        # The cells are right only for windows of the stated lengths.
+        wrong = F.raise_error(F.concat(F.lit("window length outside length_range_us: "), length.cast("string")))
+        hit = F.when((length < stated[0]) | (length > stated[1]), wrong).otherwise(hit)
     return looked_up.withColumn(label, hit.cast("int")).drop("_cell", "_latest_here", "_earliest_later")
 
 

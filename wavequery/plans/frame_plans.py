@@ -30,7 +30,8 @@ FROM a WHERE n = 200""",
 )
 def chunk_window_features(spark, sf_dir):
     chunks = gaps.chunked(si.clean_strain(spark, sf_dir))
-    return frames.chunk_frame_features(chunks, window=200, stride=50)
+    out = frames.chunk_frame_features(chunks, window=200, stride=50)
+    return out.withColumns({c: F.round(c, 6) for c in ("snr_rms", "snr_peak", "crest_factor")})
 
 
 GOOD_SQL = f"""{si.STRAIN_SQL},

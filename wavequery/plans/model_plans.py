@@ -75,7 +75,14 @@ def platt_calib(spark, sf_dir):
 def multi_seed(spark, sf_dir):
     rows = labelled_windows(spark, sf_dir)
     trials = md.multi_seed(
-        rows.where("subset = 'train'"), rows.where("subset = 'val'"), "key", FEATURES, (1, 2, 3), lambda _s: md.balanced_logistic()
+        rows.where("subset = 'train'"),
+        rows.where("subset = 'val'"),
+        "key",
+        FEATURES,
+        (1, 2, 3),
+        lambda _s: md.balanced_logistic(),
+        max_pos=5_000,
+        neg_per_pos=3,
     )
     per_metric = [md.spread(trials, m).withColumn("metric", F.lit(m)) for m in ("ap", "auc")]
     return _rounded(per_metric[0].unionByName(per_metric[1]), "mean", "std", "lo", "hi")

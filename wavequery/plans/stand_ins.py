@@ -96,9 +96,10 @@ def windows(spark: SparkSession, sf_dir: str, snr_threshold: float | None = None
     points = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("file_id"), time_us("ts").alias("t_us"), F.col("value").alias("x")
     )
-    return frame_features(
+    out = frame_features(
         points, series_extent(points, "file_id", "t_us"), "file_id", "t_us", "x", FRAME_US, STRIDE_US, snr_threshold
     )
+    return out.withColumns({c: F.round(c, 6) for c in ("snr_rms", "snr_peak", "crest_factor")})
 
 
 # --- sampled series -----------------------------------------------------------

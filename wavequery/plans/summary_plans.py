@@ -31,7 +31,8 @@ def value_counts(spark, sf_dir):
     "score_heatmap",
     f"""WITH {si.TRIGGERS_SQL}, s AS (SELECT min(t_us / 1e6) AS lo, max(t_us / 1e6) AS hi FROM triggers),
 b AS (SELECT CAST(least(greatest(floor((t_us / 1e6 - lo) / (hi - lo + 1e-9) * 48), 0), 47) AS INTEGER) AS bin, detector, score FROM triggers CROSS JOIN s)
-SELECT bin, coalesce(max(score) FILTER (detector = 'H1'), 0) AS "H1", coalesce(max(score) FILTER (detector = 'L1'), 0) AS "L1" FROM b GROUP BY bin""",
+SELECT CAST(r.bin AS INTEGER) AS bin, coalesce(max(score) FILTER (detector = 'H1'), 0) AS "H1", coalesce(max(score) FILTER (detector = 'L1'), 0) AS "L1"
+FROM range(48) r(bin) LEFT JOIN b ON b.bin = r.bin GROUP BY r.bin""",
 )
 def score_heatmap(spark, sf_dir):
     t = si.triggers(spark, sf_dir).withColumn("t_s", F.col("t_us") / 1e6)
@@ -51,9 +52,11 @@ def score_summary(spark, sf_dir):
 @query(
     "score_histogram",
     f"""WITH {si.LINE_SCORES_SQL}, e AS (SELECT label, min(score) AS lo, max(score) AS hi, count(*) AS total FROM line_scores GROUP BY label),
-b AS (SELECT label, CAST(least(greatest(floor((score - lo) / ((hi - lo) / 60)), 0), 59) AS INTEGER) AS bin, lo, hi, total FROM line_scores JOIN e USING (label))
-SELECT label, bin, round(any_value(lo + bin * ((hi - lo) / 60)), 4) AS bin_lo, CAST(count(*) AS BIGINT) AS n,
-       round(count(*) / any_value(total * ((hi - lo) / 60)), 9) AS density FROM b GROUP BY label, bin""",
+b AS (SELECT label, CAST(least(greatest(floor((score - lo) / ((hi - lo) / 60)), 0), 59) AS INTEGER) AS bin FROM line_scores JOIN e USING (label)),
+c AS (SELECT label, bin, count(*) AS n FROM b GROUP BY label, bin),
+g AS (SELECT label, CAST(r.bin AS INTEGER) AS bin, lo, hi, total FROM e CROSS JOIN range(60) r(bin))
+SELECT label, bin, round(lo + bin * ((hi - lo) / 60), 4) AS bin_lo, CAST(coalesce(n, 0) AS BIGINT) AS n,
+       round(coalesce(n, 0) / (total * ((hi - lo) / 60)), 9) AS density FROM g LEFT JOIN c USING (label, bin)""",
 )
 def score_histogram(spark, sf_dir):
     out = sm.histogram(si.line_scores(spark, sf_dir), "score", 60, ["label"])
@@ -276,7 +279,7 @@ def grid_scan(spark, sf_dir):
 @query(
     "template_grid",
     """WITH part_range AS (SELECT 3.0::DOUBLE AS lo, 3.0::DOUBLE + max(p_size) AS hi, CAST(count(*) AS BIGINT) AS wanted FROM part),
-side AS (SELECT *, CAST(greatest(round_even(sqrt(wanted), 0), 1) AS BIGINT) AS side FROM part_range),
+side AS (SELECT *, CAST(greatest(ceil(sqrt(wanted)), 1) AS BIGINT) AS side FROM part_range),
 bank AS (SELECT i * side + j AS pos, lo + i * ((hi - lo) / greatest(side - 1, 1)) AS m1, lo + j * ((hi - lo) / greatest(side - 1, 1)) AS m2
   FROM side, range(0, 2000) a(i), range(0, 2000) b(j) WHERE i < side AND j < side AND i * side + j < wanted)
 SELECT pos, round(m1, 6) AS m1, round(m2, 6) AS m2, CASE WHEN pos % 2 = 0 THEN 1 ELSE 0 END AS used FROM bank""",

@@ -152,13 +152,19 @@ def first_metric(report: Column, paths: list[str]) -> Column:
     return F.coalesce(*[F.get_json_object(report, p).cast("double") for p in paths])
 
 
-# Fixed fallback order of metric names in run reports: VAL before TEST.
-AP_PATHS = [f"$.{s}.{m}" for s in ("val", "validation", "eval", "metrics", "test") for m in ("ap", "AP", "average_precision")]
-AUC_PATHS = [f"$.{s}.{m}" for s in ("val", "validation", "eval", "metrics", "test") for m in ("auc", "AUC", "roc_auc")]
+# Sections of run reports in order, and the names of their metrics.
+SECTIONS = ("val", "validation", "eval", "metrics", "test")
+AP_NAMES = ("ap", "AP", "average_precision")
+AUC_NAMES = ("auc", "AUC", "roc_auc")
 
 
 def report_metrics(reports: DataFrame, report: str = "report") -> DataFrame:
-    """Average precision and AUC of each run report, with name and split fallbacks."""
-    ap = first_metric(F.col(report), [*AP_PATHS, "$.best_val_ap"])
-    auc = first_metric(F.col(report), [*AUC_PATHS, "$.best_val_auc"])
-    return reports.withColumn("ap", ap).withColumn("auc", auc)
+    """Average precision and AUC of each run report, both from the first section that has either."""
+
+    def pair(ap_paths: list[str], auc_paths: list[str]) -> Column:
+        ap, auc = first_metric(F.col(report), ap_paths), first_metric(F.col(report), auc_paths)
+        return F.when(ap.isNotNull() | auc.isNotNull(), F.struct(ap.alias("ap"), auc.alias("auc")))
+
+    sections = [pair([f"$.{s}.{m}" for m in AP_NAMES], [f"$.{s}.{m}" for m in AUC_NAMES]) for s in SECTIONS]
+    found = F.coalesce(*sections, pair(["$.best_val_ap"], ["$.best_val_auc"]))
+    return reports.withColumn("_found", found).withColumns({c: F.col("_found")[c] for c in ("ap", "auc")}).drop("_found")
