@@ -40,7 +40,7 @@ def score_summary(rows: DataFrame, score: str = "score") -> DataFrame:
 def histogram(rows: DataFrame, value: str, bins: int, by: Sequence[str] = ()) -> DataFrame:
     """Equal-width density histogram per key; the largest value falls into the last bin.
 
-    Every bin of a key has a row; null and NaN values are left out.
+    Every bin of a key has a row, but a key whose values are all equal has one bin; null and NaN values are left out.
     """
     by = list(by)
     rows = rows.where(F.col(value).isNotNull() & ~F.isnan(value))
@@ -59,7 +59,7 @@ def histogram(rows: DataFrame, value: str, bins: int, by: Sequence[str] = ()) ->
     bin_no = F.when(width > 0, F.least(F.greatest(index, F.lit(0)), F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
     counted = placed.groupBy(*key, bin_no.alias("bin"), "_e").agg(F.count("*").alias("n"))
     every_bin = F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
-    empty = ends.where("total > 0").select(*key, every_bin, spec.alias("_e"), F.lit(0).cast("long").alias("n"))
+    empty = ends.where("hi > lo").select(*key, every_bin, spec.alias("_e"), F.lit(0).cast("long").alias("n"))
     counted = counted.unionByName(empty).groupBy(*key, "bin", "_e").agg(F.sum("n").alias("n"))
     low = F.col("_e.lo") + F.col("bin") * width
     density = F.when(width > 0, F.col("n") / (F.col("_e.total") * width))
