@@ -21,6 +21,30 @@ def test_main_text(wrap):
     assert html_text.extract(PAGE % (wrap % (ARTICLE + comments))) == WANT
 
 
+LONG = "".join(f"<p>{w} paragraph of the article, with a good many plain words in it to read.</p>" for w in ("First", "Second", "Third"))
+WRAPPERS = [
+    '<div style="overflow:hidden">%s</div>',
+    '<div title="hidden gem" data-hidden="false">%s</div>',
+    '<div class="content-sidebar-wrap">%s</div>',
+    '<div id="with-sidebar"><article>%s</article></div>',
+    '<form action="/x"><div class="content-sidebar-wrap">%s</div></form>',
+]
+
+
+@pytest.mark.parametrize("wrap", WRAPPERS)
+def test_main_text_in_wrappers_named_like_what_is_set_aside(wrap):
+    assert html_text.extract(PAGE % (wrap % LONG)).count("paragraph of the article") == 3
+    assert "Buy now" not in html_text.extract(PAGE % (wrap % LONG))
+
+
+def test_long_comments_are_no_wrapper():
+    comments = '<div class="comments">' + "<p>I do not agree with any of this at all, really not.</p>" * 9 + "</div>"
+    for page in (f"<article>{LONG}{comments}</article>", f'<form><article>{LONG}</article>{comments}</form>', f"<article>{LONG}</article>{comments}"):
+        got = html_text.extract(PAGE % page)
+        assert got.count("paragraph of the article") == 3 and "agree" not in got
+    assert html_text.extract(PAGE % f"<article>{LONG}<div hidden>{LONG}</div></article>").count("paragraph") == 3
+
+
 def test_page_edge_cases(spark):
     pages = [(1, "u", None, 1), (2, None, "", 1), (None, "u", "<p>a</p><p>b", 1), (3, "u", "<div>" * 2000 + "deep", 1), (3, "u", "<a href='x>b", 1)]
     df = spark.createDataFrame(pages, "page_id bigint, url string, html string, text int")

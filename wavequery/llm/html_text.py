@@ -4,7 +4,8 @@ Every block of the page's tree gets the density of its characters per tag, lower
 text. A block's sum is that of its children's densities; the block with the largest sum holds the
 article. The least density on the path from the body to it is the threshold: of every block that reaches it, the subtree
 with the largest sum is text. If the article's block lies in an ``article`` or ``main`` element, that element alone
-is taken, whole. Elements that never hold the article are left out by their tag, role or class.
+is taken, whole. Elements that never hold the article are left out by their tag; forms and elements with a role or
+class of that kind too, unless they hold the article.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ INLINE = frozenset(
     "strike strong sub sup time tt u var wbr".split()
 )
 NEVER = frozenset(
-    "head script style noscript template nav footer aside form button select option textarea input iframe object embed "
+    "head script style noscript template nav footer aside button select option textarea input iframe object embed "
     "svg canvas audio video map menu dialog title noembed noframes".split()
 )
 CLOSED_BY = {  # an open element ends where one of these begins
@@ -46,21 +47,23 @@ ASIDE = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form".split())
 
+APART = 5
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)[^>]*>",
     re.S,
 )
-_NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 _PART = re.compile(r"[A-Za-z]+")
 
 
 class Block:
     """An element that counts: a block, or a link."""
 
-    __slots__ = ("chars", "children", "density", "dropped", "linked", "links", "parent", "parts", "peak", "sum", "tag", "tags")
+    __slots__ = ("aside", "chars", "children", "density", "dropped", "linked", "links", "parent", "parts", "peak", "sum", "tag", "tags")
 
-    def __init__(self, tag: str, parent: Block | None, dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Block | None, dropped: bool, aside: bool = False):
+        self.tag, self.parent, self.dropped, self.aside = tag, parent, dropped, aside
         self.children: list[Block] = []
         self.parts: list[str | Block] = []  # text and blocks, in page order
         self.chars = self.tags = self.linked = self.links = 0
@@ -68,25 +71,24 @@ class Block:
         self.peak = self
 
 
-def _set_aside(tag: str, attributes: str, inside: bool) -> bool:
-    if tag in NEVER:
-        return True
-    if tag == "header" and not inside:
-        return True
+def _set_aside(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element never holds text, and whether it is set aside unless it holds the article."""
+    if tag in NEVER or tag == "header" and not inside:
+        return True, False
+    aside = tag == "form"
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
-    for name, *values in _NAMED.findall(attributes):
-        value = "".join(values).lower()
-        name = name.lower()
-        if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name in ("class", "id") and not ASIDE.isdisjoint(w.lower() for w in _PART.findall(value)):
-            return True
-    return False
+        return False, aside
+    found: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        found.setdefault(name.lower(), "".join(values).lower())
+    if "hidden" in found or found.get("aria-hidden") == "true":
+        return True, False
+    words = _PART.findall(f"{found.get('class', '')} {found.get('id', '')}")
+    return False, aside or found.get("role") in ROLES or not ASIDE.isdisjoint(words)
 
 
 def tree(page: str) -> list[Block]:
-    """The blocks of a page, parents before children; the first is the page."""
+    """The blocks of a page, parents before children, also those that are set aside; the first is the page."""
     root = Block("#page", None, False)
     blocks, open_, inline, at, skip = [root], [("#page", root)], 0, 0, ""
 
@@ -124,17 +126,16 @@ def tree(page: str) -> list[Block]:
             _end_implied(open_, tag)
         parent = open_[-1][1]
         if tag in INLINE and tag != "a":
-            dropped = parent.dropped or bool(token[3]) and _set_aside(tag, token[3], True)
-            block = parent
-            if dropped and not parent.dropped:
-                block = Block(tag, parent, True)
+            never, aside = _set_aside(tag, token[3], True) if token[3] else (False, False)
+            block = Block(tag, parent, parent.dropped or never, aside) if never or aside else parent
         else:
             inside = any(n in ("article", "main") for n, _ in open_)
-            block = Block(tag, parent, parent.dropped or _set_aside(tag, token[3] or "", inside))
-            if not block.dropped:
-                parent.children.append(block)
-                parent.parts.append(block)
-                blocks.append(block)
+            never, aside = _set_aside(tag, token[3] or "", inside)
+            block = Block(tag, parent, parent.dropped or never, aside)
+        if block is not parent and not block.dropped:
+            parent.children.append(block)
+            parent.parts.append(block)
+            blocks.append(block)
         if tag in RAW:
             skip = tag
         elif not (token[3] or "").endswith("/"):
@@ -144,6 +145,50 @@ def tree(page: str) -> list[Block]:
     return blocks
 
 
+def without_asides(blocks: list[Block]) -> list[Block]:
+    """The blocks that count, in ``blocks`` from ``tree``; what is set aside is taken out of its parent.
+
+    A block that is set aside by its name, its role or as a form counts all the same if it holds the block with the
+    largest sum or most of the page's plain text: it is a wrapper then. Long comments are no wrapper: it stays out
+    if an ``article`` or ``main`` element has at least a part of ``1 / APART`` as much plain text besides.
+    """
+    if not any(b.aside for b in blocks):
+        return blocks
+    weigh(blocks)
+    path, block = set(), blocks[0].peak
+    while block is not None:
+        path.add(id(block))
+        block = block.parent
+    above: dict[int, Block | None] = {}  # the nearest block set aside that holds a block, or is it
+    for block in blocks:
+        above[id(block)] = block if block.aside or block.parent is None else above[id(block.parent)]
+    free: dict[int, int] = {}  # plain text below, without what is set aside there
+    besides: dict[int, int] = {}  # most of it in an article or main, by the nearest block set aside
+    for block in reversed(blocks):
+        below = sum(free[id(c)] for c in block.children if not c.aside)
+        free[id(block)] = 0 if block.tag == "a" else block.chars - sum(c.chars for c in block.children) + below
+        if block.tag in ("article", "main"):
+            near = id(above[id(block)])
+            besides[near] = max(besides.get(near, 0), free[id(block)])
+    total = blocks[0].chars - blocks[0].linked
+    out: set[int] = set()
+    for block in blocks:
+        if block.parent is None:
+            continue
+        if id(block.parent) in out:
+            out.add(id(block))
+        elif block.aside:
+            plain, near = block.chars - block.linked, id(above[id(block.parent)])
+            apart = besides.get(near, 0)
+            if (id(block) in path or 2 * plain > total) and APART * apart < plain:
+                besides[id(block)] = max(besides.get(id(block), 0), apart)
+            else:
+                out.add(id(block))
+                block.parent.children = [c for c in block.parent.children if c is not block]
+                block.parent.parts = [p for p in block.parent.parts if p is not block]
+    return [b for b in blocks if id(b) not in out]
+
+
 def _end_implied(open_: list[tuple[str, Block]], tag: str) -> None:
     """Close what a block start tag ends: a paragraph, and items of the same kind."""
     for depth in range(len(open_) - 1, 0, -1):
@@ -158,6 +203,7 @@ def _end_implied(open_: list[tuple[str, Block]], tag: str) -> None:
 def weigh(blocks: list[Block]) -> None:
     """Set densities, sums and the block with the largest sum of every subtree."""
     for block in reversed(blocks):
+        block.density, block.sum, block.peak = 0.0, 0.0, block
         own = sum(len("".join(p.split())) for p in block.parts if isinstance(p, str))
         block.chars = own + sum(c.chars for c in block.children)
         block.tags = sum(c.tags + 1 for c in block.children)
@@ -198,7 +244,7 @@ def _lines(block: Block) -> Iterator[str]:
 
 def extract(page: str) -> str:
     """The main text of one page; empty if there is none."""
-    blocks = tree(page)
+    blocks = without_asides(tree(page))
     weigh(blocks)
     best = blocks[0].peak
     path, holder = [], None
