@@ -45,6 +45,23 @@ def test_long_comments_are_no_wrapper():
     assert html_text.extract(PAGE % f"<article>{LONG}<div hidden>{LONG}</div></article>").count("paragraph") == 3
 
 
+SCRIPTS = [
+    "for(i=0;i<n;i++){x()}",
+    'document.write("<!-- no end");',
+    "if(a<b){s=\"it's\"}",
+    "t='<p title=\"';",
+]
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+@pytest.mark.parametrize("end", ["</script>", "</SCRIPT >", "</script\n>"])
+def test_scripts_do_not_swallow_the_text_behind_them(script, end):
+    page = f"<body><article>{LONG}<script>{script}{end}{LONG}<style>a<b{{}}</style>{LONG}</article></body>"
+    got = html_text.extract(page)
+    assert got.count("paragraph of the article") == 9 and "<" not in got and script[:8] not in got
+    assert html_text.extract(f"<p>a</p><script>{script}") == "a"
+
+
 def test_page_edge_cases(spark):
     pages = [(1, "u", None, 1), (2, None, "", 1), (None, "u", "<p>a</p><p>b", 1), (3, "u", "<div>" * 2000 + "deep", 1), (3, "u", "<a href='x>b", 1)]
     df = spark.createDataFrame(pages, "page_id bigint, url string, html string, text int")

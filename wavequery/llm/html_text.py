@@ -53,6 +53,7 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)[^>]*>",
     re.S,
 )
+_RAW_END = {tag: re.compile(rf"</{tag}(?:[\s/][^>]*)?>", re.I) for tag in RAW}
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 _PART = re.compile(r"[A-Za-z]+")
 
@@ -90,23 +91,16 @@ def _set_aside(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
 def tree(page: str) -> list[Block]:
     """The blocks of a page, parents before children, also those that are set aside; the first is the page."""
     root = Block("#page", None, False)
-    blocks, open_, inline, at, skip = [root], [("#page", root)], 0, 0, ""
+    blocks, open_, at = [root], [("#page", root)], 0
 
     def text(data: str) -> None:
         block = open_[-1][1]
         if data and not block.dropped:
             block.parts.append(data)
 
-    for token in _TOKEN.finditer(page):
-        if token.start() < at:
-            continue
+    while token := _TOKEN.search(page, at):
         tag = (token[2] or token[5] or "").lower()
         closing = (token[1] or token[4]) == "/"
-        if skip:
-            if not (closing and tag == skip):
-                continue
-            skip, at = "", token.end()
-            continue
         text(page[at : token.start()])
         at = token.end()
         if not tag:
@@ -136,12 +130,12 @@ def tree(page: str) -> list[Block]:
             parent.children.append(block)
             parent.parts.append(block)
             blocks.append(block)
-        if tag in RAW:
-            skip = tag
+        if tag in RAW:  # nothing in it is a tag but its own end
+            end = _RAW_END[tag].search(page, at)
+            at = end.end() if end else len(page)
         elif not (token[3] or "").endswith("/"):
             open_.append((tag, block))
-    if not skip:
-        text(page[at:])
+    text(page[at:])
     return blocks
 
 
