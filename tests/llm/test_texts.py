@@ -62,6 +62,25 @@ def test_scripts_do_not_swallow_the_text_behind_them(script, end):
     assert html_text.extract(f"<p>a</p><script>{script}") == "a"
 
 
+def test_all_parts_of_article_and_main_are_found():
+    other = LONG.replace("the article", "another one")
+    loose = "Loose text beside it, which is no element of its own but as long as one of the paragraphs."
+    links = "<ul>" + "".join(f"<li><a href=/{i}>More {i} to see</a></li>" for i in range(8)) + "</ul>"
+    short = "<article><p>A second article, of one paragraph, with as many plain words as any of the others.</p></article>"
+    for page, want in [
+        (f"<article>{LONG}</article><article>{other}</article>", ["another one"] * 3),
+        (f"<article>{LONG}{LONG}</article><div><p>{loose}</p></div>{short}", ["second article"]),
+        (f"<article><header><h2>Short head</h2></header><div>{LONG}</div></article>", ["Short head"]),
+        (f"<main>{loose}<article>{LONG}{LONG}</article><p>Behind it in main stands one more paragraph, with as many plain words as any other has.</p></main>", ["Loose text", "Behind it"]),
+        (f"<article>{LONG}{links}</article>", []),
+    ]:
+        got = html_text.extract(PAGE % page)
+        assert got.count("paragraph of the article") == LONG.count("<p>") * page.count(LONG)
+        assert all(got.count(w) == want.count(w) for w in want)
+        assert "More 1" not in got and "Buy now" not in got
+    assert html_text.extract("<html><body>Loose text<p>b</p></body></html>") == "Loose text\n\nb"
+
+
 def test_page_edge_cases(spark):
     pages = [(1, "u", None, 1), (2, None, "", 1), (None, "u", "<p>a</p><p>b", 1), (3, "u", "<div>" * 2000 + "deep", 1), (3, "u", "<a href='x>b", 1)]
     df = spark.createDataFrame(pages, "page_id bigint, url string, html string, text int")

@@ -3,8 +3,9 @@
 Every block of the page's tree gets the density of its characters per tag, lowered by its share of linked
 text. A block's sum is that of its children's densities; the block with the largest sum holds the
 article. The least density on the path from the body to it is the threshold: of every block that reaches it, the subtree
-with the largest sum is text. If the article's block lies in an ``article`` or ``main`` element, that element alone
-is taken, whole. Elements that never hold the article are left out by their tag; forms and elements with a role or
+with the largest sum is text. If the article's block lies in an ``article`` or ``main`` element, that element
+is taken, and only such elements are searched for more, all of them: a block need not be denser than the least dense one of the article there.
+Lists of links below the threshold are left out. Elements that never hold the article are left out by their tag; forms and elements with a role or
 class of that kind too, unless they hold the article.
 """
 
@@ -194,6 +195,14 @@ def _end_implied(open_: list[tuple[str, Block]], tag: str) -> None:
             return
 
 
+def _density(chars: int, tags: int, linked: int, links: int, share: float) -> float:
+    if not chars:
+        return 0.0
+    base = math.log(chars * linked / max(chars - linked, 1) + share * chars + math.e)
+    value = math.log(max(chars / max(linked, 1) * max(tags, 1) / max(links, 1), 1)) / math.log(max(base, 1.1))
+    return chars / max(tags, 1) * value
+
+
 def weigh(blocks: list[Block]) -> None:
     """Set densities, sums and the block with the largest sum of every subtree."""
     for block in reversed(blocks):
@@ -205,12 +214,7 @@ def weigh(blocks: list[Block]) -> None:
         block.links = sum(c.links for c in block.children) + (block.tag == "a")
     share = blocks[0].linked / max(blocks[0].chars, 1)
     for block in reversed(blocks):
-        if block.chars:
-            tags, linked, links = max(block.tags, 1), max(block.linked, 1), max(block.links, 1)
-            plain = max(block.chars - block.linked, 1)
-            base = math.log(block.chars * block.linked / plain + share * block.chars + math.e)
-            value = math.log(max(block.chars / linked * tags / links, 1)) / math.log(max(base, 1.1))
-            block.density = block.chars / tags * value
+        block.density = _density(block.chars, block.tags, block.linked, block.links, share)
         block.sum = sum(c.density for c in block.children)
         for child in block.children:
             alone = not block.peak.sum and not child.peak.sum and 2 * child.chars > block.chars
@@ -218,22 +222,51 @@ def weigh(blocks: list[Block]) -> None:
                 block.peak = child.peak
 
 
-def _lines(block: Block) -> Iterator[str]:
-    """Texts of the blocks below, in page order; links run on in the text around them."""
+def _link_list(block: Block, threshold: float) -> bool:
+    return block.density < threshold and block.links > 1 and 2 * block.linked > block.chars
+
+
+def _lines(page: Block, taken: set[int], bounds: set[int], threshold: float, least: float) -> Iterator[str]:
+    """Texts of the blocks taken, in page order; links run on in the text around them.
+
+    Loose text beside the blocks of a block is a block without a tag, and taken if it reaches ``least``, as its block must. Lists of
+    links that do not reach the threshold are left out.
+    """
+    share = page.linked / max(page.chars, 1)
     held: list[str] = []
-    todo: list[str | Block | None] = [block]
+    plain = links = linked = 0
+    todo: list[tuple[str | Block | None, bool, bool, bool]] = [(page, False, not bounds, False)]  # part, taken, in bounds, in a link
+    dense = [page]  # the blocks around
+
+    def line(inside: bool, bound: bool) -> str:
+        nonlocal plain, links, linked
+        reaches = bound and (dense[-1].density >= least or dense[-1].tag in ("#page", "html"))
+        take = inside or plain > 0 and reaches and _density(plain + linked, links, linked, links, share) >= least
+        text = "".join(held) if take else ""
+        held.clear()
+        plain = links = linked = 0
+        return text
+
     while todo:
-        part = todo.pop()
-        if isinstance(part, str):
+        part, inside, bound, link = todo.pop()
+        if part is None:
+            yield line(inside, bound)
+            dense.pop()
+        elif isinstance(part, str):
             held.append(part)
-        elif part is None or part.tag != "a":
-            yield "".join(held)
-            held = []
-        if isinstance(part, Block):
-            if part.tag != "a":
-                todo.append(None)
-            todo += reversed(part.parts)
-    yield "".join(held)
+            chars = len("".join(part.split()))
+            plain, linked = plain + chars * (not link), linked + chars * link
+        elif part.tag == "a" and id(part) not in taken:
+            links += 1
+            todo += [(p, inside, bound, True) for p in reversed(part.parts)]
+        else:
+            yield line(inside, bound)
+            inside, bound = inside or id(part) in taken, bound or id(part) in bounds
+            if inside and _link_list(part, threshold):
+                continue
+            dense.append(part)
+            todo.append((None, inside, bound, link))
+            todo += [(p, inside, bound, link) for p in reversed(part.parts)]
 
 
 def extract(page: str) -> str:
@@ -248,21 +281,21 @@ def extract(page: str) -> str:
         if block.tag in ("article", "main"):
             holder = holder or block
         block = block.parent
-    if holder is not None:
-        chosen = [holder]
-    else:
-        threshold = min(b.density for b in path if b.tag not in ("#page", "html")) if len(path) > 1 else 0.0
-        chosen = [b.peak for b in blocks if b.chars and b.density >= threshold and b.tag not in ("#page", "html", "body", "a")]
-        chosen.append(best)
-    taken, lines = {id(b) for b in chosen}, []
-    for block in blocks:  # parents first: a chosen block inside a chosen one is in it already
-        if id(block) in taken:
-            above = block.parent
-            while above is not None and id(above) not in taken:
-                above = above.parent
-            if above is None:
-                lines += _lines(block)
-    plain = (" ".join(html.unescape(line).split()) for line in lines)
+    threshold = min((b.density for b in path if b.tag not in ("#page", "html")), default=0.0)
+    bounds = {id(b) for b in blocks if b.tag in ("article", "main")} if holder else set()
+    within = set(bounds)
+    for block in blocks:  # parents first
+        if block.parent is not None and id(block.parent) in within:
+            within.add(id(block))
+    least, taken = threshold, {id(best)}
+    if holder:  # what the article's own blocks have is enough for others
+        taken.add(id(holder))
+        least = min([least, *(c.density for c in best.children if c.density and not _link_list(c, threshold))])
+    for block in blocks:
+        fits = block.chars and block.density >= least and not _link_list(block, threshold) and block.tag not in ("#page", "html", "body", "a")
+        if fits and (not holder or id(block) in within):
+            taken.add(id(block.peak))
+    plain = (" ".join(html.unescape(line).split()) for line in _lines(blocks[0], taken, bounds, threshold, least))
     return "\n\n".join(line for line in plain if line)
 
 
