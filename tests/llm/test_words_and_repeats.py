@@ -55,6 +55,17 @@ def test_quality_verdicts(spark):
     assert got[3].base_failed and got[3].n_dup_lines == 39
 
 
+def test_covered_share_alone_rejects(spark):
+    fresh = " ".join(f"w{i}" for i in range(400))
+    passage = " ".join(f"p{i}" for i in range(90))
+    half = passage + " " + " ".join(f"w{i}" for i in range(220)) + " " + passage
+    once = " ".join(f"p{i}" for i in range(12)) + " " + fresh + " " + " ".join(f"p{i}" for i in range(12))
+    got = {r.doc_id: r for r in quality.judged(quality.measure(frame(spark, [(1, half), (2, once)]))).collect()}
+    assert (got[1].n_words, got[1].n_covered_words, got[1].longest_repeat) == (400, 180, 90)
+    assert not got[1].base_failed and not got[1].kept
+    assert got[2].n_covered_words == 24 and got[2].kept
+
+
 def brute_removal(rows, width):
     first, out = {}, {}
     split = {i: (t or "").split() for i, t in rows}

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from wavequery.llm import words
 
 SHORTEST = 10  # words of a repeat that counts
-COVERED_PERCENT = 50  # of the words, in repeats that count
+COVERED_PERCENT = 25  # of the words, in repeats that count; they are repeats of three words too, of which 50 % pass
 LONGEST_REPEAT = 100  # words
 BLOCK_WORDS = 500_000
 
