@@ -144,3 +144,19 @@ def test_shards_fit_and_split_only_where_needed(spark):
         if shard:
             assert sum(b for s, b in shards.items() if s.startswith(shard[:-1])) > 1000
     assert sharding.assigned(frame(spark, EDGE).limit(0), 10).count() == 0
+
+
+def test_written_shards_hold_every_row_once(spark, tmp_path):
+    rows = [(None, f"no id {i}", i) for i in range(30)] + [(7, "one text", 1), (7, "another text", 2)]
+    rows += [(8, "copy" * 10, i) for i in range(50)] + [(9, "x" * 150, 1), (None, None, 1)] + [(100 + i, f"text {i}" * 3, i) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, n int")
+    sharding.write(df, str(tmp_path / "out"), 100)
+    got = spark.read.option("spark.sql.sources.partitionColumnTypeInference.enabled", False).parquet(str(tmp_path / "out"))
+    found = got.collect()
+    assert sorted(map(str, [(r.doc_id, r.text, r.n) for r in found])) == sorted(map(str, rows))
+    sizes = defaultdict(list)
+    for r in got.select("*", "_metadata.file_path").collect():
+        sizes[r.file_path.rpartition("/")[0]].append(len(r.text or ""))
+    assert all(sum(s) <= 100 or len(s) == 1 for s in sizes.values())
+    want = {(r.shard, r.page) for r in sharding.assigned(df, 100).collect()}
+    assert len(sizes) == len(want)

@@ -24,12 +24,12 @@ def bits(text) -> F.Column:
     return F.lpad(F.conv(F.substring(F.md5(text), 1, 15), 16, 2), 60, "0")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``n_bytes`` and ``key``: bits of the id, then bits of the text that tell rows of one id apart."""
+def keyed(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep``, ``n_bytes`` and ``key``: bits of the id, then bits of the text that tell rows of one id apart."""
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     text = F.coalesce("text", F.lit(""))
     return docs.select(
-        "doc_id",
+        *keep,
         F.octet_length(text).cast("bigint").alias("n_bytes"),
         F.concat(bits(name.cast("binary")), bits(text.cast("binary"))).alias("key"),
     )
@@ -78,22 +78,42 @@ def assigned(docs: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
     that size; a single longer document is a page of its own. Null text counts as empty; a null ``doc_id`` as an
     empty name. An empty table gives no rows. Other columns are ignored.
     """
+    placed = _placed(docs, limit)
+    fits = placed.where(F.col("shard_bytes") <= limit).withColumn("page", F.lit(0).cast("bigint"))
+    over = placed.where(F.col("shard_bytes") > limit).withColumn("page", _page("doc_id", limit))
+    return fits.unionByName(over).select("doc_id", "n_bytes", F.col("prefix").alias("shard"), "page", "shard_bytes", "shard_docs")
+
+
+def _placed(docs: DataFrame, limit: int) -> DataFrame:
+    """Rows from ``keyed`` with the prefix and sums of their shard."""
     rows = stages.written(keyed(docs), "keys")
     shards = directory(rows, limit)
     lengths = [r["bits"] for r in shards.select("bits").distinct().collect()]  # at most KEY_BITS + 1 numbers
     wanted = F.array(*[F.lit(n) for n in sorted(lengths)]) if lengths else F.array(F.lit(0))
     # A document lies in the one shard whose prefix its key has.
     tried = rows.select("*", F.explode(F.transform(wanted, lambda n: F.substring("key", F.lit(1), n))).alias("prefix"))
-    placed = tried.join(shards, "prefix").drop("bits")
-    alike = Window.partitionBy("key").orderBy("doc_id")
+    return tried.join(shards, "prefix").drop("bits")
+
+
+def _page(order, limit: int) -> F.Column:
+    """Page of a row of a shard over the limit, whose rows all have one key."""
+    alike = Window.partitionBy("key").orderBy(order)
     per_page = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest("n_bytes", F.lit(1))))
     page = F.when(F.col("shard_bytes") <= limit, 0).otherwise(F.floor((F.row_number().over(alike) - 1) / per_page))
-    fits = placed.where(F.col("shard_bytes") <= limit).withColumn("page", F.lit(0).cast("bigint"))
-    over = placed.where(F.col("shard_bytes") > limit).withColumn("page", page.cast("bigint"))
-    return fits.unionByName(over).select("doc_id", "n_bytes", F.col("prefix").alias("shard"), "page", "shard_bytes", "shard_docs")
+    return page.cast("bigint")
 
 
 def write(docs: DataFrame, path: str, limit: int = LIMIT_BYTES) -> None:
-    """Write the documents to ``path`` as Parquet, each shard and page in a folder of its own."""
-    keys = assigned(docs, limit).select("doc_id", "shard", "page").distinct()
-    docs.join(keys, "doc_id").repartition("shard", "page").write.partitionBy("shard", "page").parquet(path)
+    """Write the documents to ``path`` as Parquet, each shard and page in a folder of its own.
+
+    Every row is written once, with all its columns, also without a ``doc_id``. Rows of one id with different texts go to
+    the shard of each; repeated rows over the limit are dealt to pages as in ``assigned``.
+    """
+    keys = _placed(docs, limit).select("key", F.col("prefix").alias("shard"), "shard_bytes").distinct()
+    rows = keyed(docs, tuple(docs.columns)).join(keys, "key")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.xxhash64(F.to_json(F.struct(*others))) if others else F.col("key")  # the same pages if a task runs again
+    fits = rows.where(F.col("shard_bytes") <= limit).withColumn("page", F.lit(0).cast("bigint"))
+    over = rows.where(F.col("shard_bytes") > limit).withColumn("page", _page(order, limit))
+    dealt = fits.unionByName(over).select(*docs.columns, "shard", "page")
+    dealt.repartition("shard", "page").write.partitionBy("shard", "page").parquet(path)
