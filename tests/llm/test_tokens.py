@@ -160,3 +160,19 @@ def test_written_shards_hold_every_row_once(spark, tmp_path):
     assert all(sum(s) <= 100 or len(s) == 1 for s in sizes.values())
     want = {(r.shard, r.page) for r in sharding.assigned(df, 100).collect()}
     assert len(sizes) == len(want)
+
+
+def test_flat_files_of_more_than_two_gb(spark, tmp_path):
+    folder = tmp_path / "a b#?%20"
+    folder.mkdir()
+    size = (2 << 30) + 6
+    with open(folder / "large.bin", "wb") as f:  # sparse
+        f.seek(size - 4)
+        f.write(np.array([9, 5], "<u2").tobytes())
+    (folder / "small.bin").write_bytes(np.array([1, 2, 9, 3], "<u2").tobytes())
+    (folder / "empty.bin").write_bytes(b"")
+    pattern = str(tmp_path / "a b*")
+    blocks = token_counts.read_flat(spark, pattern, 64 << 20)
+    found = token_counts.stitched(token_counts.scanned(blocks, 9)).collect()
+    assert sorted((r.n_tokens, r.closed) for r in found) == [(1, False), (1, False), (2, True), (size // 2 - 2, True)]
+    assert blocks.rdd.getNumPartitions() >= 8

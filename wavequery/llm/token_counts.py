@@ -8,10 +8,13 @@ documents ended before it, and where the last of them did.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +23,7 @@ from wavequery.llm import byte_tokens, stages
 from wavequery.operators.running import running
 
 BLOCK_BYTES = 1 << 20
+TASK_BYTES = 128 << 20  # of flat files that one task reads
 SCAN_BLOCKS = 1024  # blocks of one file whose prefix one task computes
 
 FLAT = "file bigint, block bigint, data binary, began array<bigint>"
@@ -56,9 +60,57 @@ def flat_blocks(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> D
     return docs.select("doc_id", "text").mapInArrow(run, FLAT)
 
 
+def _opener(name: str):
+    """File system of a path as Spark lists it, and what stands before the path's own part; None if pyarrow has none."""
+    at = urlsplit(name)
+    if at.scheme in ("", "file"):
+        return pa_fs.LocalFileSystem(), ""
+    try:
+        files, base = pa_fs.FileSystem.from_uri(f"{at.scheme}://{at.netloc}/")
+    except (pa.ArrowException, OSError, ValueError):
+        return None
+    return files, base.rstrip("/")
+
+
+def _own_part(name: str) -> str:
+    """The path in its store; a Hadoop path is not escaped, so a ``?`` or ``#`` belongs to it."""
+    rest = name.partition(":")[2] if re.match(r"[a-zA-Z][\w+.-]*:/", name) else name
+    return "/" + rest[2:].partition("/")[2] if rest.startswith("//") else rest
+
+
 def read_flat(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Flat files of the folder ``path`` (each below 2 GB, as Spark reads binary files whole), in blocks."""
+    """Flat files of the folder ``path``, of any size, in blocks.
+
+    Tasks get names and numbers of blocks and read only those bytes, by pyarrow's file systems. In a store that pyarrow
+    cannot open, files are read whole by Spark, and must be below 2 GB each.
+    """
+    found = spark.read.format("binaryFile").load(path)
+    listed = found.select(F.col("path").alias("file"), "length").where("length > 0")
+    first = listed.select("file").first()
+    if first is not None and _opener(first["file"]) is None:
+        return _read_whole(found, block_bytes)
+    last = F.floor((F.col("length") - 1) / block_bytes)
+    blocks = listed.select("file", "length", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("block"))
+    total = listed.agg(F.sum("length")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("file", "length", "block"))
+            for name, length, block in zip(*columns, strict=True):
+                store, before = _opener(name)
+                at = block * block_bytes
+                with store.open_input_file(before + _own_part(name)) as source:
+                    data = source.read_at(min(block_bytes, length - at), at)
+                if len(data) != min(block_bytes, length - at):
+                    raise OSError(f"{name} is shorter than when it was listed")
+                columns = [pa.array([name]), pa.array([block], pa.int64()), pa.array([data], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["file", "block", "data"])
+
+    return blocks.repartition(tasks).mapInArrow(run, "file string, block bigint, data binary")
+
 
+def _read_whole(found: DataFrame, block_bytes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
@@ -69,8 +121,7 @@ def read_flat(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) ->
                         [pa.array([name]), pa.array([block], pa.int64()), part], ["file", "block", "data"]
                     )
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "file string, block bigint, data binary")
+    return found.select("path", "content").mapInArrow(run, "file string, block bigint, data binary")
 
 
 def scanned(blocks: DataFrame, separator: int, width: int = 2) -> DataFrame:
