@@ -6,7 +6,7 @@ import importlib
 
 from wavequery.llm.registry import ORACLES, QUERIES
 
-_MODULES = ("text_queries", "dedup_queries", "token_queries")
+_MODULES = ("text_queries", "dedup_queries", "token_queries", "structure_queries")
 
 
 def _load() -> None:
