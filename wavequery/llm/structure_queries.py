@@ -5,11 +5,82 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavequery.llm import periods
+from wavequery.llm import link_graph, periods
 from wavequery.llm.registry import query
 from wavequery.session import table
 
 
+# The rules that every url is judged by.
+RULES = (
+    link_graph.Rule("net", "/", "block"),
+    link_graph.Rule("example.net", "/en/", "allow"),
+    link_graph.Rule("example.com", "/de/", "block"),
+    link_graph.Rule("org", "/fr/", "allow"),
+)
+
+
+def _rule_cases(host: str, path: str, what: str) -> str:
+    """SQL of the longest rule that fits, or of its verdict."""
+    cases = [
+        f"WHEN ({host} = '{r.host}' OR {host} LIKE '%.{r.host}') AND starts_with({path}, '{r.path}') THEN '{getattr(r, what)}'"
+        for r in sorted(RULES, key=lambda r: -len(r.name))
+    ]
+    return f"CASE {' '.join(cases)} END"
+
+
+def _host(url: str) -> str:
+    rest = f"CASE WHEN strpos({url}, '://') > 0 THEN substr({url}, strpos({url}, '://') + 3) ELSE '' END"
+    return f"translate(regexp_extract({rest}, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    "op11_link_graph",
+    rf"""
+    WITH RECURSIVE l AS (
+      SELECT page_id, html, {_host("url")} AS host,
+             CASE WHEN strpos(url, '://') > 0 THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1)
+                  ELSE '' END AS path
+      FROM pages
+    ),
+    r AS (SELECT page_id, html, host, path, {_rule_cases("host", "path", "name")} AS rule,
+                 {_rule_cases("host", "path", "verdict")} AS verdict FROM l),
+    a AS (SELECT host, unnest(regexp_extract_all(html, '{link_graph.LINKS.replace("'", "''")}', 1)) AS link FROM r WHERE host <> ''),
+    t AS (SELECT host AS s, translate(regexp_extract(link, '{link_graph.LINK_HOST}', 1),
+                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM a),
+    e AS (SELECT DISTINCT s, t FROM t WHERE t <> '' AND t <> s),
+    arcs AS (SELECT 'trust' AS kind, s AS a, t AS b FROM e UNION ALL SELECT 'distrust', t, s FROM e),
+    g AS (SELECT *, count(*) OVER (PARTITION BY kind, a) AS degree FROM arcs),
+    h AS (
+      SELECT host, count(*) AS n, count(*) FILTER (verdict = 'allow') AS allowed, count(*) FILTER (verdict = 'block') AS blocked
+      FROM r WHERE host <> '' GROUP BY host
+      UNION ALL
+      SELECT b, 1, CASE WHEN v = 'allow' THEN 1 ELSE 0 END, CASE WHEN v = 'block' THEN 1 ELSE 0 END
+      FROM (SELECT DISTINCT b, {_rule_cases("b", "'/'", "verdict")} AS v FROM arcs) WHERE b NOT IN (SELECT host FROM r)
+    ),
+    f(k, kind, host, mass) AS (
+      SELECT 0, kind, host, ({link_graph.UNIT} * part // n)::BIGINT
+      FROM (SELECT host, n, 'trust' AS kind, allowed AS part FROM h UNION ALL SELECT host, n, 'distrust', blocked FROM h)
+      WHERE part > 0
+      UNION ALL
+      SELECT k + 1, kind, b, sum(part)::BIGINT
+      FROM (SELECT f.k, g.kind, g.b, f.mass * {link_graph.PASSED_PERCENT} // (100 * g.degree) AS part
+            FROM f JOIN g ON g.kind = f.kind AND g.a = f.host WHERE f.k < {link_graph.ROUNDS})
+      WHERE part > 0 GROUP BY k, kind, b
+    ),
+    v AS (
+      SELECT host FROM f GROUP BY host
+      HAVING coalesce(sum(mass) FILTER (kind = 'distrust'), 0) >= {link_graph.BLOCKED}
+         AND sum(mass) FILTER (kind = 'distrust') > coalesce(sum(mass) FILTER (kind = 'trust'), 0)
+    )
+    SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN host IN (FROM v) THEN 'block' ELSE 'allow' END) AS verdict
+    FROM r
+    """,
+)
+def op11_link_graph(spark, sf_dir):
+    """Verdicts on the urls of all pages."""
+    return link_graph.judged(table(spark, sf_dir, "pages"), RULES)
+
+
 def with_planted_periods(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text``; every tenth document, by checksum of its id, repeats some of its words to its end."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
