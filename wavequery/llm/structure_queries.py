@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavequery.llm import link_graph, periods
+from wavequery.llm import burst_trie, link_graph, periods
 from wavequery.llm.registry import query
 from wavequery.session import table
 
@@ -81,6 +81,68 @@ def op11_link_graph(spark, sf_dir):
     return link_graph.judged(table(spark, sf_dir, "pages"), RULES)
 
 
+def recombined(convs: DataFrame) -> DataFrame:
+    """Every conversation with its first turns taken from the first conversation of its hundred, by checksum of its id."""
+    h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
+    mine = convs.select("conv_id", "symbols", h.alias("_h"), (F.col("conv_id") - F.col("conv_id") % 100).alias("_base"))
+    base = convs.where("conv_id % 100 = 0").select(F.col("conv_id").alias("_base"), F.col("symbols").alias("_of_base"))
+    head = burst_trie.first_turns(F.coalesce("_of_base", F.lit(b"")), F.col("_h"))
+    rebuilt = F.concat(head, burst_trie.later_turns(F.col("symbols"), F.col("_h")))
+    return mine.join(base, "_base", "left").select("conv_id", rebuilt.alias("symbols"))
+
+
+@query(
+    "op12_burst_trie",
+    """
+    WITH RECURSIVE bits(i, k, v) AS (
+      SELECT i, 0, i FROM range(0, 256) AS r(i)
+      UNION ALL
+      SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM bits WHERE k < 8
+    ),
+    crc AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
+    o AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+             md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS m
+      FROM conversations WHERE conv_id IS NOT NULL
+    ),
+    c AS (SELECT conv_id, list({'m': m, 'n': length(text)} ORDER BY turn NULLS FIRST, m) AS own FROM o GROUP BY conv_id),
+    h AS (
+      SELECT conv_id, own, xor(4294967295, list_reduce(
+        [4294967295::BIGINT] || [ascii(x)::BIGINT FOR x IN string_split(conv_id::VARCHAR, '')],
+        LAMBDA a, b: xor(a // 256, t[1 + xor(a, b) % 256]))) % 6 AS h
+      FROM c, crc
+    ),
+    r AS (
+      SELECT h.conv_id, list_concat(coalesce(b.own, [])[1:h.h], h.own[h.h + 1:]) AS turns
+      FROM h LEFT JOIN c b ON b.conv_id = h.conv_id - h.conv_id % 100
+    ),
+    p AS (
+      SELECT conv_id, d, [x.m FOR x IN turns[1:d]] AS key, CASE WHEN d = 0 THEN 0 ELSE turns[d].n END AS chars, d = len(turns) AS ended
+      FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM r)
+    ),
+    n AS (
+      SELECT key, d, min(conv_id) AS conv_id, count(*) AS n_convs, max(chars) AS chars,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ended), '')) AS ends
+      FROM p GROUP BY key, d
+    ),
+    k AS (
+      SELECT x.key, x.d, x.conv_id, x.n_convs, x.chars, x.ends, u.conv_id AS parent, count(y.d) AS n_children
+      FROM n x LEFT JOIN n u ON x.d > 0 AND u.d = x.d - 1 AND u.key = x.key[1:x.d - 1]
+      LEFT JOIN n y ON y.d = x.d + 1 AND y.key[1:y.d - 1] = x.key GROUP BY ALL
+    ),
+    s AS (
+      SELECT key[1:j] AS key, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * chars)::BIGINT AS saved
+      FROM (SELECT *, unnest(range(0, d + 1)) AS j FROM k) GROUP BY key[1:j]
+    )
+    SELECT conv_id, d AS depth, parent AS parent_conv_id, n_convs, n_children, n_leaves, saved AS saved_tokens, ends AS ends_sha256
+    FROM k JOIN s USING (key)
+    """,
+)
+def op12_burst_trie(spark, sf_dir):
+    """Prefix trie of all recombined conversations."""
+    return burst_trie.trie(recombined(burst_trie.sequences(table(spark, sf_dir, "conversations"))))
+
+
 def with_planted_periods(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text``; every tenth document, by checksum of its id, repeats some of its words to its end."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
