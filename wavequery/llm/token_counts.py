@@ -16,11 +16,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pa_fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wavequery.llm import byte_tokens, stages
-from wavequery.operators.running import running
 
 BLOCK_BYTES = 1 << 20
 TASK_BYTES = 128 << 20  # of flat files that one task reads
@@ -143,25 +142,54 @@ def scanned(blocks: DataFrame, separator: int, width: int = 2) -> DataFrame:
     return blocks.mapInArrow(run, ", ".join([*kinds, "tokens bigint", "ends array<bigint>"]))
 
 
-def stitched(summary: DataFrame) -> DataFrame:
+def prefixed(summary: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What stands before each block and each group of blocks of its file, as two small written tables.
+
+    One row per block: ``_at`` tokens, ``_done`` separators and ``_begun`` documents before it, and ``_from``, the place just
+    behind the last separator before it. Groups of ``SCAN_BLOCKS`` blocks are scanned inside first, then the groups of a file. The
+    table of groups also holds the tokens, the separators and the last place of the whole file.
+    """
+    began = F.size("began") if "began" in summary.columns else F.lit(0)
+    last = F.try_element_at("ends", F.lit(-1))
+    blocks = summary.select(
+        "file", "block", F.floor(F.col("block") / SCAN_BLOCKS).alias("group"), "tokens",
+        F.size("ends").alias("ends"), began.alias("began"), last.alias("last"),
+    )
+    counts = {"_at": "tokens", "_done": "ends", "_begun": "began"}
+    before = Window.partitionBy("file", "group").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = blocks.select("*", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(n) for n, c in counts.items()])
+    inside = inside.withColumn("_end", F.col("_at") + F.col("last"))
+    inside = inside.select("*", F.max("_end").over(before).alias("_from"))
+    inside = stages.written(inside.select("file", "block", "group", *counts.values(), "_end", *counts, "_from"), "token_prefix")
+
+    groups = inside.groupBy("file", "group").agg(*[F.sum(c).alias(c) for c in counts.values()], F.max("_end").alias("_end"))
+    whole = Window.partitionBy("file")
+    before = whole.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select("*", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(n) for n, c in counts.items()])
+    groups = groups.withColumn("_end", F.col("_at") + F.col("_end"))
+    groups = groups.select(
+        "file", "group", *counts, F.coalesce(F.max("_end").over(before), F.lit(0)).alias("_from"),
+        *[F.sum(c).over(whole).alias(f"_all_{c}") for c in ("tokens", "ends")],
+        F.coalesce(F.max("_end").over(whole), F.lit(0)).alias("_last"),
+    )
+    groups = stages.written(groups, "token_groups")
+
+    carried = groups.select("file", "group", *[F.col(c).alias(f"{c}_up") for c in (*counts, "_from")])
+    placed = inside.join(carried, ["file", "group"]).select(
+        "file", "block", *[(F.col(c) + F.col(f"{c}_up")).alias(c) for c in counts],
+        F.coalesce(F.col("_at_up") + F.col("_from"), F.col("_from_up")).alias("_from"),
+    )
+    return placed, groups
+
+
+def stitched(summary: DataFrame, prefix: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """``file``, ``ordinal``, ``n_tokens`` (without the separator) and ``closed`` of every document.
 
     ``summary`` comes from ``scanned``. What follows the last separator of a file is a document that is not closed.
     """
-    bucket = F.floor(F.col("block") / SCAN_BLOCKS)
-    rows = summary.select("file", "block", "tokens", "ends", bucket.alias("_bucket"))
-    before = running(
-        rows,
-        "block",
-        {"_at": ("sum", "tokens"), "_done": ("sum", F.size("ends"))},
-        by=["file"],
-        exclusive=True,
-        fanout=SCAN_BLOCKS,
-    )
-    placed = before.withColumn("_last", F.col("_at") + F.try_element_at("ends", F.lit(-1)))
-    placed = running(placed, "block", {"_from": ("max", "_last")}, by=["file"], exclusive=True, fanout=SCAN_BLOCKS)
-    placed = placed.withColumn("_from", F.coalesce("_from", F.lit(0)))
-    ended = placed.select("file", "_at", "_done", "_from", "ends", F.posexplode("ends").alias("_i", "_end"))
+    placed, groups = prefix or prefixed(summary)
+    ended = summary.select("file", "block", "ends").where(F.size("ends") > 0).join(placed, ["file", "block"])
+    ended = ended.select("file", "_at", "_done", "_from", "ends", F.posexplode("ends").alias("_i", "_end"))
     start = F.when(F.col("_i") == 0, F.col("_from")).otherwise(F.col("_at") + F.try_element_at("ends", F.col("_i")))
     closed = ended.select(
         "file",
@@ -169,9 +197,8 @@ def stitched(summary: DataFrame) -> DataFrame:
         (F.col("_at") + F.col("_end") - start - 1).alias("n_tokens"),
         F.lit(True).alias("closed"),
     )
-    whole = rows.groupBy("file").agg(F.sum("tokens").alias("_all"), F.sum(F.size("ends")).alias("ordinal"))
-    last = placed.groupBy("file").agg(F.max(F.coalesce("_last", "_from")).alias("_from")).join(whole, "file")
-    left = last.where("_all > _from").select("file", "ordinal", (F.col("_all") - F.col("_from")).alias("n_tokens"), F.lit(False))
+    left = groups.select("file", "_all_ends", "_all_tokens", "_last").distinct().where("_all_tokens > _last")
+    left = left.select("file", F.col("_all_ends").alias("ordinal"), F.expr("_all_tokens - _last"), F.lit(False))
     return closed.union(left)
 
 
@@ -183,8 +210,8 @@ def counted(docs: DataFrame, path: str) -> DataFrame:
     """
     separator = byte_tokens.end_id(path)
     summary = stages.written(scanned(flat_blocks(docs, path), separator), "token_blocks")
-    rows = summary.select("file", "block", F.col("began"), F.floor(F.col("block") / SCAN_BLOCKS).alias("_bucket"))
-    first = running(rows, "block", {"_begun": ("sum", F.size("began"))}, by=["file"], exclusive=True, fanout=SCAN_BLOCKS)
-    names = first.select("file", "_begun", F.posexplode("began").alias("_i", "doc_id"))
+    placed, groups = prefixed(summary)
+    names = summary.select("file", "block", "began").where(F.size("began") > 0).join(placed, ["file", "block"])
+    names = names.select("file", "_begun", F.posexplode("began").alias("_i", "doc_id"))
     names = names.select("file", (F.col("_begun") + F.col("_i")).alias("ordinal"), "doc_id")
-    return names.join(stitched(summary), ["file", "ordinal"]).select("doc_id", "n_tokens")
+    return names.join(stitched(summary, (placed, groups)), ["file", "ordinal"]).select("doc_id", "n_tokens")
