@@ -123,7 +123,7 @@ def test_preprocess(spark):
         for i in range(4 * CHUNK):
             rows.append((f, i, i // CHUNK, None if rng.random() < bad else float(rng.normal())))
     s = spark.createDataFrame(rows, "file_id long, idx long, chunk_id long, x double")
-    white, stats = signal.preprocess(s, CHUNK, RATE, 20.0, 100.0, 128, 64, 256, target_rate=192)
+    white, stats = signal.preprocess(gaps.chunked(s), CHUNK, RATE, 20.0, 100.0, 128, 64, 256, target_rate=192)
     assert [r["file_id"] for r in stats.collect()] == [1]
     out = joined(white)
     assert set(out) == {1} and len(out[1]) == 3 * CHUNK
@@ -145,24 +145,61 @@ CASES = {
 }
 
 
-def test_gap_fill(spark):
-    got = gaps.gap_fill(long_form(spark, CASES)).toPandas().sort_values(["file_id", "idx"])
+def gap_chunks(spark, values, chunk=4):
+    return gaps.chunked(long_form(spark, values, chunk)).repartition(3)
+
+
+@pytest.mark.parametrize("group", [1, 2, 1024])
+def test_gap_fill(spark, monkeypatch, group):
+    monkeypatch.setattr(gaps, "CHUNK_GROUP", group)
+    got = joined(gaps.gap_fill(gap_chunks(spark, CASES)))
     for f, x in CASES.items():
         v = np.array([np.nan if e is None else e for e in x])
         good = np.isfinite(v)
         want = np.interp(np.arange(len(v)), np.flatnonzero(good), v[good]) if good.any() else np.zeros(len(v))
-        assert np.allclose(got[got["file_id"] == f]["filled"], want)
+        assert np.allclose(got[f], want)
 
 
 def test_gap_runs(spark):
-    got = sorted((r["file_id"], r["run_start"], r["run_length"], r["big"]) for r in gaps.gap_runs(long_form(spark, CASES), 2).collect())
+    got = sorted(tuple(r) for r in gaps.gap_runs(gap_chunks(spark, CASES), 2).collect())
     assert got == [(1, 0, 2, 0), (1, 3, 1, 0), (1, 5, 7, 1), (1, 13, 1, 0), (2, 0, 3, 1)]
 
 
+def test_random_gaps_at_any_chunk_length(spark):
+    rng = np.random.default_rng(7)
+    series = {}
+    for f in range(12):
+        x = rng.normal(size=rng.integers(1, 60))
+        bad = np.repeat(rng.random(30) < rng.random(), 2)[: len(x)]
+        series[f] = [None if b else float(v) for v, b in zip(x, bad)]
+    for chunk in (1, 3, 64):
+        frame = gap_chunks(spark, series, chunk)
+        got = joined(gaps.gap_fill(frame))
+        runs = {(r["file_id"], r["run_start"]): r["run_length"] for r in gaps.gap_runs(frame, 2).collect()}
+        want_runs = {}
+        for f, x in series.items():
+            v = np.array([np.nan if e is None else e for e in x])
+            good = np.isfinite(v)
+            assert np.allclose(got[f], np.interp(np.arange(len(v)), np.flatnonzero(good), v[good]) if good.any() else 0.0)
+            at = 0
+            while at < len(v):
+                stop = at
+                while stop < len(v) and not good[stop]:
+                    stop += 1
+                if stop > at:
+                    want_runs[f, at] = stop - at
+                at = stop + 1
+        assert runs == want_runs
+    assert gaps.gap_fill(frame.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("policy, files", [("interp", {3}), ("zero", {3}), ("skip", {3}), ("strict", {3}), ("other", {3})])
 def test_policy(spark, policy, files):
-    out = gaps.nan_policy(long_form(spark, CASES), policy, 0.3)
+    out = gaps.nan_policy(gap_chunks(spark, CASES), policy, 0.3)
     assert {r["file_id"] for r in out.select("file_id").distinct().collect()} == files
+    if policy in ("interp", "zero"):
+        got = joined(gaps.nan_policy(gap_chunks(spark, {5: [1.0, None, 3.0, 5.0, None, None, 8.0]}), policy, 0.5))
+        assert got[5].tolist() == ([1, 2, 3, 5, 6, 7, 8] if policy == "interp" else [1, 0, 3, 5, 0, 0, 8])
 
 
 def test_window_slices(spark):

@@ -366,7 +366,7 @@ def resampled(chunks: DataFrame, up: int, down: int, halo: int) -> DataFrame:
 
 
 def preprocess(
-    series: DataFrame,
+    chunks: DataFrame,
     chunk_len: int,
     rate: float,
     low: float,
@@ -381,21 +381,24 @@ def preprocess(
     notch_count: int = 0,
     target_rate: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Gap policy, detrending, filters, whitening and resampling of a long-form series.
+    """Gap policy, detrending, filters, whitening and resampling of a chunked series.
 
-    Returns the whitened chunks and one row of processing statistics per kept file.
+    The chunks are read twice: for the gap summary and to be filled. Returns the whitened chunks and one row of processing
+    statistics per kept file.
     """
     from wavequery.operators import gaps
 
-    runs = gaps.gap_runs(series, int(round(max_gap_s * rate)))
+    summary = cut_lineage(gaps.gap_summary(chunks))
+    runs = gaps.runs_of(gaps.carried(summary), int(round(max_gap_s * rate)))
     gap_stats = runs.groupBy("file_id").agg(F.sum("run_length").alias("n_interp"), F.sum("big").alias("n_big_gaps"))
-    kept = gaps.nan_policy(series, policy, max_bad)
-    stats = kept.groupBy("file_id").agg(F.first("bad_frac").alias("nan_frac"), F.count("*").alias("n_samples"))
+    limit = 0.0 if policy in ("skip", "strict") else max_bad
+    stats = gaps.file_shares(summary).where(F.col("bad_frac") <= limit)
+    stats = stats.select("file_id", F.col("bad_frac").alias("nan_frac"), "n_samples")
     stats = stats.join(gap_stats, "file_id", "left").fillna(0, ["n_interp", "n_big_gaps"])
 
     # Each stage below reads its input more than once, so stages are stored, not recomputed.
-    chunks = cut_lineage(gaps.chunked(kept, value="filled"))
-    flat = standardized(chunks, centre_only=True)
+    kept = gaps.nan_policy(chunks, policy, max_bad, summary).select(*CHUNK, "first_idx", "samples")
+    flat = standardized(cut_lineage(kept), centre_only=True)
     passed = core(filtered(with_halo(flat, halo), rate, low, high, notch_base=notch_base, notch_count=notch_count))
     white = whiten(cut_lineage(passed), chunk_len, rate, length, hop, halo)
     if target_rate and target_rate != rate:

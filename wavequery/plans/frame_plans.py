@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wavequery.operators import frames, gaps
+from wavequery.operators import frames, gaps, signal
 from wavequery.plans import stand_ins as si
 from wavequery.plans.registry import query
 
@@ -49,9 +49,15 @@ filled AS (
               LEFT JOIN strain q ON q.file_id = n.file_id AND q.idx = n.ni)"""
 
 
+def by_sample(chunks, name="filled", *keep):
+    """The rounded samples of a result, one row each."""
+    rows = chunks.select("file_id", "first_idx", *keep, F.posexplode("samples").alias("_i", "_v"))
+    return rows.select("file_id", (F.col("first_idx") + F.col("_i")).alias("idx"), (F.round("_v", 6) + 0.0).alias(name), *keep)
+
+
 @query("gap_fill", f"WITH {GOOD_SQL} SELECT file_id, idx, round(filled, 6) AS filled FROM filled")
 def gap_fill(spark, sf_dir):
-    return gaps.gap_fill(si.strain(spark, sf_dir)).select("file_id", "idx", F.round("filled", 6).alias("filled"))
+    return by_sample(gaps.gap_fill(si.strain_chunks(spark, sf_dir)))
 
 
 @query(
@@ -61,7 +67,7 @@ SELECT file_id, min(idx) AS run_start, CAST(count(*) AS BIGINT) AS run_length, C
 FROM bad GROUP BY file_id, island""",
 )
 def gap_runs(spark, sf_dir):
-    return gaps.gap_runs(si.strain(spark, sf_dir), 2)
+    return gaps.gap_runs(si.strain_chunks(spark, sf_dir), 2)
 
 
 def policy_sql(keep: str, value: str) -> str:
@@ -72,8 +78,8 @@ FROM filled f JOIN share s ON s.file_id = f.file_id WHERE {keep}"""
 
 
 def _policy(spark, sf_dir, policy, max_frac):
-    out = gaps.nan_policy(si.strain(spark, sf_dir), policy, max_frac)
-    return out.select("file_id", "idx", F.round("filled", 6).alias("filled"), F.round("bad_frac", 6).alias("bad_frac"))
+    out = gaps.nan_policy(si.strain_chunks(spark, sf_dir), policy, max_frac)
+    return by_sample(out.withColumn("bad_frac", F.round("bad_frac", 6)), "filled", "bad_frac")
 
 
 @query("nan_policy", policy_sql("s.bad_frac <= 0.2::DOUBLE", "f.filled"))
@@ -92,8 +98,7 @@ def nan_policy_zero(spark, sf_dir):
 SELECT file_id, idx, round(x - avg(x) OVER (PARTITION BY file_id), 6) + 0.0 AS detrended FROM clean""",
 )
 def detrend(spark, sf_dir):
-    out = gaps.detrend(si.clean_strain(spark, sf_dir), value="x")
-    return out.select("file_id", "idx", (F.round("detrended", 6) + 0.0).alias("detrended"))
+    return by_sample(signal.standardized(gaps.chunked(si.clean_strain(spark, sf_dir)), centre_only=True), "detrended")
 
 
 @query(

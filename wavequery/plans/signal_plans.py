@@ -263,7 +263,7 @@ def resample(spark, sf_dir):
 @query("preprocess", PREPROCESS_SQL)
 def preprocess(spark, sf_dir):
     white, stats = signal.preprocess(
-        si.strain(spark, sf_dir), si.CHUNK_SAMPLES, RATE, 4.0, 20.0, SEG, HOP, HALO, notch_base=6.0, notch_count=3, target_rate=48
+        si.strain_chunks(spark, sf_dir), si.CHUNK_SAMPLES, RATE, 4.0, 20.0, SEG, HOP, HALO, notch_base=6.0, notch_count=3, target_rate=48
     )
     out = _chunk_stats(white).groupBy("file_id").agg(
         F.sum("n").alias("n_out"), F.round(F.sum("energy"), 3).alias("energy"), F.round(F.max("top"), 4).alias("top")

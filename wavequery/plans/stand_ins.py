@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavequery.operators import gaps
 from wavequery.operators.frames import frame_features, series_extent
 from wavequery.session import table
 
@@ -123,6 +124,11 @@ def strain(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def strain_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sampled series as chunks."""
+    return gaps.chunked(strain(spark, sf_dir))
+
+
 def clean_strain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same series without gaps."""
     return table(spark, sf_dir, "events").select(
