@@ -27,8 +27,9 @@ def test_missing_short_and_nan_windows(spark):
     )
     bank = spark.createDataFrame([(0, [1.0, 2.0, 3.0])], "template_id long, wave array<double>")
     got = {r["window_id"]: r["score"] for r in tp.cosine_scores(windows, bank).collect()}
-    assert got[1] == pytest.approx(1) and got[5] == pytest.approx(1) and got[2] == 0
-    assert got[3] == pytest.approx(5 / math.sqrt(5 * 14)) and got[4] == got[6] == pytest.approx(10 / math.sqrt(140))
+    # The end of a longer window is kept, a shorter one gets zeros in front.
+    assert got[1] == pytest.approx(1) and got[5] == pytest.approx(35 / math.sqrt(94 * 14)) and got[2] == 0
+    assert got[3] == pytest.approx(8 / math.sqrt(5 * 14)) and got[4] == got[6] == pytest.approx(10 / math.sqrt(140))
     lagged = {r["window_id"]: r["score"] for r in tp.ncc_scores(windows, bank, 1, 1).collect()}
     assert lagged[1] == pytest.approx(1) and lagged[2] == 0
 

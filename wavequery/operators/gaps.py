@@ -188,9 +188,9 @@ def sample_times(chunks: DataFrame, rate: float, start_s: Column, samples: str =
 
 
 def window_slices(
-    windows: DataFrame, chunks: DataFrame, chunk_len: int, length: int, zero_fill: bool = False
+    windows: DataFrame, chunks: DataFrame, chunk_len: int | Column, length: int | Column, zero_fill: bool = False
 ) -> DataFrame:
-    """Samples ``[start_idx, start_idx + length)`` of each window.
+    """Samples ``[start_idx, start_idx + length)`` of each window; lengths may be columns of ``windows``.
 
     A window looks up only the chunks it touches by ``(file_id, chunk_id)``; windows
     that leave the series give null, or zeros with ``zero_fill``.

@@ -64,15 +64,23 @@ def template_blocks(templates: DataFrame, block_bytes: int = BLOCK_BYTES) -> Ite
             return
 
 
+def right_aligned(m: np.ndarray, length: int) -> np.ndarray:
+    """Rows of ``length``: what is longer keeps its end, what is shorter gets zeros in front."""
+    if m.shape[1] >= length:
+        return m[:, m.shape[1] - length :]
+    return np.concatenate([np.zeros((len(m), length - m.shape[1])), m], axis=1)
+
+
 def fitted(waves: pd.Series, length: int) -> np.ndarray:
-    """Series as rows of ``length``: cut or padded with 0 at the end.
+    """Series as right-aligned rows of ``length``.
 
-    A missing series and samples that are null, NaN or infinite count as 0, so their score is 0.
+    A missing series and samples that are null, NaN or infinite count as 0, so the score of a window without any is 0.
     """
     out = np.zeros((len(waves), length))
-    for row, wave in zip(out, waves):
-        known = np.asarray([] if wave is None else wave, dtype=np.float64)[:length]
-        row[: len(known)] = known
+    sizes = waves.map(lambda w: 0 if w is None else len(w)).to_numpy(dtype=np.int64)
+    for size in np.unique(sizes[sizes > 0]):
+        where = np.flatnonzero(sizes == size)
+        out[where] = right_aligned(np.array([np.asarray(waves.iloc[i], dtype=np.float64) for i in where]), length)
     return np.nan_to_num(out, copy=False, nan=0.0, posinf=0.0, neginf=0.0)
 
 
@@ -83,9 +91,15 @@ def _window_batches(batches: Iterator[pd.DataFrame], length: int) -> Iterator[tu
 
 
 def _per_block(
-    windows: DataFrame, templates: DataFrame, schema: str, score_batch, block_bytes: int, merge=lambda found: found
+    windows: DataFrame,
+    templates: DataFrame,
+    schema: str,
+    score_batch,
+    block_bytes: int,
+    merge=lambda found: found,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Union over template blocks of ``score_batch(ids, bank, batch, waves)`` on every window batch.
+    """Union over template blocks of ``score_batch(ids, bank, batch, waves)`` on every window batch, which also holds ``keep``.
 
     ``merge`` combines the rows of a window from several blocks. It is skipped for a
     single block, where each window has one row and need not be moved.
@@ -99,7 +113,7 @@ def _per_block(
             for batch, waves in _window_batches(batches, bank.shape[1]):
                 yield score_batch(ids, bank, batch, waves)
 
-        scored = windows.select("window_id", "wave").mapInPandas(run, schema)
+        scored = windows.select("window_id", "wave", *keep).mapInPandas(run, schema)
         out = scored if out is None else out.unionByName(scored)
         blocks += 1
     if out is None:
@@ -273,11 +287,13 @@ def pooled_scores(
     max_shift: int | None = None,
     lag_step: int = 4,
     block_bytes: int = BLOCK_BYTES,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Mean of the ``k`` best template scores of each window (``k = 1`` is the maximum).
 
     Scores are correlations over the lag grid, or cosines when ``max_shift`` is None. A
-    block reports only its ``k`` best scores per window.
+    block reports only its ``k`` best scores per window. Columns named in ``keep``, such as the ``reason`` of a window
+    without samples, go with the row; such a window scores 0.
     """
 
     def score(ids, bank, batch, waves):
@@ -287,15 +303,16 @@ def pooled_scores(
             s = correlations(waves, bank, lag_grid(waves.shape[1], max_shift, lag_step)).max(axis=2)
         top = min(k, s.shape[1])
         best = np.sort(np.partition(s, s.shape[1] - top, axis=1)[:, -top:], axis=1)[:, ::-1]
-        return pd.DataFrame({"window_id": batch["window_id"], "best": list(best)})
+        return pd.DataFrame({"window_id": batch["window_id"], **{c: batch[c] for c in keep}, "best": list(best)})
 
     def merge(found):
-        return found.groupBy("window_id").agg(F.flatten(F.collect_list("best")).alias("best"))
+        return found.groupBy("window_id", *keep).agg(F.flatten(F.collect_list("best")).alias("best"))
 
-    merged = _per_block(windows, templates, "window_id long, best array<double>", score, block_bytes, merge)
+    kept = "".join(f"{c} {windows.schema[c].dataType.simpleString()}, " for c in keep)
+    merged = _per_block(windows, templates, f"window_id long, {kept}best array<double>", score, block_bytes, merge, keep)
     top = F.slice(F.sort_array("best", asc=False), 1, k)
     total = F.aggregate(top, F.lit(0.0), lambda a, v: a + v)
-    return merged.select("window_id", (total / F.size(top)).alias("score"), F.size(top).alias("pooled"))
+    return merged.select("window_id", *keep, (total / F.size(top)).alias("score"), F.size(top).alias("pooled"))
 
 
 def preselect(

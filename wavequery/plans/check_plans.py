@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from wavequery.functions import arrays as ar
 from wavequery.operators import checks as ck
-from wavequery.operators import gaps
+from wavequery.operators import loading as ld
 from wavequery.plans import stand_ins as si
-from wavequery.plans.frame_plans import slice_windows
 from wavequery.plans.registry import query
 from wavequery.plans.split_sql import HASH_SPLIT_CASE, hash_subset
 from wavequery.sources import files as fl
+from wavequery.sources import strain as sr
 
 
 @query("semi_filter", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_type = 'SMALL')")
@@ -46,11 +46,11 @@ def candidates(spark, sf_dir):
     return rows.select("event_id", "file_id", "start_us", "score").orderBy(F.desc("score"), "event_id")
 
 
-Z_STATS_SQL = f"""{si.WAVES_SQL},
-long_w AS (SELECT window_id, unnest(wave) AS v FROM wave_windows),
+Z_STEPS = f"""long_w AS (SELECT window_id, unnest(wave) AS v FROM wave_windows),
 mv AS (SELECT window_id, avg(v) AS m, stddev_pop(v) AS s FROM long_w GROUP BY window_id),
 z AS (SELECT window_id, (v - m) / (s + 1e-12) AS z FROM long_w JOIN mv USING (window_id)),
 stats AS (SELECT window_id, max(abs(z)) AS peak, avg(z * z * z * z) AS kurt FROM z GROUP BY window_id)"""
+Z_STATS_SQL = f"{si.WAVES_SQL}, {Z_STEPS}"
 
 # Veto limits that suit 64-sample vectors; the library defaults are 20 and 80.
 PEAK, KURT = 3.0, 3.6
@@ -68,33 +68,57 @@ def glitch_veto(spark, sf_dir):
     )
 
 
-REASON_SQL = f"""{si.STRAIN_SQL},
-w AS (SELECT file_id, unnest(range(9, max(idx) + 1, 10)) AS start_idx FROM strain GROUP BY file_id),
-j AS (SELECT w.file_id, w.start_idx, count(*) AS n, count(s.x) AS good, max(abs(s.x)) AS peak
-      FROM w JOIN strain s ON s.file_id = w.file_id AND s.idx BETWEEN w.start_idx AND w.start_idx + 1 GROUP BY w.file_id, w.start_idx),
-r AS (SELECT file_id, start_idx, CASE WHEN n < 2 THEN 'out_of_bounds' WHEN good = 0 THEN 'non_finite' WHEN peak > 100 THEN 'glitch_veto_peak' END AS reason FROM j)"""
+# Windows of two seconds every half second over strain files with dead stretches; limits at which both vetoes occur.
+LOAD_S, LOAD_STRIDE = 2.0, 32
+LOAD_PEAK, LOAD_KURT = 5.0, 9.0
+LOAD_LEN = int(LOAD_S * si.SERIES_FS)
+
+LOADED_SQL = f"""{si.STRAIN_SOURCE_SQL},
+w AS (SELECT d.file_id, d.idx AS start_idx, (d.file_id + d.idx // {LOAD_STRIDE}) % 10 = 0 AS moved FROM dead d WHERE d.idx % {LOAD_STRIDE} = 0),
+j AS (SELECT w.file_id, w.start_idx, w.moved, h.fs, h.n_samples, count(d.x) AS good, avg(d.x) AS m, sqrt(var_pop(d.x) * count(d.x) / count(*)) AS s
+      FROM w JOIN heads h USING (file_id) LEFT JOIN dead d ON d.file_id = w.file_id AND d.idx BETWEEN w.start_idx AND w.start_idx + {LOAD_LEN - 1}
+      GROUP BY ALL),
+k AS (SELECT j.file_id, j.start_idx, max(abs((d.x - m) / s)) AS peak, sum(pow((d.x - m) / s, 4)) / {LOAD_LEN} AS kurt
+      FROM j JOIN dead d ON d.file_id = j.file_id AND d.idx BETWEEN j.start_idx AND j.start_idx + {LOAD_LEN - 1} GROUP BY ALL),
+r AS (SELECT j.file_id, j.start_idx, CASE WHEN moved THEN 'miss_sgps' WHEN fs IS NULL THEN 'fs_unknown'
+        WHEN start_idx + {LOAD_LEN} > n_samples THEN 'out_of_bounds' WHEN good = 0 THEN 'non_finite'
+        WHEN peak > {LOAD_PEAK} THEN 'glitch_veto_peak' WHEN kurt > {LOAD_KURT} THEN 'glitch_veto_kurt' END AS reason
+      FROM j JOIN k USING (file_id, start_idx))"""
+
+
+def wanted_windows(strain):
+    """Every window start of a strain table; some times are a little off, so that no window begins there."""
+    index = sr.window_index(strain, LOAD_STRIDE)
+    at = F.expr(f"(file_id + start_idx div {LOAD_STRIDE}) % 10 = 0")
+    # A file without a rate has no absolute times of its windows: sample numbers stand in.
+    time = F.coalesce("start_us", "start_idx")
+    index = index.withColumn("start_us", time)
+    number = F.col("file_id") * 1_000_000 + F.col("start_idx")
+    wanted = index.select(number.alias("window_id"), "file_id", F.when(at, time + 7).otherwise(time).alias("start_us"))
+    return wanted, index
+
+
+def loaded(spark, sf_dir):
+    """All windows of the strain files, with samples or a reason."""
+    strain = si.strain_source(spark, sf_dir)
+    wanted, index = wanted_windows(strain)
+    return ld.loaded_windows(wanted, index, strain, LOAD_S, si.SERIES_FS, LOAD_PEAK, LOAD_KURT)
 
 
 def reject_rows(spark, sf_dir):
-    chunks = gaps.chunked(si.strain(spark, sf_dir))
-    cut = gaps.window_slices(slice_windows(spark, sf_dir, 9, 10), chunks, si.CHUNK_SAMPLES, 2)
-    good = F.filter("samples", lambda v: v.isNotNull() & ~F.isnan(v))
-    peak = F.array_max(F.transform(good, lambda v: F.abs(v)))
-    reason = ck.reason_of(
-        {"out_of_bounds": F.col("samples").isNull(), "non_finite": F.size(good) == 0, "glitch_veto_peak": peak > 100}
-    )
-    return cut.select("file_id", "start_idx", reason.alias("reason"))
+    start = F.col("window_id") % 1_000_000
+    return loaded(spark, sf_dir).select("file_id", start.alias("start_idx"), "reason")
 
 
-@query("reject_reasons", f"WITH {REASON_SQL} SELECT reason, CAST(count(*) AS BIGINT) AS n FROM r WHERE reason IS NOT NULL GROUP BY reason")
+@query("reject_reasons", f"WITH {LOADED_SQL} SELECT reason, CAST(count(*) AS BIGINT) AS n FROM r WHERE reason IS NOT NULL GROUP BY reason")
 def reject_reasons(spark, sf_dir):
     return ck.reason_counts(reject_rows(spark, sf_dir))
 
 
 @query(
     "reject_samples",
-    f"""WITH {REASON_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY file_id, start_idx) AS rn FROM r WHERE reason IS NOT NULL)
-SELECT file_id, start_idx, reason, CAST(rn AS INTEGER) AS rn FROM k WHERE rn <= 3""",
+    f"""WITH {LOADED_SQL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY file_id, start_idx) AS rn FROM r WHERE reason IS NOT NULL)
+SELECT file_id, start_idx, reason, CAST(rn AS INTEGER) AS rn FROM ranked WHERE rn <= 3""",
 )
 def reject_samples(spark, sf_dir):
     return ck.reason_samples(reject_rows(spark, sf_dir), ["file_id", "start_idx"])

@@ -4,22 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wavequery.operators import loading as ld
 from wavequery.operators import ranking as rk
 from wavequery.operators import splits as sp
 from wavequery.operators import templates as tp
 from wavequery.operators import thresholds as th
 from wavequery.operators import timejoin as tj
 from wavequery.plans import stand_ins as si
+from wavequery.plans.check_plans import KURT, LOAD_LEN, LOADED_SQL, PEAK, Z_STEPS, loaded
 from wavequery.plans.ranking_plans import SPLIT_SCORES_SQL, TARGET_FAR, points_sql
 from wavequery.plans.registry import query
 from wavequery.plans.split_plans import unit_sql
 from wavequery.plans.split_sql import hash_subset, split_case
-from wavequery.plans.template_plans import LAG_STEP, MAX_SHIFT, NCC_SQL
+from wavequery.plans.template_plans import LAG_STEP, MAX_SHIFT, NCC_SQL, zlist_sql
 from wavequery.plans.timejoin_plans import SLIDES_SQL, slide_table
 from wavequery.session import cut_lineage, scratch_path
 from wavequery.sources import tables as tb
 
 TEST, VAL = 0.15, 0.15
+WAVE_LEN = 64
 
 
 def dataset(spark, sf_dir):
@@ -60,19 +63,24 @@ def confusion_sql(rows: str, threshold: str) -> str:
 
 CONSTRAINED_SQL = f"""pick AS (SELECT threshold FROM points ORDER BY (fpr <= {TARGET_FAR}::DOUBLE) DESC, CASE WHEN fpr <= {TARGET_FAR}::DOUBLE THEN -tpr ELSE fpr END, -tpr, threshold DESC LIMIT 1)"""
 
-TEMPLATE_RUN_CTE = f"""{NCC_SQL}, m AS (SELECT window_id, template_id, max(v) AS s FROM c GROUP BY window_id, template_id),
-ncc_scores AS (SELECT window_id, round(max(s), 9) AS score FROM m GROUP BY window_id),
+# Correlations of the standardized windows.
+Z_NCC_SQL = NCC_SQL.replace("lags AS (", f"zw AS (SELECT window_id, {zlist_sql('wave')} AS wave FROM wave_windows), lags AS (", 1).replace(
+    "FROM wave_windows w CROSS JOIN", "FROM zw w CROSS JOIN"
+)
+TEMPLATE_RUN_CTE = f"""{Z_NCC_SQL}, {Z_STEPS}, m AS (SELECT window_id, template_id, max(v) AS s FROM c GROUP BY window_id, template_id),
+ncc_scores AS (SELECT m.window_id, CASE WHEN any_value(peak) > {PEAK} OR any_value(kurt) > {KURT} THEN 0.0 ELSE round(max(s), 9) END AS score
+  FROM m JOIN stats USING (window_id) GROUP BY m.window_id),
 run_rows AS (SELECT n.window_id, n.score, CASE WHEN w.label <= 3 THEN 1 ELSE 0 END AS label, {RUN_SPLIT.replace('window_id', 'n.window_id')} AS subset
   FROM ncc_scores n JOIN wave_windows w ON w.window_id = n.window_id),
 run_val AS (SELECT * FROM run_rows WHERE subset = 'val'), run_test AS (SELECT * FROM run_rows WHERE subset = 'test')"""
 
 
 def template_scores(spark, sf_dir):
-    """Best correlation of every window, with label and subset."""
-    windows = si.wave_windows(spark, sf_dir)
-    scores = tp.pooled_scores(windows, si.templates(spark, sf_dir), 1, MAX_SHIFT, LAG_STEP)
-    labels = windows.select("window_id", (F.col("label") <= 3).cast("int").alias("label"))
-    rows = scores.select("window_id", F.round("score", 9).alias("score")).join(labels, "window_id")
+    """Best correlation of every window, with label and subset; a window that is vetoed scores 0."""
+    windows = ld.checked_windows(si.wave_windows(spark, sf_dir), WAVE_LEN, PEAK, KURT)
+    windows = windows.withColumn("label", (F.col("label") <= 3).cast("int"))
+    scores = tp.pooled_scores(windows, si.templates(spark, sf_dir), 1, MAX_SHIFT, LAG_STEP, keep=("label", "reason"))
+    rows = scores.select("window_id", F.round("score", 9).alias("score"), "label", "reason")
     return cut_lineage(sp.hash_split(rows, ["window_id"], 0.5, 0.5))
 
 
@@ -90,6 +98,27 @@ def template_run(spark, sf_dir):
     return out.select(F.lit(threshold).alias("threshold"), "tn", "fp", "fn", "tp", *rates)
 
 
+# Templates are shorter than the windows of the strain files, so their end meets the end of the window.
+@query(
+    "strain_template_scores",
+    f"""WITH {LOADED_SQL}, {si.WAVES_SQL},
+zx AS (SELECT r.file_id, r.start_idx, list(CASE WHEN d.x IS NULL THEN 0.0 ELSE (d.x - m) / s END ORDER BY d.idx) AS wave
+  FROM r JOIN j USING (file_id, start_idx) JOIN dead d ON d.file_id = r.file_id AND d.idx BETWEEN r.start_idx AND r.start_idx + {LOAD_LEN - 1}
+  WHERE r.reason IS NULL GROUP BY r.file_id, r.start_idx),
+cosines AS (SELECT file_id, start_idx, list_dot_product(zx.wave[{LOAD_LEN - WAVE_LEN + 1}:], t.wave)
+    / (sqrt(list_dot_product(zx.wave, zx.wave)) * sqrt(list_dot_product(t.wave, t.wave)) + 1e-8) AS c FROM zx CROSS JOIN templates t),
+best AS (SELECT *, row_number() OVER (PARTITION BY file_id, start_idx ORDER BY c DESC) AS rn FROM cosines),
+pooled AS (SELECT file_id, start_idx, avg(c) AS score FROM best WHERE rn <= 3 GROUP BY file_id, start_idx)
+SELECT file_id, start_idx, reason, round(coalesce(score, 0.0), 6) + 0.0 AS score FROM r LEFT JOIN pooled USING (file_id, start_idx)""",
+)
+def strain_template_scores(spark, sf_dir):
+    zeros = F.array_repeat(F.lit(0.0), LOAD_LEN - WAVE_LEN)
+    bank = si.templates(spark, sf_dir).withColumn("wave", F.concat(zeros, "wave"))
+    out = tp.pooled_scores(loaded(spark, sf_dir), bank, 3, keep=("file_id", "reason"))
+    start = F.col("window_id") % 1_000_000
+    return out.select("file_id", start.alias("start_idx"), "reason", (F.round("score", 6) + 0.0).alias("score"))
+
+
 RUN_DT_US = 7_200 * si.SECOND_US
 
 

@@ -9,6 +9,7 @@ from wavequery.plans import stand_ins as si
 from wavequery.plans.registry import query
 from wavequery.session import scratch_path
 from wavequery.sources import files as fl
+from wavequery.sources import strain as sr
 from wavequery.sources import tables as tb
 
 
@@ -52,6 +53,27 @@ def infer_rate(spark, sf_dir):
     return attrs.groupBy(found.alias("rate")).agg(F.count("*").alias("n"))
 
 
+@query(
+    "strain_table",
+    f"""WITH {si.STRAIN_SOURCE_SQL},
+parts AS (SELECT file_id, CAST(count(DISTINCT idx // {si.CHUNK_SAMPLES}) AS BIGINT) AS n_chunks, CAST(count(x) AS BIGINT) AS n_good, round(sum(x), 4) AS total
+  FROM dead GROUP BY file_id)
+SELECT file_id, detector, gps_start_us, fs, n_samples, n_chunks, n_good, total,
+       gps_start_us + CAST(round((n_samples - 1) * 1000000 / fs) AS BIGINT) AS last_us
+FROM heads JOIN parts USING (file_id)""",
+)
+def strain_table(spark, sf_dir):
+    strain = si.strain_source(spark, sf_dir)
+    known = F.filter("samples", lambda v: v.isNotNull())
+    parts = strain.select(
+        *sr.HEADER, F.size(known).alias("good"), F.aggregate(known, F.lit(0.0), lambda a, v: a + v).alias("sum")
+    )
+    files = parts.groupBy(*sr.HEADER).agg(
+        F.count("*").alias("n_chunks"), F.sum("good").alias("n_good"), F.round(F.sum("sum"), 4).alias("total")
+    )
+    return files.withColumn("last_us", sr.sample_time_us(F.col("n_samples") - 1)).drop("chunk_len")
+
+
 CATALOG_ITEMS_SQL = """items AS (SELECT event_id AS seq, 'gw' || CAST(user_id AS VARCHAR) || '-v' || CAST(event_id % 3 AS VARCHAR) AS name,
   CASE WHEN event_type = 'error' THEN NULL ELSE value END AS gps FROM events)"""
 

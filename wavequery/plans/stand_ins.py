@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from wavequery.operators import gaps
 from wavequery.operators.frames import frame_features, series_extent
-from wavequery.session import table
+from wavequery.session import scratch_path, table
+from wavequery.sources import strain as sources
 
 SECOND_US = 1_000_000
 
@@ -139,6 +140,31 @@ def clean_strain(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+STRAIN_SOURCE_SQL = f"""{STRAIN_SQL},
+dead AS (SELECT file_id, idx, CASE WHEN file_id % 5 = 4 AND idx BETWEEN 1000 AND 1299 THEN NULL ELSE x END AS x FROM strain),
+heads AS (SELECT file_id, ['H1', 'L1', 'V1'][1 + file_id % 3] AS detector, (1126257414 + 100 * file_id) * 1000000 AS gps_start_us,
+            CASE WHEN file_id % 4 < 3 THEN {SERIES_FS} END AS fs, max(idx) + 1 AS n_samples FROM strain GROUP BY file_id)"""
+
+
+def strain_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A strain table written once and read back; every fifth file has a dead stretch, every fourth tells no rate."""
+    series = strain(spark, sf_dir)
+    dead = (F.col("file_id") % 5 == 4) & F.col("idx").between(1000, 1299)
+    series = series.withColumn("x", F.when(~dead, F.col("x")))
+    f = F.col("file_id") % 4
+    heads = series.groupBy("file_id").agg((F.max("idx") + 1).alias("n_samples")).select(
+        "file_id", "n_samples",
+        F.element_at(F.array(*map(F.lit, ("H1", "L1", "V1"))), (F.col("file_id") % 3 + 1).cast("int")).alias("detector"),
+        ((1_126_257_414 + 100 * F.col("file_id")) * SECOND_US).alias("gps_start_us"),
+        F.when(f == 0, SERIES_FS).alias("fs_attr"),
+        F.when(f == 1, SERIES_FS).alias("sample_rate_attr"),
+        F.when(f == 2, 1.0 / SERIES_FS).alias("spacing_attr"),
+    )
+    path = scratch_path(spark, "strain")
+    sources.write_strain(sources.strain_table(series, heads, CHUNK_SAMPLES), path)
+    return sources.read_strain(spark, path)
+
+
 # --- scores -------------------------------------------------------------------
 
 SCORES_SQL = """
