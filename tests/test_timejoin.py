@@ -132,6 +132,29 @@ def test_greedy_matches_two_pointer(spark, dt, span, buckets):
     assert expanded(got) == two_pointer(a, b, dt)
 
 
+def test_fifty_dense_ranges_take_no_further_rounds(spark, monkeypatch):
+    """No gap is above dt and the state is carried through all ranges; the plan is the same for any number of them."""
+    monkeypatch.setattr(tj, "MATCH_ROWS", 7)
+    rng = np.random.default_rng(21)
+    a, b = rng.integers(0, 3000, 700).tolist(), rng.integers(0, 3000, 500).tolist() + [1500] * 60
+    stored = []
+    cut = tj.cut_lineage
+    monkeypatch.setattr(tj, "cut_lineage", lambda df: stored.append(1) or cut(df))
+    for dt in (40, 1000):
+        stored.clear()
+        got = tj.greedy_matches(times(spark, a), times(spark, b), dt, buckets=50).collect()
+        assert expanded(got) == two_pointer(a, b, dt)
+        assert len(stored) == 2
+
+
+def test_greedy_by_null_key(spark):
+    rows = [(None, 1), (None, 5), ("k", 1)]
+    left = spark.createDataFrame(rows, "k string, t_us long")
+    right = spark.createDataFrame([(None, 2), ("k", 30)], "k string, t_us long")
+    assert [tuple(r) for r in tj.greedy_matches(left, right, 3, by=["k"], buckets=2).collect()] == [(None, 1, 2, 1)]
+    assert tj.greedy_matches(left.limit(0), right, 3, by=["k"]).count() == 0
+
+
 def test_greedy_ties_and_hot_time(spark):
     a, b = [10] * 40 + [20, 30], [10] * 25 + [22, 41]
     got = tj.greedy_matches(times(spark, a), times(spark, b), 2, buckets=4).collect()

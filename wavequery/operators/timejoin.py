@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wavequery.operators.joins import join_checked
 from wavequery.operators.running import range_edges, running, with_range_bucket
@@ -242,12 +244,6 @@ def nearest_match(left: DataFrame, right: DataFrame, time: str = "t_us", buckets
 
 # --- one-to-one matching ------------------------------------------------------
 
-_MATCH_FIELDS = (
-    "bucket int, kind string, left_us long, right_us long, n long, "
-    "side int, queue_us array<long>, queue_n array<long>, first_us long"
-)
-
-
 def greedy_matches(
     left: DataFrame,
     right: DataFrame,
@@ -258,12 +254,14 @@ def greedy_matches(
 ) -> DataFrame:
     """One-to-one matching of two time lists, oldest unmatched first.
 
-    Returns ``(by..., left_us, right_us, n)``: ``n`` matches between a left and a right
-    time. Equal times are counted before they are moved. The timeline is cut into
-    row-balanced buckets of bounded size; each is matched on its own, starting from the unmatched
-    rows its predecessor left behind. Buckets whose assumed start turns out wrong
-    are matched again until nothing changes, which is rare when buckets are long
-    against ``dt``, and exact in every case.
+    Returns ``(by..., left_us, right_us, n)``: ``n`` matches between a left and a right time. Equal times are counted before
+    they are moved.
+
+    The unmatched rows at any time are the latest ones of one side, so the state is one number: positive for left rows, negative
+    for right rows. A time limits it to the rows of the last ``dt`` and adds its own, so the state after a whole range of
+    times is ``min(max(x + shift, low), high)`` of the state before it. Each range is reduced to these three numbers, one scan
+    over the ranges gives every range its state, and the ranges then find their matches on their own, whatever the density.
+    Rows are named by their rank in a match; a last pass over the ranks gives the times.
     """
     by = list(by)
     counts = (
@@ -274,84 +272,118 @@ def greedy_matches(
         .groupBy(*by, "t_us")
         .agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     )
-    # Counted times are stored once: every later round reads the same rows.
-    counts = cut_lineage(counts)
+    # Counted times are stored once: every pass reads the same rows. Keys travel as one struct, so null keys meet too.
+    counts = cut_lineage(counts.select(F.struct(*by, F.lit(0).alias("_")).alias("key"), "t_us", "a", "b"))
     if not buckets:
-        largest = counts.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+        largest = counts.groupBy("key").count().agg(F.max("count")).first()[0] or 0
         buckets = max(1, -(-largest // MATCH_ROWS))
-    line = with_range_bucket(counts, "t_us", range_edges(counts, "t_us", buckets), "bucket")
-    keys = [*by, "bucket"]
-    by_fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in counts.select(*by).schema.fields)
-
-    if buckets == 1:
-        # Every key fits one task: nothing is carried over.
-        done = _match_buckets(line, None, keys, by_fields, dt_us)
-        return done.where("kind = 'match'").select(*by, "left_us", "right_us", "n")
-
-    empty = line.select(*keys).distinct().select(
-        *keys,
-        F.lit(0).alias("side"),
-        F.array().cast("array<bigint>").alias("queue_us"),
-        F.array().cast("array<bigint>").alias("queue_n"),
+    states = cut_lineage(_with_reach(counts, dt_us, range_edges(counts, "t_us", buckets)))
+    parts = states.groupBy("key", "bucket").applyInArrow(
+        _range_effect, _keyed(states, "bucket int, shift long, low long, high long")
     )
-    used = cut_lineage(empty)
-    done = cut_lineage(_match_buckets(line, used, keys, by_fields, dt_us))
-    while True:
-        order = ", ".join(by)
-        over = f"OVER ({'PARTITION BY ' + order if by else ''} ORDER BY bucket)"
-        ends = done.where("kind = 'end'").select(
-            *keys,
-            F.expr(f"lag(side) {over}").alias("side"),
-            F.expr(f"lag(queue_us) {over}").alias("queue_us"),
-            F.expr(f"lag(queue_n) {over}").alias("queue_n"),
-            "first_us",
-        )
-        # Only what is still in reach of the first row matters.
-        alive = f"filter(arrays_zip(queue_us, queue_n), e -> e.queue_us >= first_us - {int(dt_us)}L)"
-        needed = ends.withColumn("alive", F.coalesce(F.expr(alive), F.array())).select(
-            *keys,
-            F.when(F.size("alive") == 0, 0).otherwise(F.col("side")).alias("side"),
-            F.col("alive.queue_us").alias("queue_us"),
-            F.col("alive.queue_n").alias("queue_n"),
-        )
-        wrong = needed.join(used, [*keys, "side", "queue_us", "queue_n"], "left_anti")
-        wrong = cut_lineage(wrong)
-        if wrong.isEmpty():
-            break
-        used = cut_lineage(used.join(wrong.select(*keys), keys, "left_anti").unionByName(wrong))
-        redo = _match_buckets(line.join(wrong.select(*keys), keys, "left_semi"), wrong, keys, by_fields, dt_us)
-        done = cut_lineage(done.join(wrong.select(*keys), keys, "left_anti").unionByName(redo))
-    return done.where("kind = 'match'").select(*by, "left_us", "right_us", "n")
-
-
-def _match_buckets(line: DataFrame, carry: DataFrame | None, keys: list[str], by_fields: str, dt_us: int) -> DataFrame:
-    def match(rows: pd.DataFrame, start: pd.DataFrame | None = None) -> pd.DataFrame:
-        if rows.empty:
-            return pd.DataFrame(columns=[*keys, *_MATCH_COLUMNS])
-        rows = rows.sort_values("t_us")
-        side, queue = 0, []
-        if start is not None and len(start):
-            side = int(start["side"].iloc[0])
-            queue = [[int(t), int(n)] for t, n in zip(start["queue_us"].iloc[0], start["queue_n"].iloc[0])]
-        pairs, side, queue = match_in_order(
-            rows["t_us"].tolist(), rows["a"].tolist(), rows["b"].tolist(), dt_us, side, queue
-        )
-        records = [("match", a, b, n, None, None, None, None) for a, b, n in pairs]
-        records.append(
-            ("end", None, None, None, side, [q[0] for q in queue], [q[1] for q in queue], int(rows["t_us"].iloc[0]))
-        )
-        out = pd.DataFrame(records, columns=_MATCH_COLUMNS, dtype=object)
-        for key in keys:
-            out[key] = rows[key].iloc[0]
-        return out[[*keys, *_MATCH_COLUMNS]]
+    starts = parts.groupBy("key").applyInArrow(_range_starts, _keyed(parts, "bucket int, start long"))
+    started = states.join(starts, ["key", "bucket"])
+    ranks = started.groupBy("key", "bucket").applyInArrow(
+        _rank_matches, _keyed(started, "side int, t_us long, rank long, n long")
+    )
+    named = _times_of_ranks(states, ranks)
+    return named.select(*[F.col(f"key.{c}").alias(c) for c in by], "left_us", "right_us", "n")
+
+
+def _with_reach(counts: DataFrame, dt_us: int, edges: Sequence[float]) -> DataFrame:
+    """Rows of each side before a time (``ra``, ``rb``), and those of them in its reach (``la``, ``lb``), with its range."""
+    zero = F.lit(0).cast("long")
+    rows = counts.select("key", F.col("t_us").alias("x"), F.lit(1).alias("kind"), "a", "b", "t_us")
+    # A probe stands before the rows of its own time: it counts what is out of reach.
+    probes = counts.select("key", (F.col("t_us") - dt_us).alias("x"), F.lit(0).alias("kind"), zero.alias("a"), zero.alias("b"), "t_us")
+    line = with_range_bucket(rows.unionByName(probes), "x", edges, "bucket")
+    line = running(line, ["x", "kind"], {"ra": ("sum", "a"), "rb": ("sum", "b")}, by=["key"], bucket="bucket", exclusive=True)
+    gone = line.where("kind = 0").select("key", "t_us", F.col("ra").alias("_oa"), F.col("rb").alias("_ob"))
+    here = line.where("kind = 1").join(gone, ["key", "t_us"])
+    return here.select(
+        "key", "bucket", "t_us", "a", "b", "ra", "rb", (F.col("ra") - F.col("_oa")).alias("la"), (F.col("rb") - F.col("_ob")).alias("lb")
+    )
+
 
-    schema = by_fields + _MATCH_FIELDS
-    if carry is None:
-        return line.groupBy(*keys).applyInPandas(lambda rows: match(rows), schema=schema)
-    return line.groupBy(*keys).cogroup(carry.groupBy(*keys)).applyInPandas(match, schema=schema)
+_FAR = 1 << 60
 
 
-_MATCH_COLUMNS = ["kind", "left_us", "right_us", "n", "side", "queue_us", "queue_n", "first_us"]
+def _keyed(rows: DataFrame, fields: str) -> T.StructType:
+    """A schema that begins with the key of ``rows``."""
+    return T.StructType([rows.schema["key"], *T.StructType.fromDDL(fields)])
+
+
+def _with_key(rows: pa.Table, **columns: tuple[list, pa.DataType]) -> pa.Table:
+    """Columns of results, each row with the key of the group."""
+    n = len(next(iter(columns.values()))[0])
+    key = rows.column("key").combine_chunks().take(pa.array(np.zeros(n, np.int64)))
+    return pa.table({"key": key, **{name: pa.array(values, kind) for name, (values, kind) in columns.items()}})
+
+
+def _range_effect(rows: pa.Table) -> pa.Table:
+    rows = rows.sort_by("t_us")
+    shift, low, high = 0, -_FAR, _FAR
+    for a, b, most, least in zip(*(rows[c].to_pylist() for c in ("a", "b", "la", "lb")), strict=True):
+        low = min(max(low, -least), most) + a - b
+        high = min(max(high, -least), most) + a - b
+        shift += a - b
+    bucket = [rows["bucket"][0].as_py()]
+    return _with_key(rows, bucket=(bucket, pa.int32()), **{n: ([v], pa.int64()) for n, v in (("shift", shift), ("low", low), ("high", high))})
+
+
+def _range_starts(parts: pa.Table) -> pa.Table:
+    """The state before each range; one row per range."""
+    parts = parts.sort_by("bucket")
+    state, starts = 0, []
+    for shift, low, high in zip(*(parts[c].to_pylist() for c in ("shift", "low", "high")), strict=True):
+        starts.append(state)
+        state = min(max(state + shift, low), high)
+    return _with_key(parts, bucket=(parts["bucket"].to_pylist(), pa.int32()), start=(starts, pa.int64()))
+
+
+def _rank_matches(rows: pa.Table) -> pa.Table:
+    """Matches of a range: the time of the later row, and the ranks of the earlier ones on the other side.
+
+    ``side`` 1 has a left time and ranks of right rows, 2 the other way round; ranks ``[rank, rank + n)`` count from 0.
+    """
+    rows = rows.sort_by("t_us")
+    state, found = rows["start"][0].as_py(), []
+    columns = (rows[c].to_pylist() for c in ("t_us", "a", "b", "ra", "rb", "la", "lb"))
+    for t, a, b, before_a, before_b, most, least in zip(*columns, strict=True):
+        state = min(max(state, -least), most)
+        if state < 0 and a:
+            found.append((1, t, before_b + state, min(a, -state)))
+        state += a
+        if state > 0 and b:
+            found.append((2, t, before_a + a - state, min(b, state)))
+        state -= b
+    side, time, rank, n = zip(*found, strict=True) if found else ([], [], [], [])
+    kinds = {"side": (side, pa.int32()), "t_us": (time, pa.int64()), "rank": (rank, pa.int64()), "n": (n, pa.int64())}
+    return _with_key(rows, **kinds)
+
+
+def _times_of_ranks(states: DataFrame, ranks: DataFrame) -> DataFrame:
+    """Both times of every match: rows and matches share one line of ranks, cut where either begins or ends."""
+    none = F.lit(None).cast("long")
+    rights = states.where("b > 0").select("key", F.lit(1).alias("side"), F.col("rb").alias("x"), F.col("t_us").alias("row"))
+    lefts = states.where("a > 0").select("key", F.lit(2).alias("side"), F.col("ra").alias("x"), F.col("t_us").alias("row"))
+    rows = rights.unionByName(lefts).select("*", none.alias("met"), F.lit(False).alias("cut"))
+    begins = ranks.select("key", "side", F.col("rank").alias("x"), none.alias("row"), F.col("t_us").alias("met"), F.lit(True).alias("cut"))
+    ends = ranks.select("key", "side", (F.col("rank") + F.col("n")).alias("x"), none.alias("row"), none.alias("met"), F.lit(True).alias("cut"))
+    line = rows.unionByName(begins).unionByName(ends).groupBy("key", "side", "x").agg(
+        F.max("row").alias("row"), F.max("met").alias("met"), F.max("cut").alias("cut")
+    )
+    # Ranks are dense, so equal stretches of them hold alike many rows.
+    line = line.withColumn("bucket", F.floor(F.col("x") / MATCH_ROWS))
+    last = F.when(F.col("cut"), F.struct("x", "met"))
+    by = ["key", "side"]
+    line = running(line, "x", {"_row": ("max", "row"), "_last": ("max", last)}, by=by, bucket="bucket")
+    line = running(line, "x", {"_next": ("min", "x")}, by=by, bucket="bucket", descending=True, exclusive=True)
+    met = F.col("_last.met")
+    pairs = line.where(met.isNotNull())
+    left_us = F.when(F.col("side") == 1, met).otherwise(F.col("_row"))
+    right_us = F.when(F.col("side") == 1, F.col("_row")).otherwise(met)
+    return pairs.select("key", left_us.alias("left_us"), right_us.alias("right_us"), (F.col("_next") - F.col("x")).alias("n"))
 
 
 def match_in_order(times, left_n, right_n, dt, side=0, queue=()):
