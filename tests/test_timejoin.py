@@ -104,14 +104,40 @@ def test_band_join(spark, monkeypatch, dt, hot):
     assert got == sorted((i, j) for i, x in enumerate(a) for j, y in enumerate(b) if abs(x - y) <= dt)
 
 
-def test_count_pairs_by_slide(spark):
+@pytest.mark.parametrize("chunk", [8, 16_384])
+def test_count_pairs_by_slide(spark, monkeypatch, chunk):
+    monkeypatch.setattr(tj, "CHUNK_TIMES", chunk)
     rng = np.random.default_rng(8)
     a = np.concatenate([rng.integers(0, 2000, 60), np.full(20, 700)])
     b = np.concatenate([rng.integers(0, 2000, 60), np.full(20, 690)])
-    shifts = {1: 0, 2: 33, 3: -250}
+    shifts = {1: 0, 2: 33, 3: -250, 4: 99_999}
     slides = spark.createDataFrame(list(shifts.items()), "slide_id long, shift_us long")
     got = {r["slide_id"]: r["pairs"] for r in tj.count_pairs_by_slide(times(spark, a), times(spark, b), 12, slides).collect()}
-    assert got == {k: int(sum(abs(x - (y + s)) <= 12 for x in a for y in b)) for k, s in shifts.items()}
+    want = {k: int(sum(abs(x - (y + s)) <= 12 for x in a for y in b)) for k, s in shifts.items()}
+    assert got == {k: n for k, n in want.items() if n}
+    assert tj.count_pairs_by_slide(times(spark, a).limit(0), times(spark, b), 12, slides).count() == 0
+
+
+@pytest.mark.parametrize("chunk, at_once, cells", [(8, 5, 3), (8, 1000, 4096), (16_384, 50, 64)])
+def test_slide_thresholds_equal_the_sorted_pairs(spark, monkeypatch, chunk, at_once, cells):
+    monkeypatch.setattr(tj, "CHUNK_TIMES", chunk)
+    monkeypatch.setattr(tj, "PAIRS_AT_ONCE", at_once)
+    rng = np.random.default_rng(cells)
+    # Many rows of one time, ties, negative scores and missing values.
+    a = [(int(t), float(v)) for t, v in zip(np.append(rng.integers(0, 900, 60), [400] * 30), rng.integers(-9, 30, 90) / 3)]
+    b = [(int(t), float(v)) for t, v in zip(np.append(rng.integers(0, 900, 60), [390] * 30), rng.integers(0, 30, 90) / 7)]
+    shifts = {1: 0, 2: 33, 3: -250}
+    slides = spark.createDataFrame(list(shifts.items()), "slide_id long, shift_us long")
+    left = spark.createDataFrame([*a, (None, 1.0), (400, None)], "t long, score double").repartition(3)
+    right = spark.createDataFrame(b, "t long, score double")
+    pairs = sorted(round(float(np.hypot(u, v)), 6) for s in shifts.values() for t, u in a for r, v in b if abs(t - r - s) <= 15)
+    targets = [1e-4, 0.01, 0.3, 0.9999]
+    got = {r["far"]: (r["bg_count"], r["threshold"]) for r in tj.slide_thresholds(left, right, 15, slides, targets, cells).collect()}
+    for far in targets:
+        index = min(max(int(np.ceil((1 - far) * len(pairs))) - 1, 0), len(pairs) - 1)
+        assert got[far] == (len(pairs), pytest.approx(pairs[index], abs=1e-9))
+    assert tj.slide_thresholds(left.limit(0), right, 15, slides, targets).count() == 0
+    assert tj.slide_thresholds(left, right.withColumn("t", F.col("t") + 10**9), 15, slides, targets).count() == 0
 
 
 def test_nearest(spark):

@@ -7,7 +7,8 @@ work goes through :mod:`wavequery.operators.running`.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,9 @@ SALTS = 16
 # Most time cells a catalogue time may be copied to.
 MAX_REACH = 64
 
-# Slides are literals of the plan.
-MAX_SLIDES = 10_000
+# Times of one sorted array, and pairs that a task holds at once.
+CHUNK_TIMES = 16_384
+PAIRS_AT_ONCE = 1_000_000
 
 # Target rows of one task of the one-to-one matching.
 MATCH_ROWS = 100_000
@@ -170,56 +172,130 @@ def band_join(left: DataFrame, right: DataFrame, dt_us: int, left_time: str, rig
     return _salted_cell_join(probe, right).where(near)
 
 
+def every_slide(slides: DataFrame):
+    """All slides as one array column, for an explode; a slide table has a row per slide, whatever the data."""
+    return F.explode(slides.agg(F.sort_array(F.collect_list(F.struct("slide_id", "shift_us")))).scalar())
+
+
+def _time_chunks(rows: DataFrame, values: Sequence[str], edges: Sequence[float], side: str) -> DataFrame:
+    """Rows ``(t, values...)`` as sorted arrays of at most about ``CHUNK_TIMES`` rows: chunk id, range, first and last time.
+
+    A range that one time fills beyond that is dealt to several chunks.
+    """
+    placed = with_range_bucket(rows, "t", edges)
+    sizes = placed.groupBy("_bucket").agg(F.ceil(F.count("*") / CHUNK_TIMES).cast("int").alias("_parts")).where("_parts > 1")
+    placed = placed.join(sizes, "_bucket", "left")
+    part = F.pmod(F.xxhash64("t", *values), F.coalesce("_parts", F.lit(1))).cast("int")
+    chunks = placed.withColumn("_part", part).groupBy("_bucket", "_part").agg(
+        F.min("t").alias(f"{side}_lo"), F.max("t").alias(f"{side}_hi"), F.sort_array(F.collect_list(F.struct("t", *values))).alias("_c")
+    )
+    arrays = [F.col(f"_c.{c}").alias(f"{side}_{c}") for c in ("t", *values)]
+    ids = [F.col(c).alias(f"{side}{c}") for c in ("_bucket", "_part")]
+    return chunks.select(*ids, f"{side}_lo", f"{side}_hi", *arrays)
+
+
+def _chunk_pairs(left: DataFrame, right: DataFrame, dt_us: int, slides: DataFrame, values: Sequence[str]) -> DataFrame:
+    """Chunks of both sides that meet under some slide, with those slides; every pair of rows is in one pair of chunks."""
+    n = left.count() + right.count()
+    both = left.select("t").unionByName(right.select("t"))
+    edges = range_edges(both, "t", max(1, -(-n // CHUNK_TIMES)))
+    # Chunks are stored once: their few outer numbers choose the partners, then their arrays travel.
+    a = cut_lineage(_time_chunks(left, values, edges, "l"))
+    b = cut_lineage(_time_chunks(right, values, edges, "r"))
+    ids = ["l_bucket", "l_part"]
+    wanted = a.select(*ids, "l_lo", "l_hi", every_slide(slides).alias("s"))
+    wanted = wanted.select(*ids, "s", (F.col("l_lo") - F.col("s.shift_us") - dt_us).alias("lo"), (F.col("l_hi") - F.col("s.shift_us") + dt_us).alias("hi"))
+    wanted = with_range_bucket(with_range_bucket(wanted, "lo", edges, "_first"), "hi", edges, "_last")
+    near = wanted.select(*ids, "s", "lo", "hi", F.explode(F.sequence("_first", "_last")).alias("r_bucket"))
+    near = near.join(b.select("r_bucket", "r_part", "r_lo", "r_hi"), "r_bucket").where("r_lo <= hi AND r_hi >= lo")
+    met = near.groupBy(*ids, "r_bucket", "r_part").agg(F.sort_array(F.collect_list("s")).alias("slides"))
+    return met.join(a.drop("l_lo", "l_hi"), ids).join(b.drop("r_lo", "r_hi"), ["r_bucket", "r_part"])
+
+
+def _in_reach(l_t: np.ndarray, r_t: np.ndarray, shift: int, dt_us: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and behind-last place in ``r_t`` of what a left time meets."""
+    at = l_t - shift
+    return np.searchsorted(r_t, at - dt_us, "left"), np.searchsorted(r_t, at + dt_us, "right")
+
+
+def _column(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
+    return [v.values.to_numpy(zero_copy_only=False) for v in batch.column(name)]
+
+
 def count_pairs_by_slide(
-    left: DataFrame, right: DataFrame, dt_us: int, slides: DataFrame, time: str = "t_us", buckets: int | None = None
+    left: DataFrame, right: DataFrame, dt_us: int, slides: DataFrame, time: str = "t_us"
 ) -> DataFrame:
-    """Number of pairs with ``|t_left - (t_right + shift)| <= dt`` for each slide.
+    """Number of pairs with ``|t_left - (t_right + shift)| <= dt`` for each slide that has any.
 
-    Pairs are never built. With ``C(x)`` the number of right rows up to time ``x``,
-    a left row has ``C(t - shift + dt) - C(t - shift - dt - 1)`` partners, so one
-    running count over the right times answers all slides. ``slides`` is the small
-    table ``(slide_id, shift_us)`` and is broadcast after a check of its size.
+    Pairs are never built: distinct times stand in sorted arrays with running counts, and a left time finds the ends of its
+    partners by binary search. ``slides`` is the small table ``(slide_id, shift_us)``.
     """
-    slides = _bounded(slides.select("slide_id", "shift_us"), MAX_SLIDES)
-    ends = right.agg(F.min(time).alias("lo"), F.max(time).alias("hi"), F.count("*").alias("n")).first()
-    starts = left.groupBy(F.col(time).alias("_t")).agg(F.count("*").alias("_w"))
-    probes = (
-        starts.withColumn("_slide", F.explode(slides))
-        .select("_t", "_w", "_slide.*")
-        .select(
-            "slide_id",
-            F.explode(
-                F.array(
-                    F.struct((F.col("_t") - F.col("shift_us") + dt_us).alias("x"), F.col("_w").alias("w")),
-                    F.struct((F.col("_t") - F.col("shift_us") - dt_us - 1).alias("x"), (-F.col("_w")).alias("w")),
-                )
-            ).alias("p"),
-        )
-        .select("slide_id", "p.x", "p.w")
-    )
-    # Before the first right time the count is 0, from the last one on it is the total:
-    # large slides move most probes there, and those need no place on the line.
-    beyond = probes.where(F.col("x") >= F.lit(ends["hi"])).select("slide_id", (F.col("w") * F.lit(ends["n"])).alias("part"))
-    inside = probes.where((F.col("x") >= F.lit(ends["lo"])) & (F.col("x") < F.lit(ends["hi"])))
-    inside = inside.select("x", F.lit(1).alias("kind"), "slide_id", "w", F.lit(0).cast("long").alias("n"))
-    stops = right.groupBy(F.col(time).alias("x")).agg(F.count("*").alias("n"))
-    stops = stops.select(
-        "x", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("slide_id"), F.lit(0).cast("long").alias("w"), "n"
-    )
-    both = left.select(F.col(time).alias("t")).unionByName(right.select(F.col(time).alias("t")))
-    line = with_range_bucket(stops.unionByName(inside), "x", range_edges(both, "t", buckets))
-    counted = running(line, ["x", "kind"], {"c": ("sum", "n")}).where("kind = 1")
-    parts = counted.select("slide_id", (F.col("w") * F.col("c")).alias("part")).unionByName(beyond)
-    return parts.groupBy("slide_id").agg(F.sum("part").cast("long").alias("pairs"))
+
+    def counted(rows: DataFrame) -> DataFrame:
+        return cut_lineage(rows.where(F.col(time).isNotNull()).groupBy(F.col(time).alias("t")).agg(F.count("*").alias("n")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, pairs = [], []
+            columns = [_column(batch, c) for c in ("l_t", "l_n", "r_t", "r_n")]
+            for l_t, l_n, r_t, r_n, met in zip(*columns, batch.column("slides").to_pylist(), strict=True):
+                upto = np.concatenate([[0], np.cumsum(r_n)])
+                for s in met:
+                    first, behind = _in_reach(l_t, r_t, s["shift_us"], dt_us)
+                    ids.append(s["slide_id"])
+                    pairs.append(int((l_n * (upto[behind] - upto[first])).sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pairs, pa.int64())], ["slide_id", "pairs"])
+
+    met = _chunk_pairs(counted(left), counted(right), dt_us, slides, ["n"])
+    parts = met.select("l_t", "l_n", "r_t", "r_n", "slides").mapInArrow(run, "slide_id long, pairs long")
+    return parts.where("pairs > 0").groupBy("slide_id").agg(F.sum("pairs").alias("pairs"))
 
 
-def _bounded(rows: DataFrame, limit: int):
-    """A small table as one array literal; refuses to grow past ``limit`` rows."""
-    found = rows.limit(limit + 1).collect()
-    if len(found) > limit:
-        raise ValueError(f"expected at most {limit} rows")
-    names = rows.columns
-    return F.array(*[F.struct(*[F.lit(r[n]).cast(rows.schema[n].dataType).alias(n) for n in names]) for r in found])
+def background_scores(
+    left: DataFrame,
+    right: DataFrame,
+    dt_us: int,
+    slides: DataFrame,
+    between: Sequence[tuple[float, float]] | None = None,
+    cells: int = 4096,
+    top: float = 1.0,
+    digits: int = 6,
+) -> DataFrame:
+    """Numbers of slid pairs by their joint score ``hypot``, rounded to ``digits``: ``(s, n)``.
+
+    Both sides have ``t`` and ``score``. Without ``between``, ``s`` is the cell of the score on ``[0, top]``; with it, ``s`` is the score
+    itself, for scores in one of the half-open ranges only. Pairs exist only inside a task, a bounded number at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [_column(batch, c) for c in ("l_t", "l_score", "r_t", "r_score")]
+            for l_t, l_s, r_t, r_s, met in zip(*columns, batch.column("slides").to_pylist(), strict=True):
+                found: dict[float, int] = {}
+                for s in met:
+                    first, behind = _in_reach(l_t, r_t, s["shift_us"], dt_us)
+                    ends = np.cumsum(behind - first)
+                    cuts = [0, *(np.flatnonzero(np.diff(ends // PAIRS_AT_ONCE)) + 1).tolist(), len(l_t)]
+                    for lo, hi in zip(cuts, cuts[1:], strict=False):
+                        sizes = behind[lo:hi] - first[lo:hi]
+                        total = int(sizes.sum())
+                        if not total:
+                            continue
+                        at = np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(first[lo:hi], sizes)
+                        joint = np.round(np.hypot(np.repeat(l_s[lo:hi], sizes), r_s[at]), digits)
+                        if between is None:
+                            joint = np.floor(joint / top * cells)
+                        else:
+                            joint = joint[np.logical_or.reduce([(joint >= a) & (joint < b) for a, b in between])]
+                        for value, n in zip(*(x.tolist() for x in np.unique(joint, return_counts=True)), strict=True):
+                            found[value] = found.get(value, 0) + n
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(found), pa.float64()), pa.array(list(found.values()), pa.int64())], ["s", "n"]
+                )
+
+    met = _chunk_pairs(left, right, dt_us, slides, ["score"])
+    parts = met.select("l_t", "l_score", "r_t", "r_score", "slides").mapInArrow(run, "s double, n long")
+    return parts.groupBy("s").agg(F.sum("n").alias("n"))
 
 
 # --- nearest ------------------------------------------------------------------
@@ -418,9 +494,8 @@ def match_in_order(times, left_n, right_n, dt, side=0, queue=()):
 
 def slid(right: DataFrame, slides: DataFrame, time: str = "t_us") -> DataFrame:
     """One shifted copy of the right table per slide."""
-    shifts = _bounded(slides.select("slide_id", "shift_us"), MAX_SLIDES)
     return (
-        right.withColumn("_slide", F.explode(shifts))
+        right.withColumn("_slide", every_slide(slides))
         .withColumn(time, F.col(time) + F.col("_slide.shift_us"))
         .withColumn("slide_id", F.col("_slide.slide_id"))
         .drop("_slide")
@@ -452,25 +527,60 @@ def false_alarm_rate(background: DataFrame, span: DataFrame, pairs: str = "pairs
     return stats.withColumn("far_per_sec", per_second).withColumn("far_per_day", per_second * 86_400.0)
 
 
-def background_thresholds(scores: DataFrame, targets: Sequence[float], score: str = "score") -> DataFrame:
-    """Element ``ceil((1 - far) * n) - 1`` of the ascending background for each target."""
-    counts = scores.groupBy(F.col(score).alias("_s")).agg(F.count("*").alias("_n"))
-    # Scored pairs are costly to build, so their counts are stored once.
-    counts = cut_lineage(counts)
-    ranked = running(with_range_bucket(counts, "_s", range_edges(counts, "_s")), "_s", {"_cum": ("sum", "_n")}, totals=True)
+def _picks(counts: DataFrame, targets: Sequence[float]) -> DataFrame:
+    """The value at element ``ceil((1 - far) * n) - 1`` of counted values ``(s, n)``, for each target."""
+    ranked = running(with_range_bucket(counts, "s", range_edges(counts, "s")), "s", {"_cum": ("sum", "n")}, totals=True)
 
     def pick(far: float):
         n = F.col("_cum_total")
         index = F.greatest(F.lit(0), F.least(F.ceil(F.lit(1.0 - far) * n) - 1, n - 1))
+        first = F.min(F.when(F.col("_cum") > index, F.struct("s", (index - F.col("_cum") + F.col("n")).alias("rest"))))
         return F.struct(
-            F.lit(float(far)).alias("far"),
-            F.max("_cum_total").alias("bg_count"),
-            F.min(F.when(F.col("_cum") > index, F.col("_s"))).alias("threshold"),
+            F.lit(float(far)).alias("far"), F.max("_cum_total").alias("bg_count"), first["s"].alias("s"), first["rest"].alias("rest")
         )
 
     return ranked.agg(F.array(*[pick(f) for f in targets]).alias("t")).select(F.inline("t"))
 
 
+def background_thresholds(scores: DataFrame, targets: Sequence[float], score: str = "score") -> DataFrame:
+    """Element ``ceil((1 - far) * n) - 1`` of the ascending background for each target."""
+    counts = cut_lineage(scores.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n")))
+    return _picks(counts, targets).select("far", "bg_count", F.col("s").alias("threshold"))
+
+
+def slide_thresholds(
+    left: DataFrame, right: DataFrame, dt_us: int, slides: DataFrame, targets: Sequence[float], cells: int = 4096
+) -> DataFrame:
+    """The same element of the joint scores of all slid pairs, without a list of the pairs.
+
+    Two passes: the first counts pairs per score cell and finds the cell of each target, the second counts the scores inside
+    those cells only. Both sides have ``t`` and ``score``.
+    """
+    left, right = (cut_lineage(side.select("t", "score").dropna()) for side in (left, right))
+    most = [F.max(F.abs("score")).alias("m")]
+    tops = [side.agg(*most).first()["m"] for side in (left, right)]
+    if None in tops:
+        return left.sparkSession.createDataFrame([], "far double, bg_count long, threshold double")
+    top = 1.001 * math.hypot(*tops) or 1.0
+    coarse = _picks(cut_lineage(background_scores(left, right, dt_us, slides, cells=cells, top=top)), targets)
+    chosen = [r for r in coarse.collect() if r["s"] is not None]  # one row per target
+    if not chosen:
+        return left.sparkSession.createDataFrame([], "far double, bg_count long, threshold double")
+    # Cells are widened by the rounding of their bounds, and what lies before a cell is counted exactly.
+    width = top / cells
+    between = sorted({(r["s"] * width, (r["s"] + 1) * width) for r in chosen})
+    inside = background_scores(left, right, dt_us, slides, between=[(a - width, b + width) for a, b in between])
+    inside = cut_lineage(inside.withColumn("_cell", F.floor(F.col("s") / F.lit(top) * cells).cast("double")))
+    out = None
+    for r in chosen:
+        ordered = inside.where(F.col("_cell") == r["s"])
+        line = running(with_range_bucket(ordered, "s", range_edges(ordered, "s")), "s", {"_cum": ("sum", "n")})
+        pick = line.agg(F.min(F.when(F.col("_cum") > r["rest"], F.col("s"))).alias("threshold"))
+        row = pick.select(F.lit(r["far"]).alias("far"), F.lit(r["bg_count"]).alias("bg_count"), "threshold")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def range_summary(ranges: DataFrame, catalog: DataFrame, key: str, lo: str, hi: str, tc: str = "tc_us") -> DataFrame:
     """Count, first and last catalogue time inside each range, without listing the pairs.
 
