@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wavequery.functions import names, physics
-from wavequery.operators import checks, frames, models, splits, summaries
+from wavequery.operators import calibration, checks, frames, models, splits, summaries
 from wavequery.session import scratch_path
 from wavequery.sources import files, tables
 
@@ -241,7 +241,7 @@ def test_frames_need_full_windows(spark):
 def test_isotonic_is_monotone_and_clipped(spark):
     rows = spark.createDataFrame([(float(i), int(y)) for i, y in enumerate([0, 0, 1, 0, 1, 1])], "score double, label int")
     probe = spark.createDataFrame([(-5.0,), (2.5,), (99.0,)], "score double")
-    got = [r["p"] for r in models.isotonic(rows, probe).collect()]
+    got = [r["p"] for r in calibration.isotonic(rows, probe).orderBy("score").collect()]
     assert got == [0.0, 0.5, 1.0]
 
 

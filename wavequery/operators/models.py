@@ -9,7 +9,6 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -100,18 +99,6 @@ def stacked(
     return score(second, staged(rows), [*keep, "score1"], "score2")
 
 
-def isotonic(train: DataFrame, rows: DataFrame, score_col: str = "score", label: str = "label", out: str = "p") -> DataFrame:
-    """Isotonic calibration: fit on ``train``, applied to ``rows``, clipped outside the fitted range.
-
-    Rows are reduced to one weighted point per distinct score before the fit.
-    """
-    points = train.groupBy(F.col(score_col).cast("double").alias("x")).agg(
-        F.avg(F.col(label).cast("double")).alias("y"), F.count("*").cast("double").alias("w")
-    )
-    model = IsotonicRegression(featuresCol="x", labelCol="y", weightCol="w", predictionCol=out).fit(points)
-    return model.transform(rows.withColumn("x", F.col(score_col).cast("double"))).drop("x")
-
-
 def fold_of(key: str, folds: int = 3, seed: int = 42):
     return F.floor(hash_unit(F.concat(F.col(key).cast("string"), F.lit(f"|fold|{seed}"))) * folds).cast("int")
 

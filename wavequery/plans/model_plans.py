@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wavequery.operators import calibration as cb
 from wavequery.operators import models as md
 from wavequery.operators import timejoin as tj
 from wavequery.operators.splits import group_split
@@ -105,5 +106,5 @@ SELECT event_id, subset, round(CASE WHEN lx IS NULL THEN uy WHEN ux IS NULL OR u
 )
 def isotonic_calib(spark, sf_dir):
     rows = hash_subset(si.event_scores(spark, sf_dir))
-    out = md.isotonic(rows.where("subset = 'val'"), rows.where("subset <> 'train'"))
+    out = cb.isotonic(rows.where("subset = 'val'"), rows.where("subset <> 'train'"))
     return out.select("event_id", "subset", F.round("p", 6).alias("p"))
