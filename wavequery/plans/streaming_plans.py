@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wavequery.plans import stand_ins as si
 from wavequery.plans.registry import query
-from wavequery.streaming import jobs
+from wavequery.streaming import full_frames, jobs
 
 DT_US = 60 * si.SECOND_US
 CLOSED = "(SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
@@ -34,6 +34,19 @@ def stream_window_features(spark, sf_dir):
     )
 
 
+# The frames of the batch query that are closed when the stream ends.
+@query(
+    "stream_full_frames",
+    f"""WITH {si.WINDOWS_SQL} SELECT file_id, start_us, end_us, CAST(n AS BIGINT) AS n, snr_rms, snr_peak, crest_factor
+FROM windows WHERE end_us <= epoch_us({CLOSED})""",
+)
+def stream_full_frames(spark, sf_dir):
+    points = event_stream(spark, sf_dir).select(F.col("user_id").alias("file_id"), "ts", "value")
+    framed = full_frames.full_frames(points, "file_id", "ts", "value", si.FRAME_US, si.STRIDE_US, "1 hour")
+    out = jobs.run_available(framed, state_store=full_frames.ROCKS_DB)
+    return out.withColumns({c: F.round(c, 6) for c in ("snr_rms", "snr_peak", "crest_factor")})
+
+
 @query(
     "stream_coinc",
     f"""WITH {si.TRIGGERS_SQL}

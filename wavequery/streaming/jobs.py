@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from wavequery.operators.timejoin import interval_label
 from wavequery.session import scratch_path
+from wavequery.streaming.full_frames import PROVIDER
 
 
 def file_stream(spark: SparkSession, folder: str, pattern: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -21,13 +22,25 @@ def file_stream(spark: SparkSession, folder: str, pattern: str, schema, files_pe
     return reader.parquet(folder)
 
 
-def run_available(stream: DataFrame, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
-    """Process everything available, append to Parquet and return the stored rows."""
+def run_available(
+    stream: DataFrame, path: str | None = None, checkpoint: str | None = None, state_store: str | None = None
+) -> DataFrame:
+    """Process everything available, append to Parquet and return the stored rows.
+
+    ``state_store`` is the state store provider of this run; the session keeps its own.
+    """
     spark = stream.sparkSession
     path = path or scratch_path(spark, "stream")
     checkpoint = checkpoint or scratch_path(spark, "stream-checkpoint")
     writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-    writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    own = spark.conf.get(PROVIDER, None)
+    if state_store:
+        spark.conf.set(PROVIDER, state_store)
+    try:
+        writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        if state_store:
+            spark.conf.set(PROVIDER, own) if own else spark.conf.unset(PROVIDER)
     return spark.read.schema(stream.schema).parquet(path)
 
 
