@@ -110,6 +110,31 @@ def test_sweep_blocks_agree(spark, data):
     assert one.keys() == many.keys() and all(one[k] == pytest.approx(many[k]) for k in one)
 
 
+def test_sweep_over_mass_ranges_equals_plain_pooling(spark, data):
+    x, h = data
+    masses = [(5.0 + 9 * i % 40, 5.0 + 17 * i % 60) for i in range(len(h))]
+    bank = spark.createDataFrame(
+        [(i, *m, [float(v) for v in row]) for i, (m, row) in enumerate(zip(masses, h))], "template_id long, m1 double, m2 double, wave array<double>"
+    )
+    ranges = ((5.0, 30.0), (20.0, 80.0))
+    configs = tp.sweep_grid(ranges, ranges, (2, 5, 100), (1, 2), (1, 3))
+    assert len(configs) == 48 and [c["config_id"] for c in configs] == list(range(48))
+    logged = spark.createDataFrame([(0,), (7,), (7,)], "config_id long")
+    left = tp.pending_configs(configs, logged)
+    assert {c["config_id"] for c in left} == set(range(48)) - {0, 7}
+    cos = tp.cosine_matrix(x, h)
+    want = {}
+    for c in left:
+        held = [i for i, m in enumerate(masses) if all(lo <= v <= hi for v, (lo, hi) in zip(m, (c["m1"], c["m2"])))]
+        held = held[: c["templates_n"]][:: c["subsample"]]
+        if held:
+            want |= {(c["config_id"], w): np.sort(cos[w, held])[::-1][: c["topk"]].mean() for w in range(len(x))}
+    for size in (tp.BLOCK_BYTES, 8 * 48 * 2):
+        got = {(r.config_id, r.window_id): r.score for r in tp.sweep_scores(waves(spark, x, "window_id"), bank, left, size).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
+    assert tp.sweep_scores(waves(spark, x, "window_id"), bank, []).count() == 0
+
+
 def test_injection_raises_the_score(spark, data):
     x, h = data
     pairs = spark.createDataFrame([([float(v) for v in a], [float(v) for v in h[i % 9]]) for i, a in enumerate(x)], "x array<double>, h array<double>")

@@ -7,8 +7,9 @@ checked, so a bank of any size is handled with one pass per block.
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -46,8 +47,10 @@ def template_bank(
     )
 
 
-def template_blocks(templates: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and matrix of the bank, block by block in id order; a block stays below ``block_bytes``."""
+def bank_blocks(
+    templates: DataFrame, block_bytes: int = BLOCK_BYTES, extra: tuple[str, ...] = ()
+) -> Iterator[tuple[np.ndarray, np.ndarray, pd.DataFrame]]:
+    """Ids, matrix and ``extra`` columns of the bank, block by block in id order; a block stays below ``block_bytes``."""
     longest = templates.agg(F.max(F.size("wave"))).first()[0]
     if longest is None:
         return
@@ -55,15 +58,21 @@ def template_blocks(templates: DataFrame, block_bytes: int = BLOCK_BYTES) -> Ite
     last = None
     while True:
         rest = templates if last is None else templates.where(F.col("template_id") > F.lit(last))
-        block = rest.select("template_id", "wave").orderBy("template_id").limit(per_block).toPandas()
+        block = rest.select("template_id", "wave", *extra).orderBy("template_id").limit(per_block).toPandas()
         if block.empty:
             return
         last = block["template_id"].iloc[-1].item()
-        yield block["template_id"].to_numpy(), fitted(block["wave"], longest)
+        yield block["template_id"].to_numpy(), fitted(block["wave"], longest), block[list(extra)]
         if len(block) < per_block:
             return
 
 
+def template_blocks(templates: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and matrix of the bank, block by block in id order."""
+    for ids, bank, _ in bank_blocks(templates, block_bytes):
+        yield ids, bank
+
+
 def right_aligned(m: np.ndarray, length: int) -> np.ndarray:
     """Rows of ``length``: what is longer keeps its end, what is shorter gets zeros in front."""
     if m.shape[1] >= length:
@@ -340,45 +349,88 @@ def preselect(
 # --- parameter sweep --------------------------------------------------------------
 
 
+def sweep_grid(
+    m1_ranges: Sequence[tuple[float, float]],
+    m2_ranges: Sequence[tuple[float, float]],
+    sizes: Sequence[int],
+    subsamples: Sequence[int],
+    topks: Sequence[int],
+) -> list[dict]:
+    """Every combination of mass ranges, bank size, subsampling and pooling, numbered in that order."""
+    names = ("m1", "m2", "templates_n", "subsample", "topk")
+    cells = itertools.product(m1_ranges, m2_ranges, sizes, subsamples, topks)
+    return [{"config_id": i, **dict(zip(names, cell, strict=True))} for i, cell in enumerate(cells)]
+
+
+def pending_configs(configs: list[dict], logged: DataFrame) -> list[dict]:
+    """The configurations whose ``config_id`` is not in the log of experiments; the log has at most one row per configuration."""
+    done = {r[0] for r in logged.select("config_id").distinct().collect()}
+    return [c for c in configs if c["config_id"] not in done]
+
+
 def sweep_scores(
     windows: DataFrame,
     templates: DataFrame,
     configs: list[dict],
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """Pooled cosine score of every window under every configuration, in one pass per block.
+    """Pooled cosine score of every window under every configuration, from one score matrix per block.
 
-    A configuration has ``config_id``, ``templates_n`` (bank prefix by id),
-    ``subsample`` (every n-th template) and ``topk``.
+    A configuration has ``config_id``, ``templates_n`` (the first so many templates, by id), ``subsample`` (every n-th of
+    them) and ``topk``; with ``m1`` and ``m2`` the templates are those in both ranges, ends included. Banks
+    that only differ in pooling share one list of best scores per window. A window without templates in a bank has no row.
     """
-    out, offset, blocks = None, 0, 0
-    for ids, bank in template_blocks(templates, block_bytes):
-        shared = windows.sparkSession.sparkContext.broadcast((bank, offset))
-        offset += len(ids)
+    if not configs:
+        return windows.sparkSession.createDataFrame([], "config_id long, window_id long, score double")
+    selections: dict[tuple, list[tuple[int, int]]] = {}
+    for c in configs:
+        key = (c.get("m1"), c.get("m2"), c["templates_n"], c["subsample"])
+        selections.setdefault(key, []).append((c["config_id"], c["topk"]))
+    keys = list(selections)
+    depth = [max(k for _, k in selections[key]) for key in keys]
+    masses = tuple(m for m in ("m1", "m2") if any(m in c for c in configs))
+    seen: dict[tuple, int] = {}
+    out, blocks = None, 0
+    for ids, bank, attributes in bank_blocks(templates, block_bytes, masses):
+        chosen = []
+        for ranges in {key[:2] for key in keys}:
+            held = np.ones(len(ids), bool)
+            for name, bounds in zip(("m1", "m2"), ranges, strict=True):
+                if bounds is not None:
+                    held &= attributes[name].between(*bounds).to_numpy()
+            place = seen.get(ranges, 0) + np.cumsum(held) - 1
+            seen[ranges] = seen.get(ranges, 0) + int(held.sum())
+            for i, key in enumerate(keys):
+                if key[:2] == ranges:
+                    chosen.append((i, np.flatnonzero(held & (place < key[2]) & (place % key[3] == 0)), depth[i]))
+        # Templates beyond every bank are left out.
+        used = np.unique(np.concatenate([at for _, at, _ in chosen]))
+        if not len(used):
+            continue
+        chosen = [(i, np.searchsorted(used, at), most) for i, at, most in chosen if len(at)]
+        shared = windows.sparkSession.sparkContext.broadcast((bank[used], chosen))
         blocks += 1
 
         def run(batches, shared=shared):
-            bank, start = shared.value
-            position = np.arange(start, start + len(bank))
+            bank, chosen = shared.value
             for batch, waves in _window_batches(batches, bank.shape[1]):
                 s = cosine_matrix(waves, bank)
-                for c in configs:
-                    chosen = s[:, (position < c["templates_n"]) & (position % c["subsample"] == 0)]
-                    top = min(c["topk"], chosen.shape[1])
-                    if top:
-                        best = np.partition(chosen, chosen.shape[1] - top, axis=1)[:, -top:]
-                        yield pd.DataFrame(
-                            {"config_id": c["config_id"], "window_id": batch["window_id"], "best": list(best)}
-                        )
-
-        part = windows.select("window_id", "wave").mapInPandas(run, "config_id long, window_id long, best array<double>")
+                for i, at, most in chosen:
+                    top = min(most, len(at))
+                    best = np.partition(s[:, at], len(at) - top, axis=1)[:, -top:]
+                    yield pd.DataFrame({"selection": i, "window_id": batch["window_id"], "best": list(best)})
+
+        part = windows.select("window_id", "wave").mapInPandas(run, "selection int, window_id long, best array<double>")
         out = part if out is None else out.unionByName(part)
-    topk = F.create_map(*[F.lit(v) for c in configs for v in (c["config_id"], c["topk"])])
-    merged = out
+    if out is None:
+        return windows.sparkSession.createDataFrame([], "config_id long, window_id long, score double")
     if blocks > 1:
-        merged = out.groupBy("config_id", "window_id").agg(F.flatten(F.collect_list("best")).alias("best"))
-    top = F.slice(F.sort_array("best", asc=False), F.lit(1), topk[F.col("config_id").cast("int")])
-    return merged.select("config_id", "window_id", (F.aggregate(top, F.lit(0.0), lambda a, v: a + v) / F.size(top)).alias("score"))
+        out = out.groupBy("selection", "window_id").agg(F.flatten(F.collect_list("best")).alias("best"))
+    uses = F.array(*[F.array(*[F.struct(F.lit(c).cast("long").alias("id"), F.lit(k).alias("k")) for c, k in selections[key]]) for key in keys])
+    rows = out.select("window_id", F.sort_array("best", asc=False).alias("best"), F.explode(F.get(uses, F.col("selection"))).alias("use"))
+    top = F.slice("best", F.lit(1), F.col("use.k"))
+    score = F.aggregate(top, F.lit(0.0), lambda a, v: a + v) / F.size(top)
+    return rows.select(F.col("use.id").alias("config_id"), "window_id", score.alias("score"))
 
 
 # --- injections -------------------------------------------------------------------

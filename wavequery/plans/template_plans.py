@@ -13,6 +13,7 @@ from wavequery.operators.running import range_edges, running, with_range_bucket
 from wavequery.plans import stand_ins as si
 from wavequery.plans.registry import query
 from wavequery.plans.split_plans import unit_sql
+from wavequery.session import cut_lineage, scratch_path
 
 MAX_SHIFT, LAG_STEP = 13, 4
 LENGTH = 64
@@ -258,40 +259,74 @@ def augment(spark, sf_dir):
     return _array_stats(windows.select("window_id", changed.alias("z")))
 
 
-CONFIGS = [
-    {"config_id": i, "templates_n": n, "subsample": s, "topk": k}
-    for i, (n, s, k) in enumerate((n, s, k) for n in (16, 32, 64) for s in (1, 2, 4) for k in (1, 3))
-]
-CONFIG_VALUES = ", ".join("({config_id}, {templates_n}, {subsample}, {topk})".format(**c) for c in CONFIGS)
-SWEEP_SQL = f"""{COS_SQL}, configs(config_id, templates_n, subsample, topk) AS (VALUES {CONFIG_VALUES}),
-tpos AS (SELECT template_id, row_number() OVER (ORDER BY template_id) - 1 AS pos FROM templates),
-picked AS (SELECT c.config_id, c.topk, s.window_id, s.label, s.score, row_number() OVER (PARTITION BY c.config_id, s.window_id ORDER BY s.score DESC) AS rn
-  FROM cos s JOIN tpos USING (template_id) JOIN configs c ON tpos.pos < c.templates_n AND tpos.pos % c.subsample = 0),
-pooled AS (SELECT config_id, window_id, any_value(CASE WHEN label <= 3 THEN 1 ELSE 0 END) AS label, round(avg(score), 9) AS score
-  FROM picked WHERE rn <= topk GROUP BY config_id, window_id),
+# The full grid of the sweep: mass ranges, bank sizes, subsampling and pooling.
+MASSES = ((5.0, 40.0), (10.0, 50.0), (20.0, 80.0))
+CONFIGS = tp.sweep_grid(MASSES, MASSES, (256, 512, 1024), (1, 2, 4), (1, 3))
+SWEEP_FAR = 5e-3
+COPIES, STEP = 21, 3
+
+# A larger bank with masses: every template, and copies of it rolled to the right.
+BANK_SQL = f"""bank AS (SELECT template_id * {COPIES} + r AS template_id, 5 + (template_id * {COPIES} + r) * 7 % 76 AS m1, 5 + (template_id * {COPIES} + r) * 31 % 76 AS m2,
+  CASE WHEN r = 0 THEN wave ELSE list_concat(wave[len(wave) - {STEP} * r + 1:], wave[:len(wave) - {STEP} * r]) END AS wave
+  FROM templates CROSS JOIN (SELECT CAST(range AS BIGINT) AS r FROM range(0, {COPIES})))"""
+
+
+def mass_bank(spark, sf_dir):
+    """Every template and its rolled copies, with masses."""
+    rows = si.templates(spark, sf_dir).select("template_id", "wave", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))).alias("r"))
+    rows = rows.select((F.col("template_id") * COPIES + F.col("r")).alias("template_id"), ar.rolled(F.col("wave"), F.col("r") * STEP).alias("wave"))
+    return rows.select("template_id", (5 + F.col("template_id") * 7 % 76).alias("m1"), (5 + F.col("template_id") * 31 % 76).alias("m2"), "wave")
+
+
+CONFIG_VALUES = ", ".join(
+    f"({c['config_id']}, {c['m1'][0]}, {c['m1'][1]}, {c['m2'][0]}, {c['m2'][1]}, {c['templates_n']}, {c['subsample']}, {c['topk']})" for c in CONFIGS
+)
+SWEEP_SQL = f"""{si.WAVES_SQL}, {BANK_SQL}, configs(config_id, lo1, hi1, lo2, hi2, templates_n, subsample, topk) AS (VALUES {CONFIG_VALUES}),
+cos AS (SELECT w.window_id, t.template_id, list_dot_product(w.wave, t.wave) / ({NORM.format('w.wave')} * {NORM.format('t.wave')} + 1e-8) AS score
+  FROM wave_windows w CROSS JOIN bank t),
+ranges AS (SELECT DISTINCT lo1, hi1, lo2, hi2 FROM configs),
+tpos AS (SELECT lo1, hi1, lo2, hi2, template_id, row_number() OVER (PARTITION BY lo1, hi1, lo2, hi2 ORDER BY template_id) - 1 AS pos
+  FROM ranges JOIN bank ON m1 BETWEEN lo1 AND hi1 AND m2 BETWEEN lo2 AND hi2),
+sets AS (SELECT DISTINCT lo1, hi1, lo2, hi2, templates_n, subsample FROM configs),
+best AS (SELECT s.lo1, s.hi1, s.lo2, s.hi2, s.templates_n, s.subsample, c.window_id, max(c.score, 3) AS best
+  FROM sets s JOIN tpos p ON p.lo1 = s.lo1 AND p.hi1 = s.hi1 AND p.lo2 = s.lo2 AND p.hi2 = s.hi2 AND p.pos < s.templates_n AND p.pos % s.subsample = 0
+  JOIN cos c USING (template_id) GROUP BY ALL),
+pooled AS (SELECT c.config_id, b.window_id, CASE WHEN w.label <= 3 THEN 1 ELSE 0 END AS label, round(list_avg(b.best[:c.topk]), 9) AS score
+  FROM configs c JOIN best b USING (lo1, hi1, lo2, hi2, templates_n, subsample) JOIN wave_windows w USING (window_id)),
 g AS (SELECT config_id, score, sum(label) AS pos, count(*) - sum(label) AS neg FROM pooled GROUP BY config_id, score),
 p AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY config_id) AS np, sum(neg) OVER (PARTITION BY config_id) AS nn FROM g
   WINDOW w AS (PARTITION BY config_id ORDER BY score DESC)),
 auc AS (SELECT config_id, round(CAST(sum(pos * (nn - fp + neg / 2.0::DOUBLE)) AS DOUBLE) / any_value(np) / any_value(nn), 6) AS auc,
-               round(arg_min(CAST(tp AS DOUBLE) / np, struct_pack(a := abs(CAST(fp AS DOUBLE) / nn - 0.05::DOUBLE), b := -score)), 6) AS recall_at_far FROM p GROUP BY config_id)"""
+               round(arg_min(CAST(tp AS DOUBLE) / np, struct_pack(a := abs(CAST(fp AS DOUBLE) / nn - {SWEEP_FAR}::DOUBLE), b := -score)), 6) AS recall_at_far FROM p GROUP BY config_id)"""
 
 
-def sweep_metrics(spark, sf_dir):
+def sweep_metrics(spark, sf_dir, configs=None):
     """AUC and recall at the false-alarm target of every configuration."""
     from wavequery.operators import thresholds as th
 
     windows = si.wave_windows(spark, sf_dir)
-    scores = tp.sweep_scores(windows, si.templates(spark, sf_dir), CONFIGS)
+    scores = tp.sweep_scores(windows, mass_bank(spark, sf_dir), CONFIGS if configs is None else configs)
     labels = windows.select("window_id", (F.col("label") <= 3).cast("int").alias("label"))
     rows = scores.withColumn("score", F.round("score", 9)).join(labels, "window_id")
-    points = rk.operating_points(rows, by=["config_id"])
+    # Every metric reads the operating points, so the scores are computed once.
+    points = cut_lineage(rk.operating_points(rows, by=["config_id"]))
     auc = rk.roc_auc(points, ["config_id"])
-    recall = th.closest_fpr(points, 0.05, by=["config_id"]).select("config_id", F.col("tpr").alias("recall_at_far"))
+    recall = th.closest_fpr(points, SWEEP_FAR, by=["config_id"]).select("config_id", F.col("tpr").alias("recall_at_far"))
     return auc.join(recall, "config_id").select(
         "config_id", F.round("auc", 6).alias("auc"), F.round("recall_at_far", 6).alias("recall_at_far")
     )
 
 
+# A sweep that was stopped after a third of its configurations and goes on from its log.
+@query("param_sweep_resumed", f"WITH {SWEEP_SQL} SELECT config_id::BIGINT AS config_id, auc, recall_at_far, config_id % 3 = 0 AS logged FROM auc")
+def param_sweep_resumed(spark, sf_dir):
+    log = scratch_path(spark, "experiments")
+    sweep_metrics(spark, sf_dir, [c for c in CONFIGS if c["config_id"] % 3 == 0]).write.parquet(log)
+    logged = spark.read.parquet(log)
+    fresh = sweep_metrics(spark, sf_dir, tp.pending_configs(CONFIGS, logged))
+    return logged.withColumn("logged", F.lit(True)).unionByName(fresh.withColumn("logged", F.lit(False)))
+
+
 @query("param_sweep", f"WITH {SWEEP_SQL} SELECT config_id::BIGINT AS config_id, auc, recall_at_far FROM auc")
 def param_sweep(spark, sf_dir):
     return sweep_metrics(spark, sf_dir)
