@@ -7,7 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from wavequery.functions import physics
-from wavequery.operators import frames, ranking, running, signal, splits, summaries, timejoin
+from wavequery.operators import frames, models, ranking, running, signal, splits, summaries, timejoin
 from wavequery.operators import templates as tp
 
 
@@ -122,3 +122,24 @@ def test_wrong_length_range_raises(spark):
 def test_leap_seconds_by_date(spark, gps, utc):
     at = physics.gps_to_timestamp(F.lit(gps * 1_000_000).cast("long")).cast("string")
     assert spark.range(1).select(at).first()[0] == utc
+
+
+def test_restored_split_of_a_key_that_was_saved_twice(spark):
+    base = spark.createDataFrame([(i,) for i in range(5)], "id long")
+    saved = [(0, "train"), (0, "test"), (1, "val"), (1, "train"), (2, "other"), (2, "train"), (3, None)]
+    sidecar = spark.createDataFrame(saved, "id long, split string")
+    got = {r.id: r.split for r in splits.split_restore(base, sidecar, ["id"]).collect()}
+    assert got == {0: "test", 1: "val", 2: "train", 3: "train", 4: "train"}
+    got = {r.id: r.split for r in splits.split_restore(base, sidecar, ["id"], order=["train", "val"]).collect()}
+    assert got == {0: "train", 1: "train", 2: "train", 3: "train", 4: "train"}
+
+
+def test_calibration_per_fold(spark):
+    rows = [(i, (i * 37 % 101) / 10, int((i * 37 % 101) + (i * 13 % 40) > 70)) for i in range(400)]
+    data = spark.createDataFrame(rows, "id long, a double, label int")
+    got = models.sigmoid_calibrated(data, data, "id", ["a"], ["id", "label"]).collect()
+    assert len(got) == 400 and all(0 <= r.p <= 1 and 0 <= r.score <= 1 for r in got)
+    order = [r.p for r in sorted(got, key=lambda r: r.score)]
+    assert order == sorted(order)
+    # Calibrated on rows that the model has not seen, the mean is close to the share of positives.
+    assert abs(sum(r.p for r in got) - sum(r.label for r in got)) < 20

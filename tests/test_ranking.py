@@ -112,3 +112,17 @@ def test_confusion_and_report(spark):
     assert report["accuracy"]["f1"] == 0.6 and report["1"]["support"] == 2
     nobody = {r["class"]: r for r in th.class_report(rows, 2.0).collect()}
     assert nobody["1"]["precision"] == 0.0
+
+
+@pytest.mark.parametrize("by", [[], ["k"]])
+def test_unreachable_recall_falls_back_to_a_quantile(spark, by):
+    rng = np.random.default_rng(4)
+    scores = {"a": np.round(rng.normal(size=700), 1), "b": np.array([3.0]), "c": rng.normal(size=50)}
+    rows = [(k, float(v), int(k == "c" and i == 0)) for k, x in scores.items() for i, v in enumerate(x)]
+    if not by:
+        rows = [r for r in rows if r[0] == "a"]
+    points = rk.operating_points(spark.createDataFrame(rows, "k string, score double, label int"), by=by)
+    got = {r["k"] if by else "a": r for r in th.at_recall(points, 0.9, by=by).collect()}
+    assert got["a"]["threshold"] == pytest.approx(np.percentile(scores["a"], 99.9)) and got["a"]["recall"] is None
+    if by:
+        assert got["b"]["threshold"] == 3.0 and got["c"]["threshold"] == scores["c"][0] and got["c"]["recall"] == 1.0

@@ -106,23 +106,24 @@ def fold_of(key: str, folds: int = 3, seed: int = 42):
 def sigmoid_calibrated(
     train: DataFrame, rows: DataFrame, key: str, features: Sequence[str], keep: Sequence[str], folds: int = 3
 ) -> DataFrame:
-    """Sigmoid calibration on out-of-fold scores; rows get the calibrated mean of the fold models."""
+    """Sigmoid calibration per fold: each fold has a model of the others and a calibrator on its own scores.
+
+    ``p`` is the mean of the calibrated scores of all folds, ``score`` the mean of their plain scores.
+    """
     folded = train.withColumn("fold", fold_of(key, folds))
-    held_out, models = None, []
+    assemble = VectorAssembler(inputCols=["score"], outputCol="features")
+    scored = rows
     for k in range(folds):
         model = fit(with_class_weight(folded.where(F.col("fold") != k)), feature_stages(features), balanced_logistic())
-        models.append(model)
-        part = score(model, folded.where(F.col("fold") == k), ["label"])
-        held_out = part if held_out is None else held_out.unionByName(part)
-    assemble = VectorAssembler(inputCols=["score"], outputCol="features")
-    calibrator = Pipeline(stages=[assemble, LogisticRegression(labelCol="label")]).fit(held_out)
+        held_out = score(model, folded.where(F.col("fold") == k), ["label"])
+        calibrator = Pipeline(stages=[assemble, LogisticRegression(labelCol="label")]).fit(held_out)
+        names = list(scored.columns)
+        scored = score(calibrator, score(model, scored, names), [*names, F.col("score").alias(f"_m{k}")], f"_p{k}")
 
-    scored = rows
-    for k, model in enumerate(models):
-        names = [c for c in scored.columns]
-        scored = score(model, scored, names, f"_m{k}")
-    mean = sum((F.col(f"_m{k}") for k in range(1, folds)), F.col("_m0")) / folds
-    return score(calibrator, scored.withColumn("score", mean), [*keep, "score"], "p")
+    def mean(prefix: str):
+        return sum((F.col(f"{prefix}{k}") for k in range(1, folds)), F.col(f"{prefix}0")) / folds
+
+    return scored.select(*keep, mean("_m").alias("score"), mean("_p").alias("p"))
 
 
 def multi_seed(

@@ -172,9 +172,22 @@ def stratified_sample(
     return keyed.withColumn("tier", tier).where("tier is not null").drop("_u")
 
 
-def split_restore(base: DataFrame, sidecar: DataFrame, keys: Sequence[str], out: str = "split", default: str = "train") -> DataFrame:
-    """Attach the saved split by key; rows without one go to ``default``."""
-    saved = sidecar.groupBy(*keys).agg(F.min(out).alias(out))
+def split_restore(
+    base: DataFrame,
+    sidecar: DataFrame,
+    keys: Sequence[str],
+    out: str = "split",
+    default: str = "train",
+    order: Sequence[str] = ("test", "val", "train"),
+) -> DataFrame:
+    """Attach the saved split by key; rows without one go to ``default``.
+
+    A key that was saved with several splits gets the one that comes first in ``order``, so that what was ever tested is not
+    trained on; other names come last, by name.
+    """
+    place = F.array_position(F.array(*[F.lit(s) for s in order]), F.col(out))
+    ranked = F.struct(F.when(place == 0, len(order) + 1).otherwise(place).alias("place"), F.col(out).alias("name"))
+    saved = sidecar.where(F.col(out).isNotNull()).groupBy(*keys).agg(F.min(ranked)["name"].alias(out))
     return base.drop("split", "subset").join(saved, list(keys), "left").withColumn(out, F.coalesce(out, F.lit(default)))
 
 

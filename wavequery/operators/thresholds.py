@@ -96,11 +96,31 @@ def constrained(
     return out.select(*by, *columns)
 
 
-def at_recall(points: DataFrame, recall: float, by: Sequence[str] = ()) -> DataFrame:
-    """Highest threshold whose recall reaches the target."""
+def at_recall(points: DataFrame, recall: float, by: Sequence[str] = (), fallback: float = 0.999) -> DataFrame:
+    """Highest threshold whose recall reaches the target.
+
+    Where none does, as without positives, it is the ``fallback`` quantile of the scores, linear between neighbours; its recall
+    and precision are null.
+    """
+    by = list(by)
+    upto = F.col("tp") + F.col("fp")
     reached = F.when(F.col("tpr") >= F.lit(float(recall)), F.struct("threshold", "tpr", "precision"))
-    return points.groupBy(*by).agg(F.max(reached).alias("b")).select(
-        *by, "b.threshold", F.col("b.tpr").alias("recall"), "b.precision"
+    found = points.groupBy(*by).agg(F.max(reached).alias("b"), F.max(upto).alias("_n"))
+    if by:
+        sized = points.join(found.select(*by, "_n"), by)
+    else:
+        sized = points.withColumn("_n", found.select("_n").scalar())
+    # ``upto`` counts from the highest score down: element i from below is the first to have n - i rows.
+    position = F.lit(float(fallback)) * (F.col("_n") - 1)
+    at = [F.max(F.when(upto >= F.col("_n") - i, F.col("threshold"))) for i in (F.floor(position), F.ceil(position))]
+    part = F.max(position - F.floor(position))
+    quantile = sized.groupBy(*by).agg((at[0] + part * (at[1] - at[0])).alias("_q"))
+    if by:
+        found = found.join(quantile, by)
+    else:
+        found = found.withColumn("_q", quantile.scalar())
+    return found.select(
+        *by, F.coalesce("b.threshold", "_q").alias("threshold"), F.col("b.tpr").alias("recall"), "b.precision"
     )
 
 

@@ -15,6 +15,7 @@ from wavequery.plans.split_sql import hash_subset
 from wavequery.session import cut_lineage, scratch_path
 
 FEATURES = ["snr_rms", "snr_peak", "crest_factor", "n"]
+STACK_TREES = 100
 KEEP = ["file_id", "start_us", "label", "subset"]
 
 
@@ -40,7 +41,7 @@ def _rounded(df, *columns):
 @query("gbt_scores")
 def gbt_scores(spark, sf_dir):
     train, rest = _parts(labelled_windows(spark, sf_dir))
-    model = md.fit(train, md.feature_stages(FEATURES), md.boosted_trees(trees=5, depth=4, rate=0.3))
+    model = md.fit(train, md.feature_stages(FEATURES), md.boosted_trees())
     stored = md.save_and_load(model, scratch_path(spark, "model"))
     return _rounded(md.score(stored, rest, KEEP), "score")
 
@@ -55,14 +56,14 @@ def logreg_scores(spark, sf_dir):
 @query("forest_scores")
 def forest_scores(spark, sf_dir):
     train, rest = _parts(labelled_windows(spark, sf_dir))
-    learner = md.forest(trees=10, depth=5)
+    learner = md.forest()
     return _rounded(md.score(md.fit(md.with_class_weight(train), md.feature_stages(FEATURES), learner), rest, KEEP), "score")
 
 
 @query("stacked_scores")
 def stacked_scores(spark, sf_dir):
     train, rest = _parts(labelled_windows(spark, sf_dir))
-    out = md.stacked(train, rest, ["snr_rms", "n"], FEATURES, KEEP, trees=5, depth=4)
+    out = md.stacked(train, rest, ["snr_rms", "n"], FEATURES, KEEP, trees=STACK_TREES, depth=6)
     return _rounded(out, "score1", "score2")
 
 
