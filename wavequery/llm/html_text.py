@@ -44,28 +44,33 @@ HOLDS = frozenset("html body div article main section table tr td th ul ol li dl
 ASIDE = frozenset(
     "ad ads adv advert adverts advertisement sponsor sponsored promo banner cookie cookies consent gdpr notice alert "
     "comment comments disqus sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead share sharing social "
-    "related recommended newsletter subscribe subscription popup modal overlay toolbar pagination pager widget".split()
+    "related recommended newsletter subscribe subscription popup modal overlay toolbar pagination pager widget "
+    "responses replies".split()
 )
+COMMENTS = frozenset("comment comments disqus responses replies".split())
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form".split())
 
-APART = 5
+FEW_LINKS = 5  # of a list that belongs to the paragraph before it
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)[^>]*>",
-    re.S,
-)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_QUOTED = re.compile(r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 _RAW_END = {tag: re.compile(rf"</{tag}(?:[\s/][^>]*)?>", re.I) for tag in RAW}
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
-_PART = re.compile(r"[A-Za-z]+")
+_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")  # camelCase counts as several words
+_BARRIERS = HOLDS | CLOSED_BY.keys() | {"p"}
 
 
 class Block:
     """An element that counts: a block, or a link."""
 
-    __slots__ = ("aside", "chars", "children", "density", "dropped", "linked", "links", "parent", "parts", "peak", "sum", "tag", "tags")
+    __slots__ = (
+        "aside", "chars", "children", "density", "dropped", "follows", "linked", "links", "parent", "parts", "peak", "remarks", "sum", "tag", "tags"
+    )
 
-    def __init__(self, tag: str, parent: Block | None, dropped: bool, aside: bool = False):
+    def __init__(self, tag: str, parent: Block | None, dropped: bool, aside: bool = False, remarks: bool = False):
         self.tag, self.parent, self.dropped, self.aside = tag, parent, dropped, aside
+        self.remarks = remarks  # set aside as reader comments
+        self.follows = False  # stands behind a paragraph
         self.children: list[Block] = []
         self.parts: list[str | Block] = []  # text and blocks, in page order
         self.chars = self.tags = self.linked = self.links = 0
@@ -73,69 +78,151 @@ class Block:
         self.peak = self
 
 
-def _set_aside(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
-    """Whether an element never holds text, and whether it is set aside unless it holds the article."""
+def _set_aside(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, bool]:
+    """Whether an element never holds text, whether it is set aside unless it holds the article, and whether as comments."""
     if tag in NEVER or tag == "header" and not inside:
-        return True, False
+        return True, False, False
     aside = tag == "form"
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False, aside
+        return False, aside, False
     found: dict[str, str] = {}
     for name, *values in _ATTRIBUTE.findall(attributes):
-        found.setdefault(name.lower(), "".join(values).lower())
-    if "hidden" in found or found.get("aria-hidden") == "true":
-        return True, False
-    words = _PART.findall(f"{found.get('class', '')} {found.get('id', '')}")
-    return False, aside or found.get("role") in ROLES or not ASIDE.isdisjoint(words)
+        found.setdefault(name.lower(), "".join(values))
+    if "hidden" in found or found.get("aria-hidden", "").lower() == "true":
+        return True, False, False
+    words = {w.lower() for w in _PART.findall(f"{found.get('class', '')} {found.get('id', '')}")}
+    named = found.get("role", "").lower() in ROLES or not ASIDE.isdisjoint(words)
+    return False, aside or named, not COMMENTS.isdisjoint(words)
+
+
+def _tokens(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Begin, end, tag, whether it is an end tag, and attributes; tags are empty for comments and declarations.
+
+    Each character is looked at a bounded number of times: behind the last ``>`` nothing is a tag, and once the quotes of a
+    tag do not close, quotes count no longer. The receiver may send the place to go on from.
+    """
+    last, at, quotes = page.rfind(">"), 0, True
+    while 0 <= (begin := page.find("<", at)):
+        if page.startswith("<!--", begin):
+            end = page.find("-->", begin + 4)
+            at = end + 3 if end >= 0 else len(page)
+            yield begin, at, "", False, ""
+            continue
+        if begin > last:
+            return
+        if page.startswith(("<!", "<?"), begin):
+            at = page.find(">", begin) + 1
+            yield begin, at, "", False, ""
+            continue
+        name = _NAME.match(page, begin)
+        if not name:
+            at = begin + 1
+            continue
+        rest = _QUOTED.match(page, name.end()) if quotes else None
+        if rest:
+            attributes, at = rest[1], rest.end()
+        else:
+            quotes = False
+            at = page.find(">", name.end()) + 1
+            if not at:
+                return
+            attributes = page[name.end() : at - 1]
+        further = yield begin, at, name[2].lower(), name[1] == "/", attributes
+        if further is not None:
+            at = further
+
+
+class _Open:
+    """The open elements, with what must be known about them without looking through all."""
+
+    def __init__(self, root: Block):
+        self.items = [("#page", root)]
+        self.depths: dict[str, list[int]] = {}  # of the open elements of each name
+        self.blocks = [0]  # elements up to each depth that are not inline
+        self.barriers: list[int] = []  # depths of elements that end, or keep, what is implied
+
+    def push(self, tag: str, block: Block) -> None:
+        depth = len(self.items)
+        self.items.append((tag, block))
+        self.depths.setdefault(tag, []).append(depth)
+        self.blocks.append(self.blocks[-1] + (tag not in INLINE))
+        if tag in _BARRIERS:
+            self.barriers.append(depth)
+
+    def cut(self, depth: int) -> None:
+        """Close everything from ``depth`` on."""
+        while len(self.items) > depth:
+            tag, _ = self.items.pop()
+            self.depths[tag].pop()
+            self.blocks.pop()
+        while self.barriers and self.barriers[-1] >= depth:
+            self.barriers.pop()
+
+    def end(self, tag: str) -> None:
+        """An end tag; that of an inline element does not reach over blocks."""
+        held = self.depths.get(tag)
+        if held and not (tag in INLINE and self.blocks[-1] > self.blocks[held[-1]]):
+            self.cut(held[-1])
+
+    def imply(self, tag: str) -> None:
+        """Close what a block start tag ends: a paragraph, and items of the same kind."""
+        if self.barriers:
+            depth = self.barriers[-1]
+            name = self.items[depth][0]
+            if name == "p" or tag in CLOSED_BY.get(name, ()):
+                self.cut(depth)
+
+    def within(self, *tags: str) -> bool:
+        return any(self.depths.get(t) for t in tags)
 
 
 def tree(page: str) -> list[Block]:
     """The blocks of a page, parents before children, also those that are set aside; the first is the page."""
     root = Block("#page", None, False)
-    blocks, open_, at = [root], [("#page", root)], 0
+    blocks, open_, at = [root], _Open(root), 0
 
     def text(data: str) -> None:
-        block = open_[-1][1]
+        block = open_.items[-1][1]
         if data and not block.dropped:
             block.parts.append(data)
 
-    while token := _TOKEN.search(page, at):
-        tag = (token[2] or token[5] or "").lower()
-        closing = (token[1] or token[4]) == "/"
-        text(page[at : token.start()])
-        at = token.end()
+    tokens, further = _tokens(page), None
+    while True:
+        try:
+            begin, end, tag, closing, attributes = tokens.send(further)
+        except StopIteration:
+            break
+        further = None
+        text(page[at:begin])
+        at = end
         if not tag:
             continue
         if closing:
-            names = [n for n, _ in open_]
-            if tag in names[1:]:
-                depth = len(names) - 1 - names[::-1].index(tag)
-                if tag in INLINE and any(n not in INLINE for n in names[depth + 1 :]):
-                    continue
-                del open_[depth:]
+            open_.end(tag)
             continue
         if tag in VOID:
             text(" ")
             continue
         if tag not in INLINE:
-            _end_implied(open_, tag)
-        parent = open_[-1][1]
+            open_.imply(tag)
+        parent = open_.items[-1][1]
         if tag in INLINE and tag != "a":
-            never, aside = _set_aside(tag, token[3], True) if token[3] else (False, False)
-            block = Block(tag, parent, parent.dropped or never, aside) if never or aside else parent
+            never, *aside = _set_aside(tag, attributes, True) if attributes else (False, False, False)
+            block = Block(tag, parent, parent.dropped or never, *aside) if never or aside[0] else parent
         else:
-            inside = any(n in ("article", "main") for n, _ in open_)
-            never, aside = _set_aside(tag, token[3] or "", inside)
-            block = Block(tag, parent, parent.dropped or never, aside)
+            never, *aside = _set_aside(tag, attributes, open_.within("article", "main"))
+            block = Block(tag, parent, parent.dropped or never, *aside)
         if block is not parent and not block.dropped:
+            before = parent.children[-1] if parent.children else None
+            block.follows = before is not None and (before.tag == "p" or before.aside and before.follows)
             parent.children.append(block)
             parent.parts.append(block)
             blocks.append(block)
         if tag in RAW:  # nothing in it is a tag but its own end
-            end = _RAW_END[tag].search(page, at)
-            at = end.end() if end else len(page)
-        elif not (token[3] or "").endswith("/"):
-            open_.append((tag, block))
+            close = _RAW_END[tag].search(page, at)
+            at = further = close.end() if close else len(page)
+        elif not attributes.endswith("/"):
+            open_.push(tag, block)
     text(page[at:])
     return blocks
 
@@ -144,8 +231,8 @@ def without_asides(blocks: list[Block]) -> list[Block]:
     """The blocks that count, in ``blocks`` from ``tree``; what is set aside is taken out of its parent.
 
     A block that is set aside by its name, its role or as a form counts all the same if it holds the block with the
-    largest sum or most of the page's plain text: it is a wrapper then. Long comments are no wrapper: it stays out
-    if an ``article`` or ``main`` element has at least a part of ``1 / APART`` as much plain text besides.
+    largest sum or most of the page's plain text: it is a wrapper then. It is none if an ``article`` or ``main`` element has plain
+    text besides; comments are none if a paragraph has.
     """
     if not any(b.aside for b in blocks):
         return blocks
@@ -158,15 +245,16 @@ def without_asides(blocks: list[Block]) -> list[Block]:
     for block in blocks:
         above[id(block)] = block if block.aside or block.parent is None else above[id(block.parent)]
     free: dict[int, int] = {}  # plain text below, without what is set aside there
-    besides: dict[int, int] = {}  # most of it in an article or main, by the nearest block set aside
+    besides: set[int] = set()  # the nearest blocks set aside around an article or main with plain text
+    prose: set[int] = set()  # those around a paragraph with plain text
     for block in reversed(blocks):
         below = sum(free[id(c)] for c in block.children if not c.aside)
         free[id(block)] = 0 if block.tag == "a" else block.chars - sum(c.chars for c in block.children) + below
-        if block.tag in ("article", "main"):
-            near = id(above[id(block)])
-            besides[near] = max(besides.get(near, 0), free[id(block)])
+        if free[id(block)] and block.tag in ("article", "main", "p"):
+            (prose if block.tag == "p" else besides).add(id(above[id(block)]))
     total = blocks[0].chars - blocks[0].linked
     out: set[int] = set()
+    changed: dict[int, Block] = {}
     for block in blocks:
         if block.parent is None:
             continue
@@ -174,27 +262,16 @@ def without_asides(blocks: list[Block]) -> list[Block]:
             out.add(id(block))
         elif block.aside:
             plain, near = block.chars - block.linked, id(above[id(block.parent)])
-            apart = besides.get(near, 0)
-            if (id(block) in path or 2 * plain > total) and APART * apart < plain:
-                besides[id(block)] = max(besides.get(id(block), 0), apart)
-            else:
+            apart = near in besides or block.remarks and near in prose
+            if apart or not (id(block) in path or 2 * plain > total):
                 out.add(id(block))
-                block.parent.children = [c for c in block.parent.children if c is not block]
-                block.parent.parts = [p for p in block.parent.parts if p is not block]
+                changed[id(block.parent)] = block.parent
+    for block in changed.values():
+        block.children = [c for c in block.children if id(c) not in out]
+        block.parts = [p for p in block.parts if isinstance(p, str) or id(p) not in out]
     return [b for b in blocks if id(b) not in out]
 
 
-def _end_implied(open_: list[tuple[str, Block]], tag: str) -> None:
-    """Close what a block start tag ends: a paragraph, and items of the same kind."""
-    for depth in range(len(open_) - 1, 0, -1):
-        name = open_[depth][0]
-        if name == "p" or tag in CLOSED_BY.get(name, ()):
-            del open_[depth:]
-            return
-        if name in HOLDS or name in CLOSED_BY:
-            return
-
-
 def _density(chars: int, tags: int, linked: int, links: int, share: float) -> float:
     if not chars:
         return 0.0
@@ -223,7 +300,10 @@ def weigh(blocks: list[Block]) -> None:
 
 
 def _link_list(block: Block, threshold: float) -> bool:
-    return block.density < threshold and block.links > 1 and 2 * block.linked > block.chars
+    """Whether a block is a list of links; a short one that follows a paragraph, such as its sources, is not."""
+    if not (block.density < threshold and block.links > 1 and 2 * block.linked > block.chars):
+        return False
+    return not (block.follows and block.links <= FEW_LINKS and block.tag in ("ul", "ol", "dl"))
 
 
 def _lines(page: Block, taken: set[int], bounds: set[int], threshold: float, least: float) -> Iterator[str]:
@@ -274,6 +354,10 @@ def extract(page: str) -> str:
     blocks = without_asides(tree(page))
     weigh(blocks)
     best = blocks[0].peak
+    if best.tag in ("#page", "html", "body"):  # an article is there, however short
+        held = [b for b in blocks if b.tag in ("article", "main") and b.chars > b.linked]
+        best = max(held, key=lambda b: b.chars - b.linked, default=best)
+        best = best.peak if best.peak.sum else best
     path, holder = [], None
     block: Block | None = best
     while block is not None:
@@ -282,7 +366,12 @@ def extract(page: str) -> str:
             holder = holder or block
         block = block.parent
     threshold = min((b.density for b in path if b.tag not in ("#page", "html")), default=0.0)
-    bounds = {id(b) for b in blocks if b.tag in ("article", "main")} if holder else set()
+    bounds: set[int] = set()
+    if holder:  # articles beside this one, or in the same main element
+        mains = [b for b in path if b.tag == "main"]
+        around = mains[-1] if mains else holder.parent
+        near = [around, *around.children] if mains else around.children
+        bounds = {id(holder), *(id(b) for b in near if b.tag in ("article", "main"))}
     within = set(bounds)
     for block in blocks:  # parents first
         if block.parent is not None and id(block.parent) in within:
