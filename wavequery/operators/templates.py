@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wavequery.functions.arrays import rolled
+
 EPS = 1e-12
 BLOCK_BYTES = 64 * 1024**2
 
@@ -459,30 +461,65 @@ def injected_score(amplitude: float, max_shift: int, lag_step: int):
     return score
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once per row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _unit(digest: Column, part: int) -> Column:
+    """Part 0, 1, 2 or 3 of a digest as a fraction of 2^32."""
+    return F.conv(F.substring(digest, 1 + 8 * part, 8), 16, 10).cast("double") / F.lit(2.0**32)
+
+
+def _mean(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda total, v: total + v) / F.size(values)
+
+
+def _energy(values: Column) -> Column:
+    return _mean(F.transform(values, lambda v: v * v))
+
+
 def augmented(max_shift: int = 0, noise: float = 0.0, dropout: float = 0.0, snr: float | None = None, seed: int = 42):
     """A function of (key, wave) columns: roll, noise, dropout and standardization.
 
-    The generator is seeded by the key, so a row gets the same result wherever it runs.
-    ``snr`` adds noise whose RMS is that of the wave divided by ``snr``.
+    Random numbers are counted, not drawn: sample ``i`` of a row has the digest of seed, key and ``i``, which gives two normal
+    values (Box and Muller's pair) and one uniform. So a row gets the same result wherever it runs, from column expressions
+    alone. ``snr`` adds noise whose RMS is that of the wave divided by ``snr``. A null wave stays null, an empty one stays empty.
     """
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def augment(keys: pd.Series, waves: pd.Series) -> pd.Series:
-        out = []
-        for key, wave in zip(keys, waves):
-            rng = np.random.default_rng([seed, int(key)])
-            x = np.asarray(wave, dtype=np.float64)
-            if max_shift:
-                x = np.roll(x, rng.integers(-max_shift, max_shift + 1))
+    def augment(key: Column | str, wave: Column | str) -> Column:
+        key = F.col(key) if isinstance(key, str) else key
+        wave = (F.col(wave) if isinstance(wave, str) else wave).cast("array<double>")
+        name = F.concat(F.lit(f"{seed}|"), key.cast("string"), F.lit("|"))
+
+        def changed(x: Column, digests: Column) -> Column:
+            radius = lambda d: F.sqrt(F.lit(-2.0) * F.log(_unit(d, 0) + 2.0**-33))
+            angle = lambda d: F.lit(2.0 * math.pi) * _unit(d, 1)
             if noise:
-                x = x + rng.normal(0.0, noise, len(x))
+                x = F.zip_with(x, digests, lambda v, d: v + F.lit(noise) * radius(d) * F.cos(angle(d)))
             if snr:
-                g = rng.normal(0.0, 1.0, len(x))
-                g /= np.sqrt(np.mean(g**2)) + EPS
-                x = x + g * (np.sqrt(np.mean(x**2) + EPS) / snr)
+                normal = F.transform(digests, lambda d: radius(d) * F.sin(angle(d)))
+                x = _bound(
+                    x,
+                    lambda x: _bound(
+                        normal,
+                        lambda g: _bound(
+                            F.sqrt(_energy(x) + EPS) / snr / (F.sqrt(_energy(g)) + EPS),
+                            lambda scale: F.zip_with(x, g, lambda v, w: v + w * scale),
+                        ),
+                    ),
+                )
             if dropout:
-                x = np.where(rng.random(len(x)) < dropout, 0.0, x)
-            out.append((x - x.mean()) / (x.std() + EPS))
-        return pd.Series(out)
+                x = F.zip_with(x, digests, lambda v, d: F.when(_unit(d, 2) < dropout, 0.0).otherwise(v))
+            centred = _bound(x, lambda x: _bound(_mean(x), lambda m: F.transform(x, lambda v: v - m)))
+            return _bound(centred, lambda x: _bound(F.sqrt(_energy(x)) + EPS, lambda s: F.transform(x, lambda v: v / s)))
+
+        start = wave
+        if max_shift:
+            shift = F.floor(_unit(F.md5(F.concat(name, F.lit("shift"))), 0) * (2 * max_shift + 1)).cast("int") - max_shift
+            start = _bound(wave, lambda w: rolled(w, shift))
+        numbered = F.transform(F.sequence(F.lit(0), F.size(wave) - 1), lambda i: F.md5(F.concat(name, i.cast("string"))))
+        done = _bound(numbered, lambda digests: changed(start, digests))
+        return F.when(F.size(wave) > 0, done).otherwise(wave)
 
     return augment

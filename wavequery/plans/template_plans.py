@@ -252,11 +252,36 @@ def injection_summary(scored):
     return out.select("trials", *[F.round(c, 6).alias(c) for c in ("median_score", "best", "recall")])
 
 
-@query("augment")
+def unit_of(digest: str, part: int) -> str:
+    return f"(CAST('0x' || substr({digest}, {1 + 8 * part}, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
+
+
+AUGMENT_SQL = f"""{si.WAVES_SQL},
+moved AS (SELECT window_id, wave, len(wave) AS n, CAST(floor({unit_of("md5('42|' || window_id || '|shift')", 0)} * 11) AS BIGINT) - 5 AS k FROM wave_windows),
+steps AS (SELECT window_id, n, i, wave[1 + (i - k + n) % n] AS x, md5('42|' || window_id || '|' || i) AS d FROM (SELECT *, unnest(range(0, n)) AS i FROM moved)),
+pairs AS (SELECT *, sqrt(-2.0::DOUBLE * ln({unit_of('d', 0)} + pow(2.0::DOUBLE, -33))) AS r, 2 * pi() * {unit_of('d', 1)} AS a, {unit_of('d', 2)} AS u FROM steps),
+noisy AS (SELECT *, x + 0.05::DOUBLE * r * cos(a) AS y, r * sin(a) AS g FROM pairs),
+scaled AS (SELECT *, y + g * sqrt(avg(y * y) OVER w + 1e-12) / 10 / (sqrt(avg(g * g) OVER w) + 1e-12) AS z FROM noisy WINDOW w AS (PARTITION BY window_id)),
+dropped AS (SELECT *, CASE WHEN u < 0.02::DOUBLE THEN 0.0 ELSE z END AS v FROM scaled),
+final AS (SELECT window_id, i, (v - avg(v) OVER w) / (stddev_pop(v) OVER w + 1e-12) AS z FROM dropped WINDOW w AS (PARTITION BY window_id))
+"""
+
+
+# The rounded sum of a standardized wave is 0; the samples at three places stand for the rest.
+@query(
+    "augment",
+    f"""WITH {AUGMENT_SQL} SELECT window_id, round(sum(z * (i + 1)), 4) + 0.0 AS moment, round(max(z), 6) AS top, round(min(z), 6) AS low,
+  round(any_value(z) FILTER (i = 0), 6) + 0.0 AS head FROM final GROUP BY window_id""",
+)
 def augment(spark, sf_dir):
     windows = si.wave_windows(spark, sf_dir)
     changed = tp.augmented(max_shift=5, noise=0.05, dropout=0.02, snr=10.0)("window_id", "wave")
-    return _array_stats(windows.select("window_id", changed.alias("z")))
+    rows = windows.select("window_id", changed.alias("z"))
+    moment = F.aggregate(F.transform("z", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+    return rows.select(
+        "window_id", (F.round(moment, 4) + 0.0).alias("moment"), F.round(F.array_max("z"), 6).alias("top"),
+        F.round(F.array_min("z"), 6).alias("low"), (F.round(F.get("z", F.lit(0)), 6) + 0.0).alias("head"),
+    )
 
 
 # The full grid of the sweep: mass ranges, bank sizes, subsampling and pooling.
