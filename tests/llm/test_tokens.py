@@ -83,6 +83,44 @@ def test_packing_edge_cases(spark):
     assert packing.packed(frame(spark, EDGE).limit(0), BYTES).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_most_tails_are_in_windows_that_the_rule_filled(seed):
+    """A stream of 1,250 documents, as in one of 8 partitions of the largest test table."""
+    rnd, packer, placed, total = random.Random(seed), packing.Packer(most_open=packing.MOST_OPEN), 0, 0
+    for n in range(1250):
+        size = rnd.randrange(1, 1024) if rnd.random() < 0.7 else rnd.randrange(1, 90)
+        total += size
+        full = packer.place(((n, size), 0, np.full(size, n, np.uint32)))
+        for window in full:
+            assert sum(len(ids) for _, _, ids in window) == packing.WINDOW
+            placed += packing.WINDOW
+        assert packer.count == sum(map(len, packer.open)) == packer.level.sum() <= packing.MOST_OPEN + 1
+    poured = list(packer.pour())
+    assert placed + sum(len(ids) for window in poured for _, _, ids in window) == total
+    assert placed >= 0.97 * total
+
+
+def test_cuts_follow_the_rule_too():
+    packer, rnd, cuts = packing.Packer(64, 5), random.Random(3), 0
+    for n in range(400):
+        before, count = packer.level.copy(), packer.count
+        size = rnd.randrange(1, 64)
+        full = packer.place(("d", n, np.zeros(size, np.uint32)))
+        if count < 5 or len(full) != 1:
+            continue
+
+        def cost(h):
+            level = before.copy()
+            level[h] -= h > 0
+            at = h + size if h + size <= 64 else h + size - 64
+            level[at] += at < 64
+            return int((level[1:64] ** 2).sum())
+
+        cuts += 1
+        assert int((packer.level[1:64] ** 2).sum()) <= min(cost(h) for h in range(1, 64) if before[h])
+    assert cuts > 100
+
+
 def test_packer_takes_the_level_of_least_squares():
     packer, rnd = packing.Packer(16), random.Random(2)
     for n in range(300):

@@ -2,7 +2,8 @@
 
 A window is full or open; ``level[h]`` counts the open windows filled up to ``h``. The tail of a
 document goes on the level where the sum of squared counts becomes least, so levels
-that complement each other stay in balance. Whole windows of a long document are full at once.
+that complement each other stay in balance. Whole windows of a long document are full at once. Once ``MOST_OPEN`` windows are
+open, a tail may also be cut to fill one, chosen by the same rule.
 
 Each task packs the documents of its partition as one stream, without a shuffle. At its end the open
 windows are poured together: they are cut again at the window size, and the rest at powers of two,
@@ -23,6 +24,7 @@ from wavequery.llm import byte_tokens
 
 WINDOW = 1024
 END_ID = 0  # closes each document
+MOST_OPEN = 16  # windows that a stream holds open before it cuts documents to fill one
 PIECES = 20_000  # rows of one result batch
 
 SCHEMA = (
@@ -36,28 +38,52 @@ NAMES = [f.split()[0] for f in SCHEMA.split(", ")]
 class Packer:
     """Open windows of one stream. A piece is ``(document, start, ids)``."""
 
-    def __init__(self, window: int = WINDOW):
-        self.window = window
+    def __init__(self, window: int = WINDOW, most_open: int | None = None):
+        self.window, self.most_open = window, most_open
         self.open: list[list[list[tuple]]] = [[] for _ in range(window + 1)]
         self.level = np.zeros(window + 1, np.int64)
+        self.count = 0
 
-    def place(self, piece: tuple) -> list[tuple] | None:
-        """Add a piece shorter than a window; the pieces of the window that it fills, if it does."""
+    def _lost(self, below: np.ndarray) -> np.ndarray:
+        """Change of the sum of squares where a window leaves its level; a new window leaves none."""
+        return np.where(below > 0, 1 - 2 * self.level[below], 0)
+
+    def _won(self, above: np.ndarray) -> np.ndarray:
+        """Change where a window comes to a level; neither a full nor an empty window counts."""
+        return np.where((above > 0) & (above < self.window), 1 + 2 * self.level[above], 0)
+
+    def place(self, piece: tuple) -> list[list[tuple]]:
+        """Add a piece shorter than a window; the windows that it fills.
+
+        With ``most_open`` windows open, if that is given, a piece may also be cut where it overshoots a window: that is then full, and
+        the rest is placed as a piece of its own.
+        """
         size = len(piece[2])
-        below = np.concatenate([[0], 1 + np.flatnonzero(self.level[1 : self.window - size + 1])])
-        above = below + size
-        # Squares lost where the window was and won where it comes to be; neither a new nor a full window counts.
-        change = np.where(below > 0, 1 - 2 * self.level[below], 0)
-        change += np.where(above < self.window, 1 + 2 * self.level[above], 0)
-        best = below[len(below) - 1 - np.argmin(change[::-1])]
+        room = self.window - size
+        fits = np.concatenate([[0], 1 + np.flatnonzero(self.level[1 : room + 1])])
+        change = self._lost(fits) + self._won(fits + size)
+        at = len(fits) - 1 - int(np.argmin(change[::-1]))
+        best, least = int(fits[at]), change[at]
+        if self.most_open is not None and self.count >= self.most_open:
+            over = room + 1 + np.flatnonzero(self.level[room + 1 : self.window])
+            if len(over):
+                cut = self._lost(over) + self._won(over + size - self.window)
+                at = len(over) - 1 - int(np.argmin(cut[::-1]))
+                # At the limit a new window is no choice.
+                if cut[at] < least or best == 0:
+                    best = int(over[at])
         held = self.open[best].pop() if best else []
         self.level[best] -= best > 0
-        held.append(piece)
-        if best + size == self.window:
-            return held
-        self.open[best + size].append(held)
-        self.level[best + size] += 1
-        return None
+        self.count -= best > 0
+        take = min(size, self.window - best)
+        doc, start, ids = piece
+        held.append((doc, start, ids[:take]))
+        if best + take < self.window:
+            self.open[best + take].append(held)
+            self.level[best + take] += 1
+            self.count += 1
+            return []
+        return [held] if take == size else [held, *self.place((doc, start + take, ids[take:]))]
 
     def pour(self) -> Iterator[list[tuple]]:
         """Windows of what is still open: full ones, then lengths of powers of two."""
@@ -76,7 +102,7 @@ class Packer:
 
 def _pack(path: str, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, sequence = Packer(window), TaskContext.get().partitionId() << 40
+        packer, sequence = Packer(window, MOST_OPEN), TaskContext.get().partitionId() << 40
         columns: list[list[int]] = [[] for _ in range(7)]
 
         def emit(pieces: list[tuple]) -> None:
@@ -102,8 +128,7 @@ def _pack(path: str, window: int):
                 for start in range(0, whole, window):
                     emit([(doc, start, ids[start : start + window])])
                 if whole < len(ids):
-                    full = packer.place((doc, whole, ids[whole:].copy()))
-                    if full:
+                    for full in packer.place((doc, whole, ids[whole:].copy())):
                         emit(full)
                 if len(columns[0]) >= PIECES:
                     yield batch_of()
