@@ -140,6 +140,23 @@ def test_fingerprints_ignore_order_and_add_up(spark):
     assert set(got[5].wide) == {0}
 
 
+def test_paragraphs_come_and_go_in_all_lanes(spark):
+    rnd = random.Random(6)
+    made = lambda: "\n".join(". ".join(f"w{rnd.randrange(99)}" for _ in range(rnd.randrange(1, 9))) for _ in range(rnd.randrange(1, 6)))
+    pairs = [(made(), made()) for _ in range(12)] + [("", made()), (made(), "")]
+    texts = [t for a, b in pairs for t in (a, b, f"{b}\n{a}")]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    sums = multiset_hash.sums(rows, ["doc_id"]).select("doc_id", multiset_hash.fingerprint("wide", "signs").alias("f"))
+    prints = {r.doc_id: r.f for r in sums.collect()}
+    triples = [(prints[3 * i], prints[3 * i + 1], prints[3 * i + 2]) for i in range(len(pairs))] + [(None, prints[0], None)]
+    a, b, both = F.col("a"), F.col("b"), F.col("both")
+    got = spark.createDataFrame(triples, "a string, b string, both string").select(
+        multiset_hash.combined_fingerprint(a, b).eqNullSafe(both).alias("added"),
+        multiset_hash.combined_fingerprint(both, b, minus=True).eqNullSafe(a).alias("removed"),
+    )
+    assert all(r.added and r.removed for r in got.collect())
+
+
 def test_likeness_of_edited_and_next_texts(spark):
     rnd = random.Random(1)
     rows = [(i * 7, ". ".join(f"s{rnd.randrange(10**9)} x" for _ in range(40))) for i in range(60)] + [(None, None), (900, ""), (900, "")]

@@ -76,7 +76,7 @@ def _hex(value: Column, digits: int) -> Column:
     return F.lpad(F.lower(F.hex(value)), digits, "0")
 
 
-def fingerprint(wide: str, signs: str) -> Column:
+def fingerprint(wide: str | Column, signs: str | Column) -> Column:
     """The lanes as one string of hex digits."""
     return F.concat(
         F.array_join(F.transform(wide, lambda x: _hex(x, 8)), ""),
@@ -89,6 +89,27 @@ def combined(a: Column, b: Column, minus: bool = False) -> Column:
     return F.zip_with(a, b, lambda x, y: F.pmod(x - y if minus else x + y, F.lit(1 << 32)))
 
 
+def lanes(printed: Column) -> tuple[Column, Column]:
+    """The wide lanes and the signs of a fingerprint."""
+
+    def numbers(begin: int, count: int, digits: int) -> Column:
+        place = F.sequence(F.lit(0), F.lit(count - 1))
+        return F.transform(place, lambda i: F.conv(F.substring(printed, begin + i * digits, F.lit(digits)), 16, 10).cast("bigint"))
+
+    return numbers(1, WIDE, 8), F.transform(numbers(1 + 8 * WIDE, SIGNS, 4), _signed)
+
+
+def combined_fingerprint(a: Column, b: Column, minus: bool = False) -> Column:
+    """The fingerprint of a text after adding (or removing) the paragraphs of another, from both fingerprints alone.
+
+    It equals the fingerprint of the new text, in any order of its paragraphs, in all lanes. Null if either is null.
+    """
+    (wide_a, signs_a), (wide_b, signs_b) = lanes(a), lanes(b)
+    signs = F.zip_with(signs_a, signs_b, lambda x, y: _signed(x - y if minus else x + y))
+    wide = combined(wide_a, wide_b, minus)
+    return F.when(a.isNotNull() & b.isNotNull(), fingerprint(wide, signs))
+
+
 def _squares(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("bigint"), lambda total, x: total + x * x)
 
