@@ -225,7 +225,7 @@ def _column(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
 def count_pairs_by_slide(
     left: DataFrame, right: DataFrame, dt_us: int, slides: DataFrame, time: str = "t_us"
 ) -> DataFrame:
-    """Number of pairs with ``|t_left - (t_right + shift)| <= dt`` for each slide that has any.
+    """Number of pairs with ``|t_left - (t_right + shift)| <= dt`` for each slide, 0 for a slide without any.
 
     Pairs are never built: distinct times stand in sorted arrays with running counts, and a left time finds the ends of its
     partners by binary search. ``slides`` is the small table ``(slide_id, shift_us)``.
@@ -248,7 +248,9 @@ def count_pairs_by_slide(
 
     met = _chunk_pairs(counted(left), counted(right), dt_us, slides, ["n"])
     parts = met.select("l_t", "l_n", "r_t", "r_n", "slides").mapInArrow(run, "slide_id long, pairs long")
-    return parts.where("pairs > 0").groupBy("slide_id").agg(F.sum("pairs").alias("pairs"))
+    found = parts.groupBy("slide_id").agg(F.sum("pairs").alias("_found"))
+    every = slides.select("slide_id").join(found, "slide_id", "left")
+    return every.select("slide_id", F.coalesce("_found", F.lit(0).cast("long")).alias("pairs"))
 
 
 def background_scores(
