@@ -94,10 +94,10 @@ def test_most_tails_are_in_windows_that_the_rule_filled(seed):
         for window in full:
             assert sum(len(ids) for _, _, ids in window) == packing.WINDOW
             placed += packing.WINDOW
-        assert packer.count == sum(map(len, packer.open)) == packer.level.sum() <= packing.MOST_OPEN + 1
+        assert packer.count == sum(map(len, packer.open)) == packer.level.sum() <= packing.MOST_OPEN
     poured = list(packer.pour())
     assert placed + sum(len(ids) for window in poured for _, _, ids in window) == total
-    assert placed >= 0.97 * total
+    assert placed >= 0.95 * total  # the aim is 90 % at least
 
 
 def test_cuts_follow_the_rule_too():

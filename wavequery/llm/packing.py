@@ -59,19 +59,13 @@ class Packer:
         the rest is placed as a piece of its own.
         """
         size = len(piece[2])
-        room = self.window - size
-        fits = np.concatenate([[0], 1 + np.flatnonzero(self.level[1 : room + 1])])
-        change = self._lost(fits) + self._won(fits + size)
-        at = len(fits) - 1 - int(np.argmin(change[::-1]))
-        best, least = int(fits[at]), change[at]
-        if self.most_open is not None and self.count >= self.most_open:
-            over = room + 1 + np.flatnonzero(self.level[room + 1 : self.window])
-            if len(over):
-                cut = self._lost(over) + self._won(over + size - self.window)
-                at = len(over) - 1 - int(np.argmin(cut[::-1]))
-                # At the limit a new window is no choice.
-                if cut[at] < least or best == 0:
-                    best = int(over[at])
+        below = 1 + np.flatnonzero(self.level[1 : self.window])
+        if self.most_open is None or self.count < self.most_open:
+            below = np.concatenate([[0], below[below + size <= self.window]])
+        over = below + size > self.window
+        change = self._lost(below) + self._won(below + size - over * self.window)
+        # The least change; whole before cut, then the fullest.
+        best = int(below[np.lexsort((-below, over, change))[0]])
         held = self.open[best].pop() if best else []
         self.level[best] -= best > 0
         self.count -= best > 0
