@@ -178,3 +178,32 @@ def test_bank_is_row_major_and_exact(spark):
     bank = tp.template_bank(spark, 5, (3.0, 5.0), (10.0, 20.0)).orderBy("pos").collect()
     # The first five of three by three cells.
     assert [(r["m1"], r["m2"]) for r in bank] == [(3.0, 10.0), (3.0, 15.0), (3.0, 20.0), (4.0, 10.0), (4.0, 15.0)]
+
+
+def test_a_tile_bounds_the_memory_of_a_window_batch():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    batch, bank = rng.normal(size=(1000, 16)), rng.normal(size=(1500, 16))
+    lags = tp.lag_grid(16, 6, 1)
+    tracemalloc.start()
+    for tile in tp._tiles(len(batch), len(bank)):
+        x = batch[tile]
+        top, at = tp.best_lags(lambda part: tp.correlations(x, part, lags), bank, len(x), len(lags))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # All windows, templates and lags at once are 156 MB.
+    assert peak < 60e6
+    whole = tp.correlations(x, bank[-20:], lags)
+    assert np.array_equal(at[:, -20:], whole.argmax(axis=2)) and np.array_equal(top[:, -20:], whole.max(axis=2))
+
+
+def test_summaries_of_cosines_over_several_blocks(spark, data):
+    x, h = data
+    want = tp.cosine_matrix(x, h)
+    for size in (tp.BLOCK_BYTES, 8 * 48 * 4):
+        rows = tp.cosine_summaries(waves(spark, x, "window_id"), waves(spark, h, "template_id"), 0.1, size).collect()
+        got = {r.window_id: r for r in rows}
+        assert len(rows) == len(x) and all(got[i].n == 9 and got[i].above == (want[i] > 0.1).sum() for i in range(len(x)))
+        assert np.allclose([got[i].best for i in range(len(x))], want.max(axis=1))
+        assert np.allclose([got[i].mean_abs for i in range(len(x))], np.abs(want).mean(axis=1))
