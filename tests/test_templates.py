@@ -207,3 +207,20 @@ def test_summaries_of_cosines_over_several_blocks(spark, data):
         assert len(rows) == len(x) and all(got[i].n == 9 and got[i].above == (want[i] > 0.1).sum() for i in range(len(x)))
         assert np.allclose([got[i].best for i in range(len(x))], want.max(axis=1))
         assert np.allclose([got[i].mean_abs for i in range(len(x))], np.abs(want).mean(axis=1))
+
+
+def test_preselection_sends_one_partial_sum_per_task(spark, data):
+    x, h = data
+    windows = waves(spark, x, "window_id").repartition(2)
+    seen = []
+    real = tp._over_blocks
+    try:
+        tp._over_blocks = lambda *args: seen.append(real(*args)) or seen[-1]
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+        got = [r["template_id"] for r in tp.preselect(windows, waves(spark, h, "template_id"), 4).collect()]
+        rows = seen[0][0].count()
+    finally:
+        tp._over_blocks = real
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    score = np.abs(x @ h.T / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(h, axis=1))).mean(axis=0)
+    assert got == list(np.argsort(-score)[:4]) and rows == 2 * len(h)
