@@ -224,3 +224,22 @@ def test_preselection_sends_one_partial_sum_per_task(spark, data):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     score = np.abs(x @ h.T / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(h, axis=1))).mean(axis=0)
     assert got == list(np.argsort(-score)[:4]) and rows == 2 * len(h)
+
+
+def test_sweep_sends_only_templates_of_some_bank(spark, data):
+    x, h = data
+    rows = [(i, 5.0 + i % 7, 5.0 + i % 11, [float(v) for v in h[i % 9]]) for i in range(400)]
+    bank = spark.createDataFrame(rows, "template_id long, m1 double, m2 double, wave array<double>")
+    ranges = ((5.0, 8.0), (9.0, 11.0))
+    configs = tp.sweep_grid(ranges, ranges, (2, 5), (1, 2), (1, 3))
+    sent, real = [], tp.bank_blocks
+    try:
+        tp.bank_blocks = lambda bank, *args: sent.append(bank.count()) or real(bank, *args)
+        got = {(r.config_id, r.window_id): r.score for r in tp.sweep_scores(waves(spark, x, "window_id"), bank, configs).collect()}
+    finally:
+        tp.bank_blocks = real
+    assert sent[0] <= 4 * 5
+    cos = tp.cosine_matrix(x, np.array([r[3] for r in rows]))
+    for c in configs:
+        held = [r[0] for r in rows if c["m1"][0] <= r[1] <= c["m1"][1] and c["m2"][0] <= r[2] <= c["m2"][1]][: c["templates_n"]][:: c["subsample"]]
+        assert all(got[c["config_id"], w] == pytest.approx(np.sort(cos[w, held])[::-1][: c["topk"]].mean()) for w in range(len(x)))
