@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wavequery.operators import gaps, signal
 
@@ -218,3 +219,25 @@ def test_moments(spark, series):
     got = {r["file_id"]: r for r in signal.file_moments(chunks(spark, series)).collect()}
     for f, x in series.items():
         assert got[f]["mean"] == pytest.approx(x.mean()) and got[f]["std"] == pytest.approx(x.std())
+
+
+def test_best_peaks_equal_the_largest_of_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x, bank = rng.normal(size=(5, 64)), rng.normal(size=(7, 64))
+    bank[3] = 0.0
+    frame = lambda m, key: spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(m)], f"{key} long, wave array<double>")
+    windows, templates = frame(x, "window_id"), frame(bank, "template_id")
+    pairs = signal.reweighted_snr(windows, templates, 64.0, 2.0, 32, 4, 0.1)
+    want = pairs.groupBy("window_id").agg(F.max("new_snr"), F.max("snr"), F.count("*")).orderBy("window_id").collect()
+    monkeypatch.setattr("wavequery.operators.templates.BLOCK_BYTES", 8 * 64 * 4)
+    got = signal.best_reweighted_snr(windows, templates, 64.0, 2.0, 32, 4, 0.1).orderBy("window_id").collect()
+    assert [r["n"] for r in got] == [7] * 5 and np.allclose(np.array(got), np.array(want))
+
+
+def test_peaks_of_few_outputs_equal_the_whole_transform(monkeypatch):
+    rng = np.random.default_rng(7)
+    x, bank = rng.normal(size=64), rng.normal(size=(5, 64))
+    few = signal.snr_peaks(x, bank, 64.0, 2.0, 32, 4, 0.1)
+    # No transform of the length of the window is left; taking one logarithm for 0 turns the short way off.
+    monkeypatch.setattr(signal.np, "log2", lambda n: 0.0)
+    assert np.allclose(few, signal.snr_peaks(x, bank, 64.0, 2.0, 32, 4, 0.1), rtol=1e-12, atol=0)
