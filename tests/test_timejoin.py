@@ -229,3 +229,23 @@ def test_background_thresholds(spark):
     for far, threshold in got.items():
         index = min(max(int(np.ceil((1 - far) * 1000)) - 1, 0), 999)
         assert threshold == values[index]
+
+
+@pytest.mark.parametrize("rows_per_range", [5, 40, 10**6])
+def test_match_counts_by_slide_equal_matching_of_slid_copies(spark, rows_per_range):
+    rng = np.random.default_rng(rows_per_range)
+    a, b = rng.integers(0, 2_000, 150), rng.integers(-300, 1_500, 130)
+    shifts = [0, 7, 40, 333, 1_900, 10_000, *range(50, 1_500, 47)]
+    one = lambda m: spark.createDataFrame([(int(v),) for v in m] + [(None,)], "t_us long")
+    slides = spark.createDataFrame(list(enumerate(shifts)), "slide_id long, shift_us long")
+    got = {r.slide_id: r.pairs for r in tj.count_matches_by_slide(one(a), one(b), 12, slides, rows_per_range=rows_per_range).collect()}
+    assert len(got) == len(shifts)
+    for i, shift in enumerate(shifts):
+        h, l, i_h, i_l, n = np.sort(a), np.sort(b) + shift, 0, 0, 0
+        while i_h < len(h) and i_l < len(l):
+            gap = h[i_h] - l[i_l]
+            n += abs(gap) <= 12
+            i_h, i_l = i_h + (gap <= 12), i_l + (gap >= -12)
+        assert got[i] == n
+    assert {r.pairs for r in tj.count_matches_by_slide(one([]), one(b), 12, slides).collect()} == {0}
+    assert {r.pairs for r in tj.count_matches_by_slide(one(a), one([]), 12, slides).collect()} == {0}
