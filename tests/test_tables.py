@@ -252,3 +252,18 @@ def test_saved_model_scores_alike(spark):
     a = [r["score"] for r in models.score(model, rows, ["id"]).orderBy("id").collect()]
     b = [r["score"] for r in models.score(again, rows, ["id"]).orderBy("id").collect()]
     assert a == b and min(a) >= 0 and max(a) <= 1
+
+
+def test_trees_read_weighted_cells_and_every_row_counts(spark, monkeypatch):
+    rows = spark.range(6_000).select(
+        "id", (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"), (F.col("id") % 7 > 3).cast("int").alias("label")
+    )
+    seen, real = [], models.cut_lineage
+    monkeypatch.setattr(models, "cut_lineage", lambda df: seen.append(real(df)) or seen[-1])
+    model = models.fit_on_cells(rows, models.binned_stages(rows, ["a", "b"]), models.boosted_trees(3, 2))
+    cells = seen[0].agg(F.count("*").alias("n"), F.sum("weight").alias("w")).first()
+    assert cells["w"] == pytest.approx(6_000) and cells["n"] <= 35 * models.CELL_PARTS
+    again = models.save_and_load(model, scratch_path(spark, "model"))
+    got = models.score(again, rows, ["label"]).groupBy("label").agg(F.min("score").alias("lo"), F.max("score").alias("hi")).collect()
+    ends = {r["label"]: (r["lo"], r["hi"]) for r in got}
+    assert ends[0][1] < 0.5 < ends[1][0]
