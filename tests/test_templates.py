@@ -243,3 +243,15 @@ def test_sweep_sends_only_templates_of_some_bank(spark, data):
     for c in configs:
         held = [r[0] for r in rows if c["m1"][0] <= r[1] <= c["m1"][1] and c["m2"][0] <= r[2] <= c["m2"][1]][: c["templates_n"]][:: c["subsample"]]
         assert all(got[c["config_id"], w] == pytest.approx(np.sort(cos[w, held])[::-1][: c["topk"]].mean()) for w in range(len(x)))
+
+
+def test_pairs_leave_a_task_in_bounded_frames(data):
+    import pandas as pd
+
+    ids, batch = np.arange(1000), pd.DataFrame({"window_id": np.arange(300)})
+    scores = np.arange(300_000.0).reshape(300, 1000)
+    frames = list(tp._long(ids, batch, (scores, scores.astype(int)), ("score", "lag")))
+    assert max(len(f) for f in frames) <= tp.PAIR_ROWS
+    whole = pd.concat(frames)
+    assert np.array_equal(whole["score"], np.arange(300_000)) and np.array_equal(whole["lag"], np.arange(300_000))
+    assert np.array_equal(whole["window_id"] * 1000 + whole["template_id"], np.arange(300_000))
