@@ -141,6 +141,27 @@ def test_slide_thresholds_equal_the_sorted_pairs(spark, monkeypatch, chunk, at_o
     assert tj.slide_thresholds(left, right.withColumn("t", F.col("t") + 10**9), 15, slides, targets).count() == 0
 
 
+def test_work_on_slides_is_dealt_to_tasks(spark):
+    rng = np.random.default_rng(11)
+    rows = spark.createDataFrame([(int(t), float(v)) for t, v in zip(rng.integers(0, 90_000, 400), rng.integers(0, 9, 400))], "t long, score double")
+    # Equal rows are counted, so copies of the rows are no work of their own.
+    copies = rows.unionByName(rows).unionByName(rows)
+    slides = spark.createDataFrame([(k, 10 * k) for k in range(1, 201)], "slide_id long, shift_us long")
+    counted = copies.groupBy("t", "score").agg(F.count("*").alias("n"))
+    jobs = tj._chunk_pairs(counted, counted, 500, slides, ["score", "n"])
+    assert jobs.rdd.getNumPartitions() > 1 and all(len(r["slides"]) <= tj.JOB_SLIDES for r in jobs.collect())
+    one = {r["s"]: r["n"] for r in tj.background_scores(rows, rows, 500, slides, top=13.0).collect()}
+    many = {r["s"]: r["n"] for r in tj.background_scores(copies, copies, 500, slides, top=13.0).collect()}
+    assert many == {s: 9 * n for s, n in one.items()}
+    near = {r["s"]: r["n"] for r in tj.background_scores(copies, copies, 500, slides, [(5.0, 5.000001), (9.0, 11.0)]).collect()}
+    times, scores = (np.array(x) for x in zip(*[(r["t"], r["score"]) for r in rows.collect()]))
+    joint = np.round(np.hypot(scores[:, None], scores), 6)
+    pairs = sum((np.abs(times[:, None] - times - 10 * k) <= 500).astype(int) for k in range(1, 201))
+    kept = (joint == 5.0) | ((joint >= 9.0) & (joint < 11.0))
+    values = np.unique(joint[kept & (pairs > 0)])
+    assert near == {v: 9 * int(pairs[joint == v].sum()) for v in values.tolist()}
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(9)
     a, b = rng.integers(0, 5000, 50), rng.integers(100, 4000, 30)
