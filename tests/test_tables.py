@@ -267,3 +267,14 @@ def test_trees_read_weighted_cells_and_every_row_counts(spark, monkeypatch):
     got = models.score(again, rows, ["label"]).groupBy("label").agg(F.min("score").alias("lo"), F.max("score").alias("hi")).collect()
     ends = {r["label"]: (r["lo"], r["hi"]) for r in got}
     assert ends[0][1] < 0.5 < ends[1][0]
+
+
+def test_settings_of_the_user_stay(spark):
+    from wavequery.session import prepare
+
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    own, other = spark.newSession(), spark.newSession()
+    own.conf.set(key, "32m")
+    assert prepare(own).conf.get(key) == "32m"
+    assert prepare(other).conf.get(key) == "2m"
+    assert int(other.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) >= 1024
