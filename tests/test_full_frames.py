@@ -4,6 +4,7 @@ import datetime as dt
 import os
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -96,3 +97,79 @@ def test_wrong_lengths(spark):
     points = spark.createDataFrame([], SCHEMA)
     with pytest.raises(ValueError):
         full_frames.full_frames(points, "k", "ts", "v", 5, 2, "1 second")
+
+
+class Kept:
+    """A state variable in memory that counts its calls."""
+
+    calls = 0
+
+    def __init__(self):
+        self.rows, self.value = [], None
+        self.map = {}
+
+    def __getattribute__(self, name):
+        if not name.startswith("_") and name not in ("rows", "value", "map", "calls"):
+            Kept.calls += 1
+        return object.__getattribute__(self, name)
+
+    def exists(self):
+        return self.value is not None or bool(self.rows)
+
+    def get(self):
+        return self.value if self.value is not None else iter(self.rows)
+
+    def update(self, value):
+        self.value = value
+
+    def appendValue(self, row):
+        self.rows.append(row)
+
+    def appendList(self, rows):
+        self.rows.extend(rows)
+
+    def clear(self):
+        self.rows = []
+
+    def containsKey(self, key):
+        return key in self.map
+
+    def getValue(self, key):
+        return self.map[key]
+
+    def updateValue(self, key, value):
+        self.map[key] = value
+
+    def removeKey(self, key):
+        del self.map[key]
+
+    def iterator(self):
+        return iter(list(self.map.items()))
+
+
+def test_state_calls_do_not_follow_the_rows():
+    class Handle:
+        def getValueState(self, *_):
+            return Kept()
+
+        getListState = getMapState = getValueState
+
+        def registerTimer(self, _):
+            pass
+
+    class Clock:
+        now = 0
+
+        def getCurrentWatermarkInMs(self):
+            return self.now
+
+    state, clock = full_frames.FrameState("k", FRAME, STRIDE), Clock()
+    state.init(Handle())
+    rows = pd.DataFrame({"t_us": np.arange(2_000) * 500_000 + STRIDE, "x": np.ones(2_000)})
+    Kept.calls = 0
+    assert not list(state.handleInputRows(("a",), iter([rows]), clock))
+    clock.now = 990_000
+    sent = pd.concat(state.handleExpiredTimer(("a",), clock, None))
+    # Whole frames until the watermark; what is left are the panes behind it.
+    assert len(sent) == (990_000_000 - STRIDE - FRAME) // STRIDE + 1 and set(sent["n"]) == {8}
+    assert Kept.calls < 40
