@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from wavequery.functions import names, physics
 from wavequery.operators import calibration, checks, frames, models, splits, summaries
-from wavequery.session import scratch_path
+from wavequery.session import cut_lineage, scratch_path
 from wavequery.sources import files, tables
 
 
@@ -278,3 +278,26 @@ def test_settings_of_the_user_stay(spark):
     assert prepare(own).conf.get(key) == "32m"
     assert prepare(other).conf.get(key) == "2m"
     assert int(other.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) >= 1024
+
+
+@pytest.fixture
+def read_rows(spark):
+    """Rows of two classes, and a function that tells how often they were read."""
+    seen, n = spark.sparkContext.accumulator(0), 400
+
+    def watch(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    rows = spark.range(n).selectExpr("id AS key", "CAST(id % 4 = 0 AS INT) AS label", "CAST(id % 7 AS DOUBLE) + id % 4 AS a", "CAST(id % 5 AS DOUBLE) AS b")
+    return rows.mapInPandas(watch, rows.schema), lambda: seen.value / n
+
+
+def test_multi_seed_reads_its_rows_for_the_draw_only(spark, read_rows):
+    rows, passes = read_rows
+    val = cut_lineage(rows)
+    before = passes()
+    trials = models.multi_seed(rows, val, "key", ["a", "b"], (1, 2), lambda _s: models.balanced_logistic(), max_pos=50, neg_per_pos=2)
+    assert [(r["seed"], r["n_train"], r["auc"] > 0.5) for r in trials.orderBy("seed").collect()] == [(1, 150, True), (2, 150, True)]
+    assert passes() - before <= 2 * 8
