@@ -301,3 +301,18 @@ def test_multi_seed_reads_its_rows_for_the_draw_only(spark, read_rows):
     trials = models.multi_seed(rows, val, "key", ["a", "b"], (1, 2), lambda _s: models.balanced_logistic(), max_pos=50, neg_per_pos=2)
     assert [(r["seed"], r["n_train"], r["auc"] > 0.5) for r in trials.orderBy("seed").collect()] == [(1, 150, True), (2, 150, True)]
     assert passes() - before <= 2 * 8
+
+
+def test_cells_keep_the_weights_of_their_rows(spark, monkeypatch):
+    rows = spark.range(4_000).selectExpr("CAST(id % 3 AS DOUBLE) AS a", "CAST(id % 4 AS DOUBLE) AS b", "CAST(id % 3 = 0 AND id % 8 < 5 AS INT) AS label")
+    weighted = models.with_class_weight(rows)
+    seen, real = [], models.cut_lineage
+    monkeypatch.setattr(models, "cut_lineage", lambda df: seen.append(real(df)) or seen[-1])
+    learner = models.forest(5, 3)
+    model = models.fit_on_cells(weighted, models.binned_stages(rows, ["a", "b"]), learner)
+    per_class = {r["label"]: r["w"] for r in seen[0].groupBy("label").agg(F.sum("weight").alias("w")).collect()}
+    assert per_class == {0: pytest.approx(2_000), 1: pytest.approx(2_000)}
+    assert seen[0].count() <= 24 * models.CELL_PARTS
+    plain = models.fit(weighted, models.feature_stages(["a", "b"]), learner)
+    scores = [models.score(m, rows.distinct(), ["a", "b", "label"]).orderBy("a", "b", "label").collect() for m in (plain, model)]
+    assert all(abs(p["score"] - q["score"]) < 0.1 for p, q in zip(*scores, strict=True))
