@@ -316,3 +316,11 @@ def test_cells_keep_the_weights_of_their_rows(spark, monkeypatch):
     plain = models.fit(weighted, models.feature_stages(["a", "b"]), learner)
     scores = [models.score(m, rows.distinct(), ["a", "b", "label"]).orderBy("a", "b", "label").collect() for m in (plain, model)]
     assert all(abs(p["score"] - q["score"]) < 0.1 for p, q in zip(*scores, strict=True))
+
+
+def test_both_stages_read_cells(spark, read_rows, monkeypatch):
+    rows, _ = read_rows
+    seen, real = [], models.fit_on_cells
+    monkeypatch.setattr(models, "fit_on_cells", lambda *a: seen.append(a) or real(*a))
+    out = models.stacked(rows, rows, ["a"], ["a", "b"], ["key", "label"], trees=3, depth=2)
+    assert out.columns == ["key", "label", "score1", "score2"] and out.count() == 400 and len(seen) == 1
