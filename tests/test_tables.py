@@ -280,6 +280,9 @@ def test_settings_of_the_user_stay(spark):
     assert int(other.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) >= 1024
 
 
+# --- passes of fits over their rows ------------------------------------------------------
+
+
 @pytest.fixture
 def read_rows(spark):
     """Rows of two classes, and a function that tells how often they were read."""
@@ -303,6 +306,14 @@ def test_multi_seed_reads_its_rows_for_the_draw_only(spark, read_rows):
     assert passes() - before <= 2 * 8
 
 
+def test_calibration_reads_its_rows_once(spark, read_rows):
+    rows, passes = read_rows
+    scored = models.sigmoid_calibrated(rows, cut_lineage(rows), "key", ["a", "b"], ["key", "label"])
+    assert passes() <= 2 * 2 and scored.count() == 400
+    ends = scored.groupBy("label").agg(F.avg("p").alias("p")).collect()
+    assert {r["label"]: r["p"] for r in ends}[1] > {r["label"]: r["p"] for r in ends}[0]
+
+
 def test_cells_keep_the_weights_of_their_rows(spark, monkeypatch):
     rows = spark.range(4_000).selectExpr("CAST(id % 3 AS DOUBLE) AS a", "CAST(id % 4 AS DOUBLE) AS b", "CAST(id % 3 = 0 AND id % 8 < 5 AS INT) AS label")
     weighted = models.with_class_weight(rows)
