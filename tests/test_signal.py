@@ -241,3 +241,28 @@ def test_peaks_of_few_outputs_equal_the_whole_transform(monkeypatch):
     # No transform of the length of the window is left; taking one logarithm for 0 turns the short way off.
     monkeypatch.setattr(signal.np, "log2", lambda n: 0.0)
     assert np.allclose(few, signal.snr_peaks(x, bank, 64.0, 2.0, 32, 4, 0.1), rtol=1e-12, atol=0)
+
+
+def test_best_peaks_of_a_tile_weigh_few_pairs(monkeypatch):
+    rng = np.random.default_rng(8)
+    waves, bank = rng.normal(size=(12, 64)), rng.normal(size=(900, 64))
+    waves[0], waves[1], bank[5] = 0.0, bank[17] * 3.0, 0.0
+    bank[400:404] = bank[3]
+    args = (64.0, 2.0, 32, 4, 0.1)
+    want = np.array([signal.snr_peaks(x, bank, *args).max(axis=1) for x in waves]).T
+    rows, real = [], signal._pair_peaks
+    monkeypatch.setattr(signal, "_pair_peaks", lambda hf, *rest: rows.append(len(hf)) or real(hf, *rest))
+    assert np.allclose(np.array(signal.best_snr_peaks(waves, bank, *args)), want, rtol=1e-12, atol=1e-12)
+    assert sum(rows) < len(waves) * len(bank) / 4
+
+
+def test_best_peaks_when_every_pair_must_be_weighed(monkeypatch):
+    rng = np.random.default_rng(9)
+    # Alike templates fit the window badly in some band, so the bound helps little.
+    waves, bank = rng.normal(size=(3, 64)), rng.normal(size=64) + 1e-6 * rng.normal(size=(60, 64))
+    args = (64.0, 2.0, 32, 4, 0.1)
+    want = np.array([signal.snr_peaks(x, bank, *args).max(axis=1) for x in waves]).T
+    monkeypatch.setattr(signal, "PEAK_PAIRS", 7)
+    monkeypatch.setattr(signal, "PEAK_COLUMNS", 11)
+    monkeypatch.setattr(signal, "PEAK_WINDOWS", 2)
+    assert np.allclose(np.array(signal.best_snr_peaks(waves, bank, *args)), want, rtol=1e-12, atol=1e-12)
