@@ -255,3 +255,37 @@ def test_pairs_leave_a_task_in_bounded_frames(data):
     whole = pd.concat(frames)
     assert np.array_equal(whole["score"], np.arange(300_000)) and np.array_equal(whole["lag"], np.arange(300_000))
     assert np.array_equal(whole["window_id"] * 1000 + whole["template_id"], np.arange(300_000))
+
+
+@pytest.mark.parametrize("max_shift, step", [(13, 4), (5, 1), (0, 1), (47, 1)])
+def test_products_at_few_lags_equal_the_transforms(data, monkeypatch, max_shift, step):
+    x, h = data
+    lags = tp.lag_grid(48, max_shift, step)
+    whole, overlap = tp.correlations(x, h, lags), tp.overlap_correlations(x, h, max_shift)
+    monkeypatch.setattr(tp, "PRODUCT_SHAPE", (7, 4))
+    monkeypatch.setattr(tp.np.fft, "irfft", None)
+    top, at = tp.best_correlations(x, h, lags)
+    assert np.allclose(top, whole.max(axis=2), rtol=0, atol=1e-12) and np.array_equal(at, whole.argmax(axis=2))
+    assert np.array_equal(top, tp.best_correlations(x, h, lags, places=False)[0])
+    top, at = tp.best_overlap_correlations(x, h, max_shift)
+    assert np.allclose(top, overlap.max(axis=2), rtol=0, atol=1e-12) and np.array_equal(at, overlap.argmax(axis=2))
+
+
+def test_the_first_lag_wins_an_exact_tie(spark):
+    x = np.zeros((2, 48))
+    x[0, [7, 19, 31]] = 3.0
+    h = np.zeros((1, 48))
+    h[0, 20] = 1.0
+    got = tp.ncc_scores(waves(spark, x, "window_id"), waves(spark, h, "template_id"), 13, 4).orderBy("window_id").collect()
+    assert [(r["lag"], round(r["score"], 6)) for r in got] == [(-13, 0.57735), (-13, 0.0)]
+
+
+def test_many_lags_go_by_transforms(data, monkeypatch):
+    x, h = data
+    lags = tp.lag_grid(48, 13, 4)
+    want = tp.best_correlations(x, h, lags)
+    monkeypatch.setattr(tp, "DIRECT_LAGS", 0)
+    monkeypatch.setattr(tp, "_best_products", None)
+    got = tp.best_correlations(x, h, lags)
+    assert np.allclose(got[0], want[0]) and np.array_equal(got[1], want[1])
+    assert tp.best_overlap_correlations(x, h, 5)[0].shape == (40, 9)
