@@ -270,3 +270,31 @@ def test_match_counts_by_slide_equal_matching_of_slid_copies(spark, rows_per_ran
         assert got[i] == n
     assert {r.pairs for r in tj.count_matches_by_slide(one([]), one(b), 12, slides).collect()} == {0}
     assert {r.pairs for r in tj.count_matches_by_slide(one(a), one([]), 12, slides).collect()} == {0}
+
+
+def test_slide_thresholds_list_few_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    a, b = (list(zip(rng.integers(0, 4000, 2000).tolist(), rng.exponential(50.0, 2000).tolist(), strict=True)) for _ in range(2))
+    left, right = (spark.createDataFrame(x, "t long, score double") for x in (a, b))
+    slides = spark.createDataFrame([(1, 0), (2, 700), (3, 1900)], "slide_id long, shift_us long")
+    listed, real = [], tj._open_counts
+    def counted(met, dt, l_edges, r_edges, brackets, *rest):  # noqa: E306
+        bins = [np.searchsorted(e, [v for _, v in x], "right") for e, x in ((l_edges, a), (r_edges, b))]
+        listed.append(sum(float(mask[bins[0]][:, bins[1]].mean()) for mask, _, _ in brackets))
+        return real(met, dt, l_edges, r_edges, brackets, *rest)
+    monkeypatch.setattr(tj, "_open_counts", counted)  # noqa: E305
+    got = {r["far"]: (r["bg_count"], r["threshold"]) for r in tj.slide_thresholds(left, right, 300, slides, [1e-3, 0.1]).collect()}
+    (t, u), (r, v) = (np.array(x).T for x in (a, b))
+    met = sum((np.abs(t[:, None] - r - s) <= 300).astype(int) for s in (0, 700, 1900))
+    pairs = np.sort(np.repeat(np.round(np.hypot(u[:, None], v), 6).ravel(), met.ravel()))
+    for far in (1e-3, 0.1):
+        assert got[far] == (len(pairs), pytest.approx(pairs[int(np.ceil((1 - far) * len(pairs))) - 1], abs=1e-9))
+    # The share of the pairs that the two passes list, for both targets.
+    assert len(listed) == 2 and listed[1] <= listed[0] < 0.15
+
+
+def test_an_infinite_score_is_an_error(spark):
+    rows = spark.createDataFrame([(1, 2.0), (2, float("inf"))], "t long, score double")
+    slides = spark.createDataFrame([(1, 0)], "slide_id long, shift_us long")
+    with pytest.raises(ValueError, match="infinite"):
+        tj.slide_thresholds(rows, rows, 5, slides, [0.1])
